@@ -81,6 +81,16 @@ def tema(df: DataFrame, n: int = 20, value: str = "close", s: Series = BARS) ->
     return df.withColumn("tema", line).drop("_e1", "_e2", "_e3")
 
 
+def _walk_back(span: int, steps: Column, s: Series, longest: int) -> Column:
+    """From the newest close back over ``steps`` bars, each older close blended
+    in with the larger weight 1 - 2/(span+1)."""
+    a = 2 / (span + 1)
+    line = F.col("close") * F.pow(F.lit(a), steps)
+    for k in range(1, longest + 1):
+        line = line + F.when(steps >= k, s.ref("close", k) * (1 - a) * F.pow(F.lit(a), steps - k)).otherwise(0.0)
+    return line
+
+
 def trend_slow_column(s: Series = BARS, value: str = "close") -> Column:
     return (s.mean(value, 14) + s.mean(value, 28) + s.mean(value, 57) + s.mean(value, 114)) / 4
 
@@ -99,15 +109,10 @@ def trend_fast(df: DataFrame, flavor: str = "scan", s: Series = BARS) -> DataFra
     each weighing more than the one before it."""
     df = number_bars(df, s)
     if flavor == "shared":
-        a = 2 / 11
-        first = F.col("close")
-        for k in range(1, 10):
-            # bar 1 of the series is never reached
-            step = first * a + s.ref("close", k) * (1 - a)
-            first = F.when(F.col(NUMBER) > k + 1, step).otherwise(first)
-        df = df.withColumn("_first", first)
-        # the second pass blends the first result with itself
-        return df.withColumn("trend_fast", F.col("_first")).drop("_first")
+        # bar 1 of the series is never reached; the second pass blends the result
+        # of the first with itself and changes nothing
+        steps = F.greatest(F.least(F.col(NUMBER) - 2, F.lit(9)), F.lit(0))
+        return df.withColumn("trend_fast", _walk_back(10, steps, s, longest=9))
     df = R.decayed_sums(df, s, NUMBER, {"_e1": R.ema_span("close", 10, NUMBER)})
     df = R.decayed_sums(df, s, NUMBER, {"trend_fast": R.ema_span("_e1", 10, NUMBER)})
     return df.drop("_e1")
@@ -152,14 +157,9 @@ def macd(df: DataFrame, flavor: str = "scan", fast: int = 12, slow: int = 26, si
         df = df.withColumn("dea", dea).drop("_dea", "_seed")
         return df.withColumn("macd_bar", F.col("dif") - F.col("dea"))
     if flavor == "shared":
-        # each average walks back a fixed number of bars from the newest one,
-        # blending older closes in with the larger weight
-        def walk(span: int) -> Column:
-            a, line = 2 / (span + 1), F.col("close")
-            for k in range(1, span + 1):
-                line = F.when(at > k, line * a + s.ref("close", k) * (1 - a)).otherwise(line)
-            return line
-        df = df.withColumn("_f", walk(fast)).withColumn("_s", walk(slow))
+        seen = F.col(NUMBER) - 1
+        df = df.withColumns({c: _walk_back(span, F.least(seen, F.lit(span)), s, longest=span)
+                             for c, span in (("_f", fast), ("_s", slow))})
         df = df.withColumn("dif", F.col("_f") - F.col("_s")).drop("_f", "_s")
         df = df.withColumn("dea", s.mean("dif", signal))
         return df.withColumn("macd_bar", 2 * (F.col("dif") - F.col("dea")))

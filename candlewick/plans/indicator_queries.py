@@ -58,16 +58,13 @@ _q("trend_lines", "F5 F6", {"trend_fast": "b2", "trend_slow": "slow",
                 "b2": ("close", "(b.close * (2.0/11) + r.a1 * (9.0/11)) * (2.0/11) + r.b2 * (9.0/11)"),
                 "slow": ("slow", "b.slow"), "bars": ("bars", "b.bars")}))
 
-_walk = "close"
-for _k in range(1, 10):
-    _walk = f"CASE WHEN rn > {_k + 1} THEN ({_walk}) * (2.0/11) + {ref('close', _k)} * (9.0/11) ELSE ({_walk}) END" \
-        if _k > 1 else f"CASE WHEN rn > 2 THEN close * (2.0/11) + {ref('close')} * (9.0/11) ELSE close END"
-# the walk written out as weights, to keep the text short
-_weights = " + ".join([f"CASE WHEN m >= {k} THEN 1 ELSE 0 END * {ref('close', k) if k else 'close'}"
-                       f" * {'1' if k == 0 else '(9.0/11)'} * pow(2.0/11, m - {k})" for k in range(10)])
-_q("trend_fast_backward", "F5", {"trend_fast": _weights.replace(" * (lag", " * coalesce((lag").replace(
-    "ORDER BY trade_date))", "ORDER BY trade_date)), 0)").replace("coalesce((lag", "coalesce((lag")},
-   lambda b: I.trend_fast(b, "shared"),
+def _back(span, steps):
+    return " + ".join([f"CASE WHEN {steps} >= {k} THEN 1 ELSE 0 END * coalesce({ref('close', k) if k else 'close'}, 0)"
+                       f" * {'1' if k == 0 else f'({span - 1}.0/{span + 1})'} * pow(2.0/{span + 1}, {steps} - {k})"
+                       for k in range(span + 1)])
+
+
+_q("trend_fast_backward", "F5", {"trend_fast": _back(10, "m")}, lambda b: I.trend_fast(b, "shared"),
    numbered=f"SELECT *, greatest(least(rn - 2, 9), 0) AS m FROM ({NUMBERED})")
 
 _q("bbi", "F7", {
@@ -95,15 +92,9 @@ _q("macd_lib", "F8", {"dif": "CASE WHEN rn >= 26 THEN dif END",
          f"SELECT *, e12 - e26 AS dif, {over('avg(e12 - e26)', 0, -8)} AS s9 FROM loop_e)",
    loop_r=loop({"dea": ("NULL", "CASE WHEN b.rn = 26 THEN b.seed * 0.8 + b.dif * 0.2 ELSE b.dif * 0.2 + r.dea * 0.8 END"),
                 "dif": ("dif", "b.dif"), "seed": ("seed", "b.seed")}, "diffs"))
-def _back(span):
-    return " + ".join([f"CASE WHEN least(rn - 1, {span}) >= {k} THEN 1 ELSE 0 END * coalesce({ref('close', k) if k else 'close'}, 0)"
-                       f" * {'1' if k == 0 else f'({span - 1}.0/{span + 1})'} * pow(2.0/{span + 1}, least(rn - 1, {span}) - {k})"
-                       for k in range(span + 1)])
-
-
 _q("macd_backward", "F8", {"dif": "dif", "dea": roll("avg(dif)", 9), "macd_bar": f"2 * (dif - {roll('avg(dif)', 9)})"},
    lambda b: I.macd(b, "shared"), numbered=NUMBERED,
-   d=f"SELECT ts_code, trade_date, ({_back(12)}) - ({_back(26)}) AS dif FROM numbered")
+   d=f"SELECT ts_code, trade_date, ({_back(12, "least(rn - 1, 12)")}) - ({_back(26, "least(rn - 1, 26)")}) AS dif FROM numbered")
 
 
 def _rsv(n, flat="50"):

@@ -93,6 +93,8 @@ def main(argv):
                 ok, message, took = compare(spark, con, QUERIES[name], folder)
             except Exception as e:  # report and go on
                 ok, message, took = False, f"{type(e).__name__}: {str(e)[:600]}", 0.0
+                if "stopped SparkContext" in message or "OutOfMemory" in message:
+                    raise SystemExit(message)
             failed += not ok
             print(f"{'ok  ' if ok else 'FAIL'} {name} {took:.2f}s {message}", flush=True)
     print("failed:", failed)
