@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions import money
 from candlewick.functions.series import ratio
+from candlewick.operators.ranks import exact_quantiles
 
 YEAR = 252
 
@@ -165,9 +166,12 @@ def batch_metrics(runs: DataFrame) -> DataFrame:
 
 
 def batch_summary(runs: DataFrame, value: str = "total_return") -> DataFrame:
+    """Mean, median, extremes and sign counts.  The median is exact and found
+    without gathering the values in one place."""
     v = F.col(value)
-    return runs.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("max"), F.min(v).alias("min"),
-                    F.sum((v > 0).cast("int")).alias("positive"), F.sum((v < 0).cast("int")).alias("negative"), F.sum((v == 0).cast("int")).alias("zero"))
+    agg = runs.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"),
+                   F.sum((v > 0).cast("int")).alias("positive"), F.sum((v < 0).cast("int")).alias("negative"), F.sum((v == 0).cast("int")).alias("zero"))
+    return agg.crossJoin(F.broadcast(exact_quantiles(runs, [], value, {"median": 0.5})))  # one row each
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:

@@ -325,7 +325,7 @@ def batch_summary(t):
 
 
 @query("return_histogram", "D16", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _RUNS.items()) + """ SELECT CAST(b AS INT) AS bin, count(run_id) AS n FROM range(50) g(b) LEFT JOIN (
-  SELECT run_id, least(floor((max_drawdown - lo) * 50 / (hi - lo)), 49) AS at FROM r2, (SELECT min(max_drawdown) AS lo, max(max_drawdown) AS hi FROM r2)) ON at = b GROUP BY 1""")
+  SELECT run_id, least(floor((max_drawdown - lo) * 50 / (hi - lo)), 49) AS slot FROM r2, (SELECT min(max_drawdown) AS lo, max(max_drawdown) AS hi FROM r2)) ON slot = b GROUP BY 1""")
 def return_histogram(t):
     return R.histogram(runs(t), "max_drawdown")
 
