@@ -372,3 +372,19 @@ def walk_forward(t):
     span = t.bars_s().agg(F.min("trade_date").alias("start"), F.max("trade_date").alias("end"))
     out = J.walk_forward(events, J.walk_forward_windows(span))
     return rounded(out, ["window_no", "train_start", "cut", "test_end"], ["train_return", "test_return", "decay_rate"])
+
+
+# -- the flagship: a setup and what followed -----------------------------------
+
+@query("pullback_signals", "F5 F6 F8 F9 G2 I1 I2", with_views("bars_w", f"""SELECT ts_code, count(*) AS n_signals, {sq('avg(ret)')} AS mean_ret, {sq('avg((ret > 0)::INT)')} AS win_rate, max(trade_date) AS last_signal FROM (
+  SELECT ts_code, trade_date, fast, slow, j, dif, {lead('close', 5)} / close - 1 AS ret FROM ind) WHERE fast > slow AND j < 13 AND dif >= 0 GROUP BY 1""",
+    **__import__("candlewick.plans.rule_queries", fromlist=["_upto"])._upto("ind")))
+def pullback_signals(t):
+    """Bars above both trend lines with a low J: count and five-bar outcome per code."""
+    from candlewick.operators.indicators import kdj, macd, trend_fast, trend_slow
+    df = trend_slow(trend_fast(kdj(macd(t.bars_w()))))
+    df = X.forward_returns(df, [5])
+    setup = (F.col("trend_fast") > F.col("trend_slow")) & (F.col("j") < 13) & (F.col("dif") >= 0)
+    return (df.filter(setup).groupBy("ts_code").agg(
+        F.count(F.lit(1)).alias("n_signals"), snap(F.avg("ret_t5")).alias("mean_ret"),
+        snap(F.avg((F.col("ret_t5") > 0).cast("int"))).alias("win_rate"), F.max("trade_date").alias("last_signal")))
