@@ -11,8 +11,9 @@ holds ``n`` non-null values; a *partial* one uses what is there.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, Window, functions as F
 
 
@@ -26,6 +27,13 @@ def ratio(num, den, default=None) -> Column:
     return out if default is None else F.coalesce(out, F.lit(float(default)))
 
 
+@lru_cache(maxsize=512)
+def _window(context, key, order, start, end):
+    """Window specs are immutable; building one costs several calls into the JVM."""
+    spec = Window.partitionBy(*key).orderBy(*order)
+    return spec if start is None else spec.rowsBetween(start, end)
+
+
 @dataclass(frozen=True)
 class Series:
     key: tuple[str, ...] = ("ts_code",)
@@ -34,14 +42,14 @@ class Series:
     # -- frames ---------------------------------------------------------
     @property
     def w(self):
-        return Window.partitionBy(*self.key).orderBy(*self.order)
+        return _window(SparkContext._active_spark_context, self.key, self.order, None, None)
 
     def last(self, n: int):
         """The current bar and the ``n - 1`` before it."""
-        return self.w.rowsBetween(-(n - 1), 0)
+        return self.between(-(n - 1), 0)
 
     def between(self, start: int, end: int):
-        return self.w.rowsBetween(start, end)
+        return _window(SparkContext._active_spark_context, self.key, self.order, start, end)
 
     @property
     def so_far(self):

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions import recursion as R
 from candlewick.functions.series import BARS, Series, ratio
+from candlewick.session import spread
 
 NUMBER = "bar_no"
 
@@ -440,7 +441,7 @@ def indicator_panel(df: DataFrame, s: Series = BARS) -> DataFrame:
 
     One exchange by key serves all windows and recursions.
     """
-    df = candles(number_bars(df, s), s)
+    df = candles(number_bars(spread(df, *s.key), s), s)
     df = df.withColumns({f"ma{n}": s.mean("close", n) for n in AVERAGES})
     df = volume_means(df, s=s)
     df = bollinger(df, flavor="scan", s=s)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from candlewick.functions import money
 from candlewick.functions.series import Series, ratio
 from candlewick.operators.asof import asof_join
+from candlewick.session import small
 
 # -- decisions ----------------------------------------------------------------
 
@@ -110,7 +111,7 @@ def time_filter(bars: DataFrame, holidays: DataFrame, late_minute: int = 30, tim
     falling = (F.col("_n") >= 5) & (F.max("_chg").over(s.last(3)) < -3)
     marked = holidays.select(F.col("holiday").alias("_day"), F.lit(True).alias("_holiday"))
     df = df.withColumns({"_falling": falling, "_day": F.to_date(time)})
-    df = df.join(F.broadcast(marked), "_day", "left")  # a list of holidays
+    df = df.join(small(marked), "_day", "left")
     late = (F.hour(time) == 14) & (F.minute(time) >= late_minute)
     reason = F.when(late, "late").when(F.col("_holiday"), "holiday").when(F.col("_falling"), "falling").otherwise("")
     return df.withColumn("reason", reason).drop("_n", "_chg", "_falling", "_day", "_holiday")
@@ -198,7 +199,7 @@ def equity_curve(positions: DataFrame, prices: DataFrame, dates: DataFrame, capi
         F.sum(F.coalesce("d_closed", F.lit(0.0))).alias("d_closed"))
     asked = dates.select("date").distinct().withColumn("_asked", F.lit(True))
     if g:
-        asked = asked.crossJoin(F.broadcast(positions.select(*g).distinct()))  # one row per group
+        asked = asked.crossJoin(small(positions.select(*g).distinct()))  # dates x groups is the report itself
     # from here on one row per date (and group)
     daily = changes.join(asked, [*g, "date"], "full")
     order = Window.partitionBy(*g).orderBy("date")

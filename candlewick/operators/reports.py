@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from candlewick.functions import money
 from candlewick.functions.series import ratio
 from candlewick.operators.ranks import exact_quantiles
+from candlewick.session import small
 
 YEAR = 252
 
@@ -243,7 +244,7 @@ def align_curves(curves: DataFrame, key: str, capital: float, value: str = "tota
     Dates and curve names are small; their product is the size of the result."""
     dates, names = curves.select(date).distinct(), curves.select(key).distinct()
     w = Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    grid = dates.crossJoin(F.broadcast(names)).join(curves.select(key, date, value), [key, date], "left")
+    grid = dates.crossJoin(small(names)).join(curves.select(key, date, value), [key, date], "left")
     return grid.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(float(capital))))
 
 

@@ -81,12 +81,16 @@ def rule_columns(df: DataFrame, s: Series = BARS) -> DataFrame:
             F.abs(chg).alias("chg"), v.alias("v"), F.col("_v1").alias("v1")))})
 
 
-def _peak_up(days: int, s: Series) -> tuple[Column, Column]:
-    """(older than today, closed up, closed down) of the latest volume peak."""
-    p = s.at_highest("vol", days, NUMBER, ["open", "close"])
-    older = p.getField("at") < F.col(NUMBER)
-    return (older & (p.getField("close") > p.getField("open")),
-            older & (p.getField("close") < p.getField("open")), older)
+def _peaks(df: DataFrame, spans, s: Series) -> DataFrame:
+    """Columns _peak<days>: the latest volume peak of the span."""
+    return df.withColumns({f"_peak{d}": s.at_highest("vol", d, NUMBER, ["open", "close"]) for d in spans})
+
+
+def _peak(days: int) -> tuple[Column, Column, Column]:
+    """(older than today and closed up, closed down, older than today)."""
+    p = F.col(f"_peak{days}")
+    older = p["at"] < F.col(NUMBER)
+    return older & (p["close"] > p["open"]), older & (p["close"] < p["open"]), older
 
 
 def _rose_in(days: int) -> Column:
@@ -120,6 +124,7 @@ def b1_score(df: DataFrame, s: Series = BARS, out: str = "score_b1") -> DataFram
     n, chg, amp = F.col(NUMBER), F.col("chg_pct"), F.col("amp_pct")
     fast, slow = F.col("trend_fast"), F.col("trend_slow")
     calm = chg.between(-2, 1.8)
+    df = _peaks(df, (60, 30, 25, 20, 15, 10), s)
     df = df.withColumns({
         "_rises30": F.collect_list("_rise").over(s.last(30)), "_falls10": F.collect_list("_fall").over(s.last(10)),
         "_rsv_back": F.collect_list("_rsv9").over(s.between(-20, -1)),
@@ -179,8 +184,8 @@ def b1_score(df: DataFrame, s: Series = BARS, out: str = "score_b1") -> DataFram
         *[points(v == s.lowest("_adj_vol", d), 0.3) for d in (30, 26, 24, 22, 20, 18, 16, 14, 12, 10)],
         points(v == s.lowest("vol", 18), 0.5),
         # the bar of the volume peak
-        *[points(_peak_up(d, s)[0], p) for d, p in ((60, 1), (30, 0.5), (20, 0.4), (10, 0.3))],
-        *[points(_peak_up(d, s)[1], p) for d, p in ((60, -0.5), (30, -0.5), (25, -0.5), (20, -0.6), (15, -0.7), (10, -0.8))],
+        *[points(_peak(d)[0], p) for d, p in ((60, 1), (30, 0.5), (20, 0.4), (10, 0.3))],
+        *[points(_peak(d)[1], p) for d, p in ((60, -0.5), (30, -0.5), (25, -0.5), (20, -0.6), (15, -0.7), (10, -0.8))],
         # volume of rising and of falling bars
         *[points(signed[d] > 0, 0.4) for d in (50, 40, 30, 20)],
         *[points(up[30] > k * down[30], p) for k, p in ((1.25, 0.4), (1.5, 0.5), (2, 0.6))],
@@ -213,7 +218,8 @@ def b1_score(df: DataFrame, s: Series = BARS, out: str = "score_b1") -> DataFram
     ]
     df = df.withColumn(out, F.when(n >= MIN_BARS, F.round(total(terms), 6)))
     return df.drop("_rises30", "_falls10", "_rsv_back", "_recent", "_burst_points", "_spread", "_gap20",
-                   "_slow_mean", "_high30", "_js", "_peak_at", "_since", "_old_close")
+                   "_slow_mean", "_high30", "_js", "_peak_at", "_since", "_old_close",
+                   *[f"_peak{d}" for d in (60, 30, 25, 20, 15, 10)])
 
 
 def _rsi_few(k: int, at: int, s: Series, no_loss: float | None) -> Column:
@@ -243,6 +249,7 @@ def b2_score(df: DataFrame, s: Series = BARS, out: str = "score_b2") -> DataFram
                & (F.col("chg_pct") > 3.95) & (v > F.col("vol_ma60")) & (c > o))
     pivot = (F.sum("_r3").over(s.between(-25, -3)) + _rsi_few(2, 2, s, 0.001) + _rsi_few(1, 1, s, 0.001)) / 25
     df = df.withColumns({"_trigger": trigger, "_pivot": pivot, "_high30": s.at_highest("high", 30, NUMBER, ["_div20", "_div15"])})
+    df = _peaks(df, (60, 50, 40, 30, 20, 10), s)
     bar, upper, lower = h - l, F.col("upper_shadow"), F.col("lower_shadow")
     j, k, d = F.col("j"), F.col("k"), F.col("d")
     up40, down40 = s.sum("_up_vol", 40), s.sum("_down_vol", 40)
@@ -261,8 +268,8 @@ def b2_score(df: DataFrame, s: Series = BARS, out: str = "score_b2") -> DataFram
         points(up40 > down40, 0.3), points(up40 >= 1.25 * down40, 0.4), points(up40 >= 1.5 * down40, 0.5),
         points(s.highest("_up_vol", 20) > s.highest("_down_vol", 20), 0.5),
         points(past_high & high30.getField("_div20"), -0.3), points(past_high & high30.getField("_div15"), -0.3),
-        *[points(_peak_up(days, s)[0], 0.3) for days in (60, 50, 40)],
-        *[F.when(_peak_up(days, s)[0], 0.3).when(_peak_up(days, s)[2], -2.5).otherwise(0.0) for days in (30, 20, 10)],
+        *[points(_peak(days)[0], 0.3) for days in (60, 50, 40)],
+        *[F.when(_peak(days)[0], 0.3).when(_peak(days)[2], -2.5).otherwise(0.0) for days in (30, 20, 10)],
         F.lit(0.3),
         points((F.col("rsi2") > F.col("rsi3")) & (F.col("rsi3") > F.col("rsi4")), 0.7),
         *[points(v >= s.highest("vol", days), 0.5) for days in (60, 50, 40, 30)],

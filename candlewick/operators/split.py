@@ -42,11 +42,19 @@ def split_series(df: DataFrame, key: list[str], bucket: Column, halo: int,
     hist = hist.withColumn("_next", F.min(F.when(
         F.col("_opens"), F.struct(F.col("_from").alias("at"), F.col(SEGMENT).alias("seg"))))
         .over(following))
+    # a segment may be shorter than the halo, two in a row are not: a bucket is
+    # repeated in front of the next segment and, if near enough, of the one after
+    hist = hist.withColumn("_after", F.min(F.when(
+        F.col("_opens"), F.struct(F.col("_from").alias("at"), F.col("_next").alias("next"))))
+        .over(following).getField("next"))
     own = F.struct(F.col(SEGMENT).alias("s"), F.lit(True).alias("o"))
-    repeat = F.when(F.col("_next.at") - F.col("_to") < halo,
-                    F.struct(F.col("_next.seg").alias("s"), F.lit(False).alias("o")))
+
+    def repeat(segment: str) -> Column:
+        near = F.col(f"{segment}.at") - F.col("_to") < halo
+        return F.when(near, F.struct(F.col(f"{segment}.seg").alias("s"), F.lit(False).alias("o")))
+
     placed = (hist.select(*key, "_bucket", "_from",
-                          F.explode(F.filter(F.array(own, repeat), lambda p: p.isNotNull())).alias("_p"))
+                          F.explode(F.filter(F.array(own, repeat("_next"), repeat("_after")), lambda p: p.isNotNull())).alias("_p"))
               .select(*key, "_bucket", "_from", F.col("_p.s").alias(SEGMENT), F.col("_p.o").alias(OWN))
               .withColumn(OFFSET, F.min("_from").over(Window.partitionBy(*key, SEGMENT)))
               .drop("_from"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions.series import col, ratio
+from candlewick.session import small
 
 # The lexicon of the sentiment score.
 POSITIVE = ["上涨", "涨停", "突破", "增长", "超预期", "利好", "买入", "增持", "推荐", "大涨",
@@ -132,16 +133,11 @@ def search_batch(memory: DataFrame, queries: DataFrame, on: str, k: int, vector:
     """The k nearest documents for each query among those that share its metadata
     value ``on``.  Queries meet documents by that value, and the constant k prunes
     before the exchange."""
-    rows = memory.join(small_queries(queries), on).withColumn("distance", distance(vector, query_vector))
+    rows = memory.join(small(queries), on).withColumn("distance", distance(vector, query_vector))
     w = Window.partitionBy(on).orderBy("distance", key)
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def small_queries(queries: DataFrame) -> DataFrame:
-    from candlewick.session import small
-    return small(queries)
-
-
 def mean_vectors(memory: DataFrame, by: str, vector: str = "embedding", out: str = "query") -> DataFrame:
     """Mean vector per value of ``by``: averages per place, then put in order."""
     parts = memory.select(by, F.posexplode(F.col(vector).cast("array<double>")).alias("p", "x"))

@@ -78,3 +78,14 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key with the session's full partition count.
+
+    The windows that follow need this exchange anyway; naming the count keeps
+    AQE from folding a panel that is small in bytes but heavy in computation
+    into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
