@@ -44,16 +44,27 @@ def held_on(positions: DataFrame, calendar: DataFrame, date: str = "date") -> Da
     """(date, position) for every calendar date a position is held:
     buy_date <= date < sell_date, or still open.
 
-    Each position yields its own days (the size of the result), which meet the
-    calendar by equality; no range join.
+    Calendar dates are numbered; a small table gives, for each day of the span,
+    how many calendar dates lie on or before it.  A position looks up its first and
+    last number and yields exactly the dates between: no range join, and no row
+    that is not part of the result.
     """
-    span = calendar.agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-    first = F.greatest(F.col("buy_date"), F.col("_a"))
-    last = F.least(F.coalesce(F.date_sub("sell_date", 1), F.col("_b")), F.col("_b"))
-    days = (positions.crossJoin(F.broadcast(span))  # one row
-            .filter(F.col("buy_date").isNotNull() & (first <= last))
-            .withColumn(date, F.explode(F.sequence(first, last))).drop("_a", "_b"))
-    return days.join(small(calendar.select(date).distinct()), date, "left_semi")
+    one_by_one = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    dates = calendar.select(date).distinct()
+    span = dates.agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
+    # one row per day of the calendar's span
+    days = (span.select(F.explode(F.sequence("_a", "_b")).alias(date))
+            .join(dates.withColumn("_on", F.lit(1)), date, "left")
+            .withColumn("_upto", F.sum(F.coalesce("_on", F.lit(0))).over(one_by_one)))
+    first = days.select(F.col(date).alias("_first"), (F.col("_upto") - F.coalesce("_on", F.lit(0)) + 1).alias("_i"))
+    last = days.select(F.col(date).alias("_last"), F.col("_upto").alias("_j"))
+    numbered = days.filter("_on = 1").select(F.col("_upto").alias("_no"), date)
+    held = positions.crossJoin(F.broadcast(span)).withColumns({  # span is one row
+        "_first": F.greatest(F.col("buy_date"), F.col("_a")),
+        "_last": F.least(F.coalesce(F.date_sub("sell_date", 1), F.col("_b")), F.col("_b"))})
+    held = held.filter("buy_date IS NOT NULL AND _first <= _last").join(small(first), "_first").join(small(last), "_last").filter("_i <= _j")
+    out = held.withColumn("_no", F.explode(F.sequence("_i", "_j"))).join(small(numbered), "_no")
+    return out.select(*positions.columns, date)
 
 
 def assemble_panel(base: DataFrame, datasets: list[DataFrame], keys: list[str]) -> DataFrame:

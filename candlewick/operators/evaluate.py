@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from candlewick.functions.series import ratio
 from candlewick.operators import factors as X
 from candlewick.operators.ranks import exact_quantiles, spearman
-from candlewick.session import small
+from candlewick.session import cut, small
 
 YEAR = 252
 
@@ -23,7 +23,8 @@ def long_short_metrics(df: DataFrame, groups: list[str], signal: str = "signal",
     """Per group: Sharpe of top-tercile returns pooled with negated bottom-tercile
     returns, sign hit rate, mean top return.  Terciles are exact quantiles of the
     pooled signal."""
-    valid = df.filter(F.col(signal).isNotNull() & F.col(ret).isNotNull())
+    # read three times: for the cut points, the legs and the hits
+    valid = cut(df.filter(F.col(signal).isNotNull() & F.col(ret).isNotNull()).select(*groups, signal, ret))
     cuts = exact_quantiles(valid, groups, signal, {"p33": 0.33, "p67": 0.67})
     # one row of cut points per group
     rows = valid.join(small(cuts), groups)
@@ -47,11 +48,11 @@ def long_short_metrics(df: DataFrame, groups: list[str], signal: str = "signal",
 
 def pooled_metrics(panel: DataFrame, horizons: list[int], signal: str = "signal", min_samples: int = 30) -> DataFrame:
     """First-level evaluation: one row per horizon, all codes and dates pooled."""
-    long = X.long_horizons(X.forward_returns(panel, horizons), horizons, [signal])
+    long = cut(X.long_horizons(X.forward_returns(panel, horizons), horizons, [signal]))
     metrics = long_short_metrics(long, ["horizon"], signal, "ret", min_samples)
     ic = spearman(long, ["horizon"], signal, "ret").drop("n_obs")
-    cover = panel.agg(F.count(signal).alias("n_obs"),
-                      (F.count(signal) / F.count(F.lit(1))).alias("coverage"))
+    cover = long.filter(F.col("horizon") == horizons[0]).agg(
+        F.count(signal).alias("n_obs"), (F.count(signal) / F.count(F.lit(1))).alias("coverage"))
     out = metrics.join(ic, "horizon").crossJoin(F.broadcast(cover))  # cover is one row
     return out.withColumn("ic", F.when(F.col("n_pairs") >= min_samples, F.col("ic")))
 
@@ -138,7 +139,7 @@ def horizon_statistics(long: DataFrame, min_events: int = 5) -> DataFrame:
     ``long`` has (ts_code, trade_date, horizon, ret).  Ratios without a loss to
     divide by are null.
     """
-    df = long.filter(F.col("ret").isNotNull())
+    df = cut(long.filter(F.col("ret").isNotNull()))
     r = F.col("ret")
     agg = df.groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.avg((r > 0).cast("int")).alias("win_rate"),

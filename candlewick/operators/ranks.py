@@ -1,39 +1,42 @@
 """Exact ranks and quantiles without putting a group into one task.
 
 Values are first collapsed to (value, count), which the map side combines, so a
-value held by a third of the rows is one row from there on.  Approximate
-quantiles of each group cut the distinct values into bins of similar size; the
-cut points only balance the work, the results are exact for any cut.  Counts
-below a value = counts of the lower bins + running count inside its bin.
+value held by a third of the rows is one row from there on.  The distinct values
+are range-partitioned by (group, value); the partition number is stored with
+them.  Counts below a value = counts of the group's earlier partitions + running
+count inside its own.  A large group simply spans several partitions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from candlewick.session import cut, small
 
-def value_positions(df: DataFrame, group: list[str], value: str, bins: int = 256) -> DataFrame:
-    """(group, value, n_equal, n_below, n_all) for each distinct non-null value."""
+
+def value_positions(df: DataFrame, group: list[str], value: str, bins: int | None = None) -> DataFrame:
+    """(group, value, n_equal, n_below, n_all) for each distinct non-null value.
+
+    ``bins`` is the number of range partitions, by default the session's.  They
+    are written down: two passes read them, and a range partitioning computed
+    twice need not fall the same way.
+    """
+    n = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
               .agg(F.count(F.lit(1)).alias("n_equal")))
-    cuts = [i / bins for i in range(1, bins)]
-    edges = counts.groupBy(*group).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(value, cuts, bins * 20))).alias("_edges"))
-    # one row per group; with no group a single row
-    placed = (counts.join(edges, group) if group else counts.crossJoin(F.broadcast(edges)))
-    placed = placed.withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    placed = cut(counts.repartitionByRange(n, *group, value).withColumn("_bin", F.spark_partition_id()))
+    # at most one row per partition and group in it
     in_order = Window.partitionBy(*group).orderBy("_bin") if group else Window.orderBy("_bin")
-    # at most `bins` rows per group
     totals = (placed.groupBy(*group, "_bin").agg(F.sum("n_equal").alias("_n"))
               .withColumn("_lower", F.sum("_n").over(in_order) - F.col("_n"))
               .withColumn("n_all", F.sum("_n").over(Window.partitionBy(*group))).drop("_n"))
     inside = Window.partitionBy(*group, "_bin").orderBy(value)
-    return (placed.join(totals, [*group, "_bin"])
+    return (placed.join(small(totals), [*group, "_bin"])
             .withColumn("n_below", F.col("_lower") + F.sum("n_equal").over(inside) - F.col("n_equal"))
             .select(*group, value, "n_equal", "n_below", "n_all"))
 
 
-def average_ranks(df: DataFrame, group: list[str], values: list[str], bins: int = 256) -> DataFrame:
+def average_ranks(df: DataFrame, group: list[str], values: list[str], bins: int | None = None) -> DataFrame:
     """Add ``rank_<value>``: 1-based rank in the group, ties sharing their mean.
 
     Rows are first collapsed to distinct combinations with a count ``n_rows``;
@@ -47,7 +50,7 @@ def average_ranks(df: DataFrame, group: list[str], values: list[str], bins: int
     return out
 
 
-def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "ic", bins: int = 256) -> DataFrame:
+def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "ic", bins: int | None = None) -> DataFrame:
     """Rank correlation per group over rows where both are present."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranks = average_ranks(both, group, [x, y], bins)
@@ -64,7 +67,7 @@ def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "ic", b
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
-                    bins: int = 256) -> DataFrame:
+                    bins: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per entry of ``probs``."""
     places = value_positions(df, group, value, bins)
     picks = []

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from candlewick.functions.series import Series, ratio
 from candlewick.operators import evaluate as E, factors as X
-from candlewick.session import small
+from candlewick.session import cut, small
 
 
 def named_splits(spark: SparkSession, splits: dict[str, tuple[str, str | None]]) -> DataFrame:
@@ -62,6 +60,7 @@ def sweep_thresholds(panel: DataFrame, grid: DataFrame, horizon: int, score: str
     rows = X.forward_returns(panel, [horizon], s=s)
     rows = rows.crossJoin(F.broadcast(grid)).withColumn("signal", F.when(F.col(score) >= F.col("threshold"), F.col(score)))
     keys = ["threshold", "fold"]
+    rows = cut(rows.select(*keys, "signal", f"ret_t{horizon}").filter("signal IS NOT NULL"))
     fired = rows.groupBy(*keys).agg(F.sum((F.abs("signal") > 0).cast("int")).alias("n_signals"))
     metrics = E.long_short_metrics(rows, keys, "signal", f"ret_t{horizon}", min_samples)
     folds = metrics.join(fired, keys).filter((F.col("n_signals") >= min_signals) & F.col("sharpe").isNotNull())

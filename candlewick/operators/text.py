@@ -42,33 +42,31 @@ def _weight(text: Column, found: Column, intensifiers: Column) -> Column:
         F.filter(intensifiers, lambda i: F.contains(text, F.concat(i, w)))) * 0.5)
 
 
-def sentiment_columns(text, lexicon: Lexicon = Lexicon()) -> dict[str, Column]:
-    """score in [-1, 1] and label.
+def with_sentiment(df: DataFrame, text: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
+    """Add score in [-1, 1] and label.
 
     Each negator present moves half a point per word behind its first place from
-    the word's side to the other.
+    the word's side to the other.  Every stage is a column of its own, so the
+    lower-case text and the word lists are built once per row.
     """
-    t = F.lower(F.coalesce(col(text), F.lit("")))
-    pos, neg = _literals(lexicon.positive), _literals(lexicon.negative)
     more, turn = _literals(lexicon.intensifiers), _literals(lexicon.negators)
-    found_pos, found_neg = _found(t, pos), _found(t, neg)
-
-    def turned(found: Column) -> Column:
-        return F.aggregate(_found(t, turn), F.lit(0.0), lambda acc, n: acc + F.size(
-            F.filter(found, lambda w: F.contains(F.substr(t, F.instr(t, n)), w))) * 0.5)
-
-    to_neg, to_pos = turned(found_pos), turned(found_neg)
-    p = _weight(t, found_pos, more) - to_neg + to_pos
-    n = _weight(t, found_neg, more) + to_neg - to_pos
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(p - n, p + n, 0)))
-    return {"score": score, "label": F.when(score > 0.1, "positive").when(score < -0.1, "negative").otherwise("neutral")}
-
-
-def with_sentiment(df: DataFrame, text: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    parts = sentiment_columns(text, lexicon)
-    df = df.withColumn("score", parts["score"])
+    t = F.col("_text")
+    df = df.withColumn("_text", F.lower(F.coalesce(col(text), F.lit(""))))
+    df = df.withColumns({"_pos": _found(t, _literals(lexicon.positive)), "_neg": _found(t, _literals(lexicon.negative)),
+                         "_rests": F.transform(_found(t, turn), lambda n: F.substr(t, F.instr(t, n)))})
+
+    def turned(found: str) -> Column:
+        return F.aggregate("_rests", F.lit(0.0), lambda acc, rest: acc + F.size(
+            F.filter(found, lambda w: F.contains(rest, w))) * 0.5)
+
+    df = df.withColumns({"_to_neg": turned("_pos"), "_to_pos": turned("_neg"),
+                         "_p": _weight(t, F.col("_pos"), more), "_n": _weight(t, F.col("_neg"), more)})
+    p = F.col("_p") - F.col("_to_neg") + F.col("_to_pos")
+    n = F.col("_n") + F.col("_to_neg") - F.col("_to_pos")
+    df = df.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(p - n, p + n, 0))))
     s = F.col("score")
-    return df.withColumn("label", F.when(s > 0.1, "positive").when(s < -0.1, "negative").otherwise("neutral"))
+    df = df.withColumn("label", F.when(s > 0.1, "positive").when(s < -0.1, "negative").otherwise("neutral"))
+    return df.drop("_text", "_pos", "_neg", "_rests", "_to_neg", "_to_pos", "_p", "_n")
 
 
 def sentiment_summary(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
