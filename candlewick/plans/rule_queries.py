@@ -98,3 +98,16 @@ _EVENTS = " UNION ALL ".join(
 @query("signal_events", "G21", with_views("bars_w", _EVENTS, **_upto("final")))
 def signal_events(t):
     return rules.signal_events(panel(t))
+
+
+@query("grouped_signal", "M1 M2 M3", with_views("bars_w", "SELECT ts_code, trade_date, CAST(sign(avg(close) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS 19 PRECEDING) - close) AS DOUBLE) + 0.0 AS signal FROM bars_w"))
+def grouped_signal(t):
+    """A pandas signal run per code: is the close under its 20-bar mean?"""
+    from candlewick.operators.signals import grouped_signal as grouped
+
+    def under_mean(bars, params):
+        mean = bars["close"].rolling(params["n"], min_periods=1).apply(lambda x: x.sum() / len(x), raw=True)
+        gap = (mean - bars["close"]).where((mean - bars["close"]).abs() > 1e-9, 0.0)
+        return gap.apply(lambda x: float((x > 0) - (x < 0)))
+
+    return grouped(t.bars_w().select(*KEYS, "close"), under_mean, {"n": 20})

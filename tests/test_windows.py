@@ -128,3 +128,20 @@ def test_later_of_equal_maxima(spark):
                          "early": -S.at_highest("high", 10, "bar_no", [], latest=False)["at"]})
     last = collect(df, "late", "early").iloc[-1]
     assert last["late"] == 5 and last["early"] == 3
+
+
+def test_column_and_growing_signals(spark):
+    from candlewick.operators import signals
+
+    class Reversal:
+        space = {"n": (10, 30)}
+
+        def column(self, params):
+            return S.mean("close", int(params["n"])) - F.col("close")
+
+    df = panel(spark, walk(90), walk(90, "B", 5))
+    native = signals.column_signal(df, Reversal()).orderBy("ts_code", "trade_date").toPandas()["signal"]
+    slow = signals.growing_window_signal(df, lambda b: b["close"].tail(20).mean() - b["close"].iloc[-1], 60)
+    got = slow.orderBy("ts_code", "trade_date").toPandas()["signal"]
+    assert got.isna().sum() == 118
+    np.testing.assert_allclose(got.dropna(), native[got.notna()], atol=1e-9)
