@@ -166,7 +166,7 @@ def _equity_sql(g):
     return {**_WEEKS,
             "open_p": "SELECT *, CASE WHEN sell_date IS NOT NULL THEN greatest(buy_date, sell_date) END AS fin FROM bp WHERE shares > 0",
             "px": "SELECT w.date, c.ts_code, b.close, b.trade_date FROM weeks w CROSS JOIN (SELECT DISTINCT ts_code FROM bars_w) c ASOF LEFT JOIN bars_w b ON b.ts_code = c.ts_code AND w.date >= b.trade_date",
-            "hv": f"SELECT {k}w.date, sum(cost) AS position_cost, sum(CASE WHEN datediff('day', px.trade_date, w.date) <= 7 THEN shares * px.close ELSE cost END) AS position_value FROM weeks w JOIN open_p p ON p.buy_date <= w.date AND (fin IS NULL OR w.date < fin) JOIN px ON px.date = w.date AND px.ts_code = p.ts_code GROUP BY ALL",
+            "hv": f"SELECT {k}w.date, sum(cost) AS position_cost, sum(CASE WHEN datediff('day', px.trade_date, w.date) <= 7 THEN shares * px.close ELSE cost END) AS position_value FROM weeks w JOIN open_p p ON p.buy_date <= w.date AND (fin IS NULL OR w.date < fin) LEFT JOIN px ON px.date = w.date AND px.ts_code = p.ts_code GROUP BY ALL",
             "cl": f"SELECT {k}w.date, sum(profit_loss) AS closed_pnl FROM weeks w JOIN open_p p ON fin <= w.date GROUP BY ALL",
             "grid": "SELECT * FROM weeks" + (f" CROSS JOIN (SELECT DISTINCT {g} FROM positions)" if g else ""),
             "snap": f"SELECT {k}date, coalesce(position_cost, 0) AS position_cost, coalesce(position_value, 0) AS position_value, coalesce(closed_pnl, 0) AS closed_pnl FROM grid LEFT JOIN hv USING ({k}date) LEFT JOIN cl USING ({k}date)",
