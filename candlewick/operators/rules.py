@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from candlewick.functions.series import BARS, Series, ratio
 from candlewick.operators.indicators import NUMBER
+from candlewick.operators.split import OWN, SEGMENT
 
 MIN_BARS = 60
 FLAT_LIMIT_VOLUME = 10_000_000  # stands in for the volume of a flat limit-up bar
@@ -419,7 +420,7 @@ def signal_panel(indicators: DataFrame, s: Series = BARS) -> DataFrame:
     df = dry_then_surge(df, s)
     df = sell_flags(s1_score(pin30(df, s), s), s)
     df = buy_signals(simple_buy_score(df))
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in (SEGMENT, OWN)])
 
 
 HISTORY = {  # signal name -> (score column, sign)

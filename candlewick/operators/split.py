@@ -15,8 +15,12 @@ which spreads a hot key over its buckets; windows by (key, segment).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from candlewick.functions.series import Series
+
 SEGMENT, OWN, OFFSET = "_segment", "_own", "_offset"
 
 
@@ -59,3 +63,18 @@ def split_series(df: DataFrame, key: list[str], bucket: Column, halo: int,
               .withColumn(OFFSET, F.min("_from").over(Window.partitionBy(*key, SEGMENT)))
               .drop("_from"))
     return rows.join(placed, [*key, "_bucket"]).drop("_bucket")
+
+
+def over_segments(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], order: tuple[str, ...], bucket: Column,
+                  halo: int, key: str = "ts_code", max_rows: int = 1_000_000) -> DataFrame:
+    """Run a panel function on series too long for one task.
+
+    ``build(df, series)`` gets the segments as its series and ``bar_no`` counted
+    from the start of the whole series.  ``halo`` must cover its longest window and
+    the warm-up of its recursions (:func:`candlewick.functions.recursion.warm_up`).
+    Functions that look at a whole series (minimum-length guards) do not fit.
+    """
+    s = Series((key, SEGMENT), order)
+    rows = split_series(df, [key], bucket, halo, max_rows)
+    rows = rows.withColumn("bar_no", F.col(OFFSET) + s.number()).drop(OFFSET)
+    return build(rows, s).filter(OWN).drop(SEGMENT, OWN)

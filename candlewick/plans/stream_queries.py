@@ -4,7 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from candlewick.functions import recursion as R
 from candlewick.operators.indicators import trend_slow
+from candlewick.operators.split import over_segments
 from candlewick.plans.oracle_views import NUMBERED, over, snap as sq, with_views
 from candlewick.plans.registry import query
 from candlewick.plans.rolling import loop
@@ -68,3 +70,18 @@ def running_indicators_stream(t):
     out = T.running_indicators(_as_stream(t, t.bars_w().select(*KEYS, "close", "vol"), "ts_code string, trade_date date, close double, vol double"))
     rows = t.spark.read.parquet(B.drain(out, "append"))
     return rounded(rows, KEYS, ["ema12", "ema26", "trend_fast", "obv"], 3)
+
+
+@query("tick_smoothing", "E8 L4", f"""SELECT event_id, rn AS tick_no, {sq('list_sum(list_transform(f, lambda z: z.x * CASE WHEN z.n = 1 THEN 1 ELSE 2.0/13 END * pow(11.0/13, rn - z.n)))')} AS ema12, {sq('m', 4)} AS mean50 FROM (
+  SELECT event_id, rn, list({{'x': value, 'n': rn}}) OVER (w ROWS 399 PRECEDING) AS f, avg(value) OVER (w ROWS 49 PRECEDING) AS m FROM (
+   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))""")
+def tick_smoothing(t):
+    """Smoothed and mean value per tick.  Five event types hold all ticks, so each
+    series is cut into segments."""
+    def build(df, s):
+        df = df.withColumn("mean50", s.mean("value", 50))
+        return R.decayed_sums(df, s, "bar_no", {"ema12": R.ema_span("value", 12, "bar_no")})
+
+    rows = t.events.select("event_id", "ts", "value", F.col("event_type").alias("ts_code"))
+    out = over_segments(rows, build, ("ts", "event_id"), F.date_trunc("hour", "ts"), halo=R.warm_up(11 / 13))
+    return out.select("event_id", F.col("bar_no").alias("tick_no"), snap("ema12").alias("ema12"), snap("mean50").alias("mean50"))

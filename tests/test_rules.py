@@ -114,3 +114,21 @@ def test_events_list_every_fired_flag(scored, spark):
     n = rules.signal_events(df).count()
     flags = ["signal_buy_b1", "signal_buy_b2", "signal_buy_blk", "signal_buy_blkb2", "signal_buy_scb", "signal_buy_dz30", "signal_s1_full", "signal_s1_half", "break_slow"]
     assert n == int(scored[flags].sum().sum())
+
+
+def test_panel_over_segments_equals_the_whole(spark):
+    """A code with many bars, cut into segments, scores as it does in one piece."""
+    from candlewick.operators.split import over_segments
+
+    long, short = jumpy(2600, 4), jumpy(150, 5)
+    df = panel(spark, long, short)
+    columns = ["dif", "k", "d", "atr", "trend_fast", "trend_slow", "rsi4", "score_b1", "score_b2", "score_s1", "score_scb", "dry_level"]
+    build = lambda rows, s=I.BARS: rules.signal_panel(I.indicator_panel(rows, s), s)
+    keep = lambda out: out.select("ts_code", "trade_date", *columns).toPandas().sort_values(["ts_code", "trade_date"]).reset_index(drop=True)
+    whole = keep(build(df))
+    cut = over_segments(df, build, ("trade_date",), F.trunc("trade_date", "month"), halo=1300, max_rows=1300)
+    parts = keep(cut)
+    assert len(parts) == len(whole) == 2750
+    for c in columns:
+        np.testing.assert_allclose(parts[c].astype(float), whole[c].astype(float), rtol=1e-7, atol=1e-6, err_msg=c)
+
