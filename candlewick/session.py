@@ -25,6 +25,9 @@ def build_session(app: str = "candlewick", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # panels are small in bytes and heavy in computation: when AQE merges
+        # partitions it should still leave a task per core
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
@@ -81,13 +84,3 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
 
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by key with the session's full partition count.
-
-    The windows that follow need this exchange anyway; naming the count keeps
-    AQE from folding a panel that is small in bytes but heavy in computation
-    into one task.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
