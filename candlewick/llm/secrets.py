@@ -151,7 +151,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], block_bits: int = 12) -
         options = [[reduce(both, [F.col(f"p{number[g]}") for g in sorted(option)]) for option in clause] for clause in query]
         return reduce(both, [reduce(F.array_union, c) for c in options])
 
-    found = [F.transform(lists(q), lambda d, k=k: F.struct(d.alias("doc_id"), F.lit(k).alias("rule"))) for k, q in enumerate(queries) if q]
+    def named(k: int, documents: Column) -> Column:
+        return F.transform(documents, lambda d: F.struct(d.alias("doc_id"), F.lit(k).alias("rule")))
+
+    found = [named(k, lists(q)) for k, q in enumerate(queries) if q]
     return (index.select(F.explode(F.concat(*found)).alias("x")).select("x.*")
             .groupBy("doc_id").agg(F.collect_set("rule").alias("rules")))
 
