@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewick.llm.jaccard import jaccard_components
 from candlewick.llm.quality import quality_rules
 from candlewick.llm.secrets import secret_spans
 from candlewick.llm.store import table
@@ -18,6 +19,11 @@ def op7_trigram_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_spans(table(spark, folder, "documents")).drop("found")
 
 
+def op8_fragment_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose 5-word shingles agree to 80 %."""
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 def op10_cross_document_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality measures and verdict of every document."""
     return quality_rules(table(spark, folder, "documents"))
@@ -25,6 +31,7 @@ def op10_cross_document_line_quality(spark: SparkSession, folder: str) -> DataFr
 
 QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op7_trigram_secret_scan,
+    op8_fragment_jaccard_join,
     op10_cross_document_line_quality,
 )}
 SQL: dict[str, str] = {}

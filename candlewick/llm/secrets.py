@@ -165,11 +165,11 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: i
     code points, end exclusive; base rules' digest, all rules' list), ``found``
     (array of kind number, start, end).
 
-    Needs ``doc_id`` (integer, no nulls; it names a text) and ``text``; a null
-    text is empty and has no spans.  Other columns are ignored.  A repeated row
-    gives an equal row again.  An empty table gives an empty result.
+    Needs ``doc_id`` (integer; it names a text) and ``text``; a null text is empty
+    and has no spans, rows without doc_id are left out.  Other columns are ignored.
+    A repeated row gives an equal row again.  An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     scan = [k for k, r in enumerate(rules) if not trigram_query(r.pattern)]
     if len(scan) < len(rules):
         read = docs.join(candidates(docs, rules), "doc_id", "left")

@@ -13,6 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(docs: DataFrame, *more) -> DataFrame:
+    """``doc_id`` as bigint and ``text`` as bytes of every row that has a doc_id, then the columns ``more``."""
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Compute a frame once into the folder that the cluster names in
     ``spark.checkpoint.dir``; it survives lost executors and Spark deletes it
