@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candlewick.llm.jaccard import jaccard_components
 from candlewick.llm.quality import quality_rules
+from candlewick.llm.repeats import without_repeats
 from candlewick.llm.secrets import secret_spans
 from candlewick.llm.store import table
 
 Program = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_suffix_tree_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words left of every document after removing 13-word windows of earlier ones."""
+    return without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op7_trigram_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document."""
     return secret_spans(table(spark, folder, "documents")).drop("found")
@@ -30,6 +36,7 @@ def op10_cross_document_line_quality(spark: SparkSession, folder: str) -> DataFr
 
 
 QUERIES: dict[str, Program] = {f.__name__: f for f in (
+    op6_suffix_tree_substring_dedup,
     op7_trigram_secret_scan,
     op8_fragment_jaccard_join,
     op10_cross_document_line_quality,
