@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candlewick.llm.jaccard import jaccard_components
 from candlewick.llm.quality import quality_rules
 from candlewick.llm.repeats import without_repeats
 from candlewick.llm.secrets import secret_spans
 from candlewick.llm.store import table
+from candlewick.llm.toxicity import toxicity_scores
 
 Program = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(of: int, name: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``of``."""
+    return F.crc32(F.col(name).cast("string").cast("binary")) % of
+
+
+def op1_nonnegative_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of fold 2 of 4 are never read."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scores = toxicity_scores(docs, labels.filter(fold(4) != 2))
+    return scores.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_suffix_tree_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of every document after removing 13-word windows of earlier ones."""
     return without_repeats(table(spark, folder, "documents")).drop("kept")
@@ -36,6 +50,7 @@ def op10_cross_document_line_quality(spark: SparkSession, folder: str) -> DataFr
 
 
 QUERIES: dict[str, Program] = {f.__name__: f for f in (
+    op1_nonnegative_pu_toxicity,
     op6_suffix_tree_substring_dedup,
     op7_trigram_secret_scan,
     op8_fragment_jaccard_join,
