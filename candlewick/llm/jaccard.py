@@ -21,7 +21,7 @@ from candlewick.llm.store import bit_filter, found, saved, texts
 from candlewick.llm.textkit import Words, ids, lower, mix, signed, slices, windows
 
 FRAGMENTS = 4  # of the overlap count
-LEADERS = 4  # members of a candidate group that are compared with all others first
+LEADERS = 2  # members of a candidate group that are compared with all others first
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,29 +120,42 @@ def _describe(k: int):
     return run
 
 
-def _keys(k: int, percent: int, words: np.ndarray | None):
-    """Without a filter only keys, with one (key, node) of the keys it has."""
+def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
+    """Keys of the documents the filter ``nodes`` has; with a filter of keys only
+    those in it, and whose they are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids_ = ids(batch)
             for lo, hi, data, off in slices(batch.column(1)):
                 owner, value = shingle_sets(data, off, k)
+                take = _has(nodes, ids_[lo:hi])[owner]
+                owner, value = owner[take], value[take]
                 doc, key = fragment_keys(owner, value, hi - lo, percent)
                 if words is None:
                     yield pa.record_batch([signed(key)], names=["key"])
                     continue
-                has = found(words, key)
-                node = _digest(owner, value, hi - lo)
-                yield pa.record_batch([signed(key[has]), signed(node[doc[has]])], names=["key", "node"])
+                use = found(words, key)
+                doc, key = doc[use], key[use]
+                yield pa.record_batch([signed(key), pa.array(ids_[lo + doc]), pa.array(np.bincount(owner, minlength=hi - lo)[doc])], names=["key", "id", "n"])
     return run
 
 
+def _has(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return found(words, mix(doc.view(np.uint64)))
+
+
+def _id_filter(df: DataFrame) -> np.ndarray:
+    """A filter of the bigint column ``id``."""
+    return bit_filter(df.select("id").mapInArrow(_mixed, "id bigint"), "id", 24)
+
+
 def _segments(k: int, words: np.ndarray):
     """Sets of the documents the filter has, cut into fragments."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = ids(batch)
             for lo, hi, data, off in slices(batch.column(1)):
-                wanted = np.flatnonzero(found(words, mix(doc[lo:hi].view(np.uint64))))
+                wanted = np.flatnonzero(_has(words, doc[lo:hi]))
                 if not len(wanted):
                     continue
                 owner, value = shingle_sets(data, off, k)
@@ -174,10 +187,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     docs = texts(docs)
     described = saved(docs.mapInArrow(_describe(k), "doc_id bigint, n_shingles bigint, node bigint"))
     nodes = saved(described.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")))
-    seen = docs.mapInArrow(_keys(k, percent, None), "key bigint").groupBy("key").count().filter("count > 1")
+    one = _id_filter(nodes)  # a copy that it lets through is compared like any other document
+    seen = docs.mapInArrow(_keys(k, percent, one, None), "key bigint").groupBy("key").count().filter("count > 1")
     words = bit_filter(seen, "key", filter_bits)
-    shared = docs.mapInArrow(_keys(k, percent, words), "key bigint, node bigint").distinct()
-    groups = saved(shared.join(nodes, "node").select("key", "id", "n"))
+    groups = saved(docs.mapInArrow(_keys(k, percent, one, words), "key bigint, id bigint, n bigint").distinct())
 
     # leaders of a group: its least ids by several orders
     orders = [F.xxhash64(F.lit(i), "id") if i else F.col("id") for i in range(LEADERS)]
@@ -213,11 +226,10 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that link: overlaps counted per fragment, then summed."""
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    hashed = asked.mapInArrow(_mixed, "id bigint")
-    segments = saved(docs.mapInArrow(_segments(k, bit_filter(hashed, "id", 24)), "id bigint, fragment int, grams array<bigint>")
+    segments = saved(docs.mapInArrow(_segments(k, _id_filter(asked)), "id bigint, fragment int, grams array<bigint>")
                      .join(asked, "id", "left_semi").dropDuplicates(["id", "fragment"]))
-    one = pairs.join(segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("left")), "a")
-    two = one.join(segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("right")), ["b", "fragment"])
+    left = pairs.join(segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("left")), "a")
+    two = left.join(segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("right")), ["b", "fragment"])
     parts = two.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
     return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).filter(
         100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
