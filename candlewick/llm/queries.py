@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.llm.jaccard import jaccard_components
 from candlewick.llm.lattice import lattice_scores
+from candlewick.llm.pages import main_text
 from candlewick.llm.quality import quality_rules
 from candlewick.llm.repeats import without_repeats
 from candlewick.llm.secrets import secret_spans
@@ -50,6 +51,11 @@ def op8_fragment_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op9_consensus_path_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, folder, "pages"))
+
+
 def op10_cross_document_line_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality measures and verdict of every document."""
     return quality_rules(table(spark, folder, "documents"))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op6_suffix_tree_substring_dedup,
     op7_trigram_secret_scan,
     op8_fragment_jaccard_join,
+    op9_consensus_path_extraction,
     op10_cross_document_line_quality,
 )}
 SQL: dict[str, str] = {}
