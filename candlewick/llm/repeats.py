@@ -3,8 +3,8 @@
 Suffixes are sampled: of the short word n-grams inside a window of ``length``
 words the one with the least hash (the *anchor*) is taken, so equal windows have
 equal anchors at equal places.  Suffixes that begin at anchors are split into
-groups by their prefix - the anchor's words, or the whole window where an anchor
-is too frequent for one task.  Each group's suffixes, with the words before the
+groups by their prefix - the anchor's words, or as many as the whole window where
+an anchor is too frequent for one task.  Each group's suffixes, with the words before the
 anchor, are sorted; neighbours that agree for ``length`` words are below one deep
 internal node of the suffix tree, which is a repeat.
 """
@@ -54,7 +54,7 @@ def _anchor_rows(length: int):
 def _suffix_rows(length: int, repeated: np.ndarray, frequent: np.ndarray):
     """Runs of windows around a repeated anchor: their words once, from the first
     window's start to the last one's end.  ``n``: windows; ``at``: number of the
-    run's first word in the text; ``whole``: one window of a frequent anchor."""
+    run's first word in the text; ``whole``: the anchor is a frequent one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = ids(batch)
@@ -68,16 +68,15 @@ def _suffix_rows(length: int, repeated: np.ndarray, frequent: np.ndarray):
                 if not len(at):
                     continue
                 often = found(frequent, value)
-                new = np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1) | often[1:]])
+                new = np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
                 s = np.flatnonzero(new)
                 e = np.concatenate([s[1:], [len(at)]]) - 1
                 raw = data.tobytes()
                 first, last = at[s], at[e] + length
-                lists = [raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[last - 1].tolist())]
+                lists = [b" ".join(raw[a:b].split()) for a, b in zip(words.start[first].tolist(), words.end[last - 1].tolist())]
                 owner = words.doc[first]
-                key = np.where(often[s], windows(words.hashes(), length)[first], value[s])
                 yield pa.record_batch([
-                    signed(key), pa.array(doc[lo + owner]), pa.array((first - words.first[owner]).astype(np.int32)), pa.array((e - s + 1).astype(np.int16)),
+                    signed(value[s]), pa.array(doc[lo + owner]), pa.array((first - words.first[owner]).astype(np.int32)), pa.array((e - s + 1).astype(np.int16)),
                     pa.array(often[s]), pa.array(lists, pa.binary())],
                     names=["key", "doc_id", "at", "n", "whole", "words"])
     return run
@@ -163,9 +162,9 @@ def repeated_starts(docs: DataFrame, length: int = 13, filter_bits: int = 27, gr
 
     ``filter_bits`` sizes filters of anchors found in two or more documents and of
     those with over ``group_rows`` occurrences; what a full filter lets through is
-    decided by the words themselves, so it costs work only.  Windows of frequent
-    anchors go by the whole window and are combined before the shuffle, so that no
-    task needs all of a passage's copies.
+    decided by the words themselves, so it costs work only.  Of frequent anchors equal runs are
+    combined before the shuffle and then split by whole windows, so that no task
+    needs all of a passage's copies.
     """
     docs = texts(docs)
     counted = saved(docs.mapInArrow(_anchor_rows(length), "anchor bigint, doc_id bigint").groupBy("anchor").agg(
@@ -175,10 +174,17 @@ def repeated_starts(docs: DataFrame, length: int = 13, filter_bits: int = 27, gr
     rows = docs.mapInArrow(_suffix_rows(length, repeated, frequent), ROWS)
     below = (rows.filter("not whole").select("key", "doc_id", "at", "n", "words").repartition("key").sortWithinPartitions("key")
              .mapInArrow(_trees(length), "doc_id bigint, at int"))
-    whole = rows.filter("whole").select("words", "doc_id", "at").withColumn("words", F.sha2("words", 256))
-    nodes = whole.groupBy("words").agg(F.min("doc_id").alias("least"))
-    whole = whole.join(nodes, "words").filter("doc_id > least").select("doc_id", "at")
-    return below.union(whole).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    # equal runs of a frequent anchor become one before its windows are looked at
+    whole = rows.filter("whole").select("doc_id", "at", F.col("words").cast("string").alias("run"))
+    runs = whole.groupBy("run").agg(F.min("doc_id").alias("least"))
+    size = F.size(F.split("run", " ")) - length
+    each = runs.select("run", "least", F.explode(F.sequence(F.lit(0), size)).alias("j")).withColumn(
+        "window", F.expr(f"sha2(array_join(slice(split(run, ' '), j + 1, {length}), ' '), 256)"))
+    nodes = each.groupBy("window").agg(F.min("least").alias("least"))
+    owners = each.select("run", "j", "window").join(nodes, "window").groupBy("run").agg(F.collect_list(F.struct("j", "least")).alias("owners"))
+    whole = whole.join(owners, "run").select("doc_id", F.expr("transform(filter(owners, x -> x.least < doc_id), x -> at + x.j)").alias("starts"))
+    below = below.select("doc_id", F.array("at").alias("starts"))
+    return below.union(whole.filter(F.size("starts") > 0)).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, length: int = 13, **options) -> DataFrame:
