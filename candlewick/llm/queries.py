@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm.jaccard import jaccard_components
+from candlewick.llm.latent import leaks
 from candlewick.llm.lattice import lattice_scores
 from candlewick.llm.pages import main_text
 from candlewick.llm.quality import quality_rules
@@ -31,6 +32,11 @@ def op1_nonnegative_pu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op2_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_subword_lattice_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     """Probability of every document; fold 1 of 5 is scored only."""
     return lattice_scores(table(spark, folder, "documents"), fold(5) == 1)
@@ -63,6 +69,7 @@ def op10_cross_document_line_quality(spark: SparkSession, folder: str) -> DataFr
 
 QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op1_nonnegative_pu_toxicity,
+    op2_latent_decontamination,
     op3_subword_lattice_likelihood,
     op6_suffix_tree_substring_dedup,
     op7_trigram_secret_scan,
