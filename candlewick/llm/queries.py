@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candlewick.llm.jaccard import jaccard_components
 from candlewick.llm.latent import leaks
 from candlewick.llm.lattice import lattice_scores
+from candlewick.llm.packing import packed
 from candlewick.llm.pages import main_text
 from candlewick.llm.quality import quality_rules
 from candlewick.llm.repeats import without_repeats
@@ -42,6 +43,11 @@ def op3_subword_lattice_likelihood(spark: SparkSession, folder: str) -> DataFram
     return lattice_scores(table(spark, folder, "documents"), fold(5) == 1)
 
 
+def op5_variable_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 512 to 8192 tokens."""
+    return packed(table(spark, folder, "documents"))
+
+
 def op6_suffix_tree_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of every document after removing 13-word windows of earlier ones."""
     return without_repeats(table(spark, folder, "documents")).drop("kept")
@@ -71,6 +77,7 @@ QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op1_nonnegative_pu_toxicity,
     op2_latent_decontamination,
     op3_subword_lattice_likelihood,
+    op5_variable_best_fit_packing,
     op6_suffix_tree_substring_dedup,
     op7_trigram_secret_scan,
     op8_fragment_jaccard_join,
