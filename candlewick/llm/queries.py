@@ -12,6 +12,7 @@ from candlewick.llm.latent import leaks
 from candlewick.llm.lattice import lattice_scores
 from candlewick.llm.packing import packed
 from candlewick.llm.pages import main_text
+from candlewick.llm.personal import personal_spans
 from candlewick.llm.quality import quality_rules
 from candlewick.llm.repeats import without_repeats
 from candlewick.llm.secrets import secret_spans
@@ -43,6 +44,11 @@ def op3_subword_lattice_likelihood(spark: SparkSession, folder: str) -> DataFram
     return lattice_scores(table(spark, folder, "documents"), fold(5) == 1)
 
 
+def op4_word_shape_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    return personal_spans(table(spark, folder, "documents"))
+
+
 def op5_variable_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of 512 to 8192 tokens."""
     return packed(table(spark, folder, "documents"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op1_nonnegative_pu_toxicity,
     op2_latent_decontamination,
     op3_subword_lattice_likelihood,
+    op4_word_shape_crf,
     op5_variable_best_fit_packing,
     op6_suffix_tree_substring_dedup,
     op7_trigram_secret_scan,
