@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
-from candlewick.llm.store import bit_filter, found, saved, texts
+from candlewick.llm.store import bit_filter, found, saved, texts, without
 from candlewick.llm.textkit import Words, ids, lower, mix, signed, slices, windows
 
 FRAGMENTS = 4  # of the overlap count
@@ -241,7 +241,6 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those linked to a smaller doc_id: one of each
-    component stays (repeated rows of it stay too).  Columns are unchanged."""
-    kept = jaccard_components(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """The documents without those of a component that has a smaller doc_id: one of
+    each stays (repeated rows of it too, and rows without doc_id).  Columns are unchanged."""
+    return without(docs, jaccard_components(docs, **options).filter("doc_id > component_id"))

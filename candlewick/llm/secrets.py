@@ -208,18 +208,30 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: i
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mark: str = "[secret]") -> DataFrame:
     """The documents with every secret replaced by ``mark`` and ``n_chars`` set
     anew where the text changed; all rows and columns stay, null texts stay null."""
-    spans = secret_spans(docs, rules).filter(F.size("found") > 0).select(F.col("doc_id").alias("_doc"), F.col("found").alias("_found")).dropDuplicates(["_doc"])
-    joined = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left")
+    spans = (secret_spans(docs, rules).filter(F.size("found") > 0).dropDuplicates(["doc_id"])
+             .select(F.col("doc_id").alias("id"), F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("found")))
     # overlapping spans become one: keep a start that no earlier span covers
-    reach = F.expr("""aggregate(_found, cast(array() as array<struct<start:bigint,end:bigint>>), (out, s) ->
+    spans = spans.select("id", F.expr("""aggregate(found, cast(array() as array<struct<start:bigint,end:bigint>>), (out, s) ->
         if(size(out) > 0 and s.start < element_at(out, -1).end,
            concat(slice(out, 1, size(out) - 1), array(struct(element_at(out, -1).start as start, greatest(element_at(out, -1).end, s.end) as end))),
-           concat(out, array(struct(s.start as start, s.end as end)))))""")
-    pieces = F.expr(f"""concat_ws('{mark}', transform(sequence(0, size(_spans)), i -> substring(text,
-        cast(if(i = 0, 1, _spans[greatest(i - 1, 0)].end + 1) as int),
-        cast(if(i = size(_spans), char_length(text), _spans[least(i, size(_spans) - 1)].start) - if(i = 0, 0, _spans[greatest(i - 1, 0)].end) as int))))""")
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(pieces)
-    out = joined.withColumn("_spans", reach).withColumn("_text", text)
-    return out.select(*[F.col("_text").alias("text") if c == "text" else
-                        F.when(F.col("_found").isNull(), F.col(c)).otherwise(F.char_length("_text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-                        for c in docs.columns])
+           concat(out, array(s))))""").alias("spans"))
+    joined = docs.join(spans, docs["doc_id"] == spans["id"], "left")
+    text, cuts = docs["text"], spans["spans"]
+
+    def kept(i: Column) -> Column:
+        """The text between the i-th span and the next."""
+        begin = F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"])
+        end = F.when(i == F.size(cuts), F.char_length(text)).otherwise(F.get(cuts, i)["start"])
+        return F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    new = F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts)), kept), mark)
+
+    def column(name: str) -> Column:
+        old = docs[f"`{name}`"]
+        if name == "text":
+            return F.when(cuts.isNull(), old).otherwise(new).alias(name)
+        if name == "n_chars":
+            return F.when(cuts.isNull(), old).otherwise(F.char_length(new)).cast(docs.schema[name].dataType).alias(name)
+        return old
+
+    return joined.select(*[column(c) for c in docs.columns])

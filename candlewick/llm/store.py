@@ -18,17 +18,29 @@ def texts(docs: DataFrame, *more) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *more)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Compute a frame once into the folder that the cluster names in
-    ``spark.checkpoint.dir``; it survives lost executors and Spark deletes it
-    with the frame.  A local session without the setting gets a scratch folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which all
+    executors share; a local session without the setting gets a scratch folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="candlewick-"))
+    return context.getCheckpointDir()
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in the column ``name`` of ``ids``;
+    rows without doc_id stay.  Columns of either are told apart by their frame."""
+    gone = ids.select(F.col(name).alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Compute a frame once into the shared folder; it survives lost executors, and
+    Spark deletes it with the frame where it is set to."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
