@@ -54,17 +54,18 @@ def class_bounds(largest: int) -> np.ndarray:
     return np.array(edges)
 
 
-def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key): one key per fragment that is not empty.
+def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, class, fragments filled in that class): one key per fragment that is not empty.
 
     A set is cut for its own size class and for the classes below that may hold
     partners; the class gives the number of fragments, so both of a pair are cut
     alike.  Fragments empty in both agree too but name nobody; a set with so many
     empty ones that no equal fragment need remain also gives the least of its
-    hashes as keys (prefix filter), which such a pair must share.
+    hashes as keys (prefix filter), which such a pair must share; their class is -1.
     """
     n = np.bincount(owner, minlength=n_docs)
-    out_doc, out_key = [], []
+    none = np.zeros(0, np.int64)
+    out_doc, out_key, out_class, out_filled = [none], [none.astype(np.uint64)], [none], [none]
     begin = np.concatenate([[0], np.cumsum(n)])
     bounds = class_bounds(int(n.max(initial=1)))
     low_class = np.searchsorted(bounds, np.maximum(1, -(-n * percent // 100)), "right") - 1
@@ -87,17 +88,19 @@ def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: in
         s = np.flatnonzero(start)
         total = np.add.reduceat(mix(v), s) if len(s) else np.zeros(0, np.uint64)
         key = mix(total ^ mix(piece[s] + (klass[o[s]].astype(np.uint64) << np.uint64(40)) + np.uint64(7)))
+        filled = np.bincount(o[s], minlength=n_docs)
         out_doc.append(o[s])
         out_key.append(key)
-        filled = np.bincount(o[s], minlength=n_docs)
+        out_class.append(klass[o[s]])
+        out_filled.append(filled[o[s]])
         sparse = np.flatnonzero(use & (filled <= differ))
         for d in sparse:
             head = value[begin[d]:begin[d] + n[d] - (-(-n[d] * percent // 100)) + 1]
             out_doc.append(np.full(len(head), d))
             out_key.append(mix(head ^ np.uint64(0x5851F42D4C957F2D)))
-    if not out_doc:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_doc), np.concatenate(out_key)
+            out_class.append(np.full(len(head), -1))
+            out_filled.append(np.zeros(len(head), np.int64))
+    return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_class), np.concatenate(out_filled)
 
 
 def _digest(owner: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
@@ -130,13 +133,15 @@ def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
                 owner, value = shingle_sets(data, off, k)
                 take = _has(nodes, ids_[lo:hi])[owner]
                 owner, value = owner[take], value[take]
-                doc, key = fragment_keys(owner, value, hi - lo, percent)
+                doc, key, klass, filled = fragment_keys(owner, value, hi - lo, percent)
                 if words is None:
                     yield pa.record_batch([signed(key)], names=["key"])
                     continue
                 use = found(words, key)
-                doc, key = doc[use], key[use]
-                yield pa.record_batch([signed(key), pa.array(ids_[lo + doc]), pa.array(np.bincount(owner, minlength=hi - lo)[doc])], names=["key", "id", "n"])
+                doc, n = doc[use], np.bincount(owner, minlength=hi - lo)
+                own = np.searchsorted(class_bounds(int(n.max(initial=1))), np.maximum(1, n), "right") - 1
+                yield pa.record_batch([signed(key[use]), pa.array(ids_[lo + doc]), *[pa.array(x.astype(np.int32)) for x in (n[doc], own[doc], klass[use], filled[use])]],
+                                      names=["key", "id", "n", "own", "class", "filled"])
     return run
 
 
@@ -190,25 +195,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     one = _id_filter(nodes)  # a copy that it lets through is compared like any other document
     seen = docs.mapInArrow(_keys(k, percent, one, None), "key bigint").groupBy("key").count().filter("count > 1")
     words = bit_filter(seen, "key", filter_bits)
-    groups = saved(docs.mapInArrow(_keys(k, percent, one, words), "key bigint, id bigint, n bigint").distinct())
+    groups = saved(docs.mapInArrow(_keys(k, percent, one, words), "key bigint, id bigint, n int, own int, class int, filled int").distinct())
+    agreed = saved(groups.groupBy("id", "class").agg(F.collect_list("key").alias("keys"), F.max("filled").alias("filled")))
 
     # leaders of a group: its least ids by several orders
     orders = [F.xxhash64(F.lit(i), "id") if i else F.col("id") for i in range(LEADERS)]
-    heads = groups.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by("id", o).alias(f"h{i}") for i, o in enumerate(orders)], *[F.min_by("n", o).alias(f"n{i}") for i, o in enumerate(orders)]).filter("size > 1")
-    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}").alias("id"), F.col(f"n{i}").alias("n")) for i in range(LEADERS)]))).alias("h"))
-    pairs = _ordered(groups.join(heads.select("key", F.col("h.id").alias("id2"), F.col("h.n").alias("n2")), "key"), percent)
-    first = saved(pairs)
-    links = _verified(docs, first, k, percent)
+    heads = groups.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by("id", o).alias(f"h{i}") for i, o in enumerate(orders)],
+                                      *[F.min_by("n", o).alias(f"n{i}") for i, o in enumerate(orders)], *[F.min_by("own", o).alias(f"o{i}") for i, o in enumerate(orders)]).filter("size > 1")
+    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}").alias("id"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("own")) for i in range(LEADERS)]))).alias("h"))
+    heads = heads.select("key", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.own").alias("own2"))
+    first = saved(_ordered(groups.join(heads, "key"), percent))
+    links = _verified(docs, saved(_possible(first, agreed, percent)), k, percent)
     label = components(links)
-    grouped = saved(groups.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+    grouped = saved(groups.join(label, "id", "left").select("key", "id", "n", "own", "class", F.coalesce("component", "id").alias("component")))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rest = grouped.join(open_keys, "key")
-    # groups of the same members are one group
-    left, right = rest, rest.withColumnsRenamed({"id": "id2", "n": "n2", "component": "component2"})
-    others = _ordered(left.join(right, "key").filter("component < component2"), percent).join(first, ["a", "b"], "left_anti")
-    more = saved(_verified(docs, saved(others), k, percent))
+    others = _ordered(rest.join(rest.selectExpr("key", "id as id2", "n as n2", "own as own2", "component as component2"), "key").filter("component < component2"), percent)
+    others = saved(_possible(others.join(first, ["a", "b"], "left_anti"), agreed, percent))
+    more = saved(_verified(docs, others, k, percent))
     if not more.isEmpty():
-        label = components(links.select("a", "b").union(more.select("a", "b")))
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     named = label.select("id", "component")
     linked = described.filter("node <> 0").join(nodes.select("node", "id").join(named, "id", "left").select("node", F.coalesce("component", "id").alias("component_id")), "node")
     return (linked.select("doc_id", "n_shingles", "component_id")
@@ -216,21 +222,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
 
 
 def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a < b) with their sizes, where the sizes allow a link."""
-    return (pairs.filter((F.col("id") != F.col("id2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-            .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"),
-                    F.when(F.col("id") < F.col("id2"), F.col("n")).otherwise(F.col("n2")).alias("na"),
-                    F.when(F.col("id") < F.col("id2"), F.col("n2")).otherwise(F.col("n")).alias("nb")).distinct())
+    """Distinct (a < b) with sizes and classes, where the sizes allow a link and the
+    key is one by which they are compared."""
+    near = (F.col("id") != F.col("id2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    by = (F.col("class") == -1) | (F.col("class") == F.least("own", "own2"))
+    swap = F.col("id") > F.col("id2")
+    return pairs.filter(near & by).select(
+        F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.least("own", "own2").alias("class"),
+        F.when(swap, F.col("n2")).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(F.col("n2")).alias("nb")).distinct()
+
+
+def _possible(pairs: DataFrame, agreed: DataFrame, percent: int) -> DataFrame:
+    """Pairs that agree in so many fragments that the others need not hold too many differences (at least one each)."""
+    def side(name: str) -> DataFrame:
+        return agreed.select(F.col("id").alias(name), "class", F.col("keys").alias(f"keys_{name}"), F.col("filled").alias(f"filled_{name}"))
+
+    joined = pairs.join(side("a"), ["a", "class"], "left").join(side("b"), ["b", "class"], "left")
+    same = F.coalesce(F.size(F.array_intersect("keys_a", "keys_b")), F.lit(0))
+    differ = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+    return joined.filter(same + differ >= F.greatest(F.coalesce("filled_a", F.lit(0)), F.coalesce("filled_b", F.lit(0)))).select("a", "b", "na", "nb")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that link: overlaps counted per fragment, then summed."""
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    segments = saved(docs.mapInArrow(_segments(k, _id_filter(asked)), "id bigint, fragment int, grams array<bigint>")
-                     .join(asked, "id", "left_semi").dropDuplicates(["id", "fragment"]))
-    left = pairs.join(segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("left")), "a")
-    two = left.join(segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("right")), ["b", "fragment"])
-    parts = two.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).alias("part"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    segments = docs.mapInArrow(_segments(k, _id_filter(asked)), "id bigint, fragment int, grams array<bigint>")
+    parts = pairs.select("*", F.explode(F.array(*[F.lit(i) for i in range(FRAGMENTS)])).alias("fragment"))
+    parts = parts.join(segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("left")), ["a", "fragment"])
+    parts = parts.join(segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("right")), ["b", "fragment"])
+    # a repeated row of a document brings its fragments again: max takes them once
+    parts = parts.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("left", "right")).alias("part")).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part"))
     return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).filter(
         100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
 
