@@ -5,7 +5,8 @@ sum over all of them, each the product of its pieces' unigram probabilities.  As
 no piece crosses white space, a text's probability is the product over its words,
 and each distinct word's lattice is evaluated once (forward recursion in log
 space, many words at a time).  The vocabulary is the given tokenizer's; the
-unigram weights are the relative frequencies of its pieces in the training texts.
+unigram weights are the relative frequencies of its pieces in the distinct words of
+the training texts (what the lattice is for is words not seen before).
 A word of the training texts is one more piece, which only stands for itself; all
 other cuts share the chance of a token that is new (as many as were seen once).
 """
@@ -157,11 +158,10 @@ def _cut(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         total = np.zeros(model.get_piece_size(), np.int64)
         for batch in batches:
-            words, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            words = batch.column(0).to_pylist()
             cut = model.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
-            sizes = [len(x) for x in cut]
-            flat = np.fromiter((i for x in cut for i in x), np.int64, sum(sizes))
-            total += np.bincount(flat, np.repeat(times, sizes), minlength=len(total)).astype(np.int64)
+            flat = np.fromiter((i for x in cut for i in x), np.int64)
+            total += np.bincount(flat, minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "c"])
     return run
@@ -220,7 +220,7 @@ def lattice_scores(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULA
 
     A text is its words (A-Z in lower case) and one end.  ``base_score`` is the
     smoothed word unigram's log10 probability, ``score`` the marginal of the
-    lattice (pieces' frequencies in training texts plus one half; whole words).  Where
+    lattice (pieces' frequencies in training words plus one half; whole words).  Where
     ``held_out`` is true a text is scored and not learned from.
 
     Needs ``doc_id`` (integer) and ``text``; a null text is empty and has its end
