@@ -67,6 +67,38 @@ def held_on(positions: DataFrame, calendar: DataFrame, date: str = "date") -> Da
     return out.select(*positions.columns, date)
 
 
+def held_totals(positions: DataFrame, calendar: DataFrame, by: list[str], sums: list[str], date: str = "date") -> DataFrame:
+    """Number ``n`` and sums of the positions held on each calendar date, per ``by``;
+    held as in :func:`held_on`.
+
+    A position is two changes, at the first calendar dates on or after its buy and
+    its sell date; changes are summed per date and run up, so no row is made per
+    position and date held.
+    """
+    one_by_one = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    dates = calendar.select(date).distinct()
+    span = dates.agg(F.min(date).alias("_a"), F.max(date).alias("_b"), F.count(F.lit(1)).alias("_all"))
+    # one row per day of the calendar's span
+    days = (span.select(F.explode(F.sequence("_a", "_b")).alias(date))
+            .join(dates.withColumn("_on", F.lit(1)), date, "left")
+            .withColumn("_upto", F.sum(F.coalesce("_on", F.lit(0))).over(one_by_one)))
+    number = days.select(F.col(date).alias("_day"), (F.col("_upto") - F.coalesce("_on", F.lit(0)) + 1).alias("_no"))
+    held = positions.crossJoin(F.broadcast(span)).filter(  # span is one row
+        "buy_date <= _b AND (sell_date IS NULL OR sell_date > greatest(buy_date, _a))")
+    ends = F.filter(F.array(F.struct(F.greatest("buy_date", "_a").alias("_day"), F.lit(1).alias("_sign")),
+                            F.struct(F.when(F.col("sell_date") <= F.col("_b"), F.col("sell_date")).alias("_day"), F.lit(-1).alias("_sign"))), lambda e: e["_day"].isNotNull())
+    changes = held.select(*by, *sums, "_all", F.explode(ends).alias("_e")).select(*by, *sums, "_all", "_e.*")
+    per_date = (changes.groupBy(*by, "_day").agg(F.sum("_sign").alias("_n"), F.max("_all").alias("_all"), *[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in sums])
+                .join(small(number), "_day").groupBy(*by, "_no").agg(F.sum("_n").alias("_n"), F.max("_all").alias("_all"), *[F.sum(c).alias(c) for c in sums]))
+    # one row per group and date from here on
+    in_order = Window.partitionBy(*by).orderBy("_no")
+    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    run = per_date.select(*by, "_no", (F.coalesce(F.lead("_no").over(in_order), F.col("_all") + 1) - 1).alias("_last"),
+                          F.sum("_n").over(upto).alias("n"), *[F.sum(c).over(upto).alias(c) for c in sums]).filter("n > 0 AND _no <= _last")
+    numbered = days.filter("_on = 1").select(F.col("_upto").alias("_no"), date)
+    return run.withColumn("_no", F.explode(F.sequence("_no", "_last"))).join(small(numbered), "_no").select(*by, date, "n", *sums)
+
+
 def assemble_panel(base: DataFrame, datasets: list[DataFrame], keys: list[str]) -> DataFrame:
     """Left-join daily datasets onto the base; on a name clash the earlier frame's
     column stays.  Numbers become doubles.  Datasets keyed by date alone (an index)

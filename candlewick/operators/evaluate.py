@@ -96,15 +96,16 @@ def top_share_portfolio(panel: DataFrame, hold: int = 5, share: float = 0.1, sig
 
 def portfolio_summary(returns: DataFrame, ret: str = "ret", date: str = "trade_date") -> DataFrame:
     """Total, annual return, Sharpe, largest drawdown and win rate of one return
-    series (one row per date)."""
+    series (one row per date).  Compounded in logarithms; ``log_return`` and
+    ``annual_log_return`` stay finite where the returns themselves overflow."""
     upto = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    curve = returns.withColumn("_cum", F.product(1 + F.col(ret)).over(upto))
-    curve = curve.withColumn("_dd", F.col("_cum") / F.max("_cum").over(upto) - 1)
-    agg = curve.agg((F.product(1 + F.col(ret)) - 1).alias("total_return"), F.count(ret).alias("n_days"),
+    curve = returns.withColumn("_cum", F.sum(X.log_growth(ret)).over(upto))
+    curve = curve.withColumn("_dd", F.expm1(F.col("_cum") - F.max("_cum").over(upto)))
+    agg = curve.agg(F.sum(X.log_growth(ret)).alias("log_return"), F.count(ret).alias("n_days"),
                     annual_sharpe(F.avg(ret), F.stddev_samp(ret)).alias("sharpe_ratio"),
                     F.min("_dd").alias("max_drawdown"), F.avg((F.col(ret) > 0).cast("int")).alias("win_rate"))
-    annual = F.pow(1 + F.col("total_return"), F.lit(float(YEAR)) / F.greatest(F.col("n_days"), F.lit(1))) - 1
-    return agg.withColumn("annual_return", annual)
+    agg = agg.withColumn("annual_log_return", F.col("log_return") * YEAR / F.greatest(F.col("n_days"), F.lit(1)))
+    return agg.withColumns({"total_return": F.expm1("log_return"), "annual_return": F.expm1("annual_log_return")})
 
 
 def period_returns(returns: DataFrame, unit: str, ret: str = "ret", date: str = "trade_date") -> DataFrame:
@@ -163,9 +164,9 @@ def event_returns(panel: DataFrame, horizons: list[int], signal: str = "signal",
 
 
 def signal_events(panel: DataFrame, horizons: list[int], signal: str = "signal", threshold: float = 0.0,
-                  limit: int | None = 500) -> DataFrame:
-    """Events (code, date, strength, horizon -> return), newest first; the first
-    ``limit`` make the report, None keeps all."""
+                  limit: int | None = None) -> DataFrame:
+    """Events (code, date, strength, horizon -> return); with a ``limit`` the
+    newest so many, in that order."""
     df = X.forward_returns(panel, horizons)
     returns = F.create_map(*[x for h in horizons for x in (F.lit(f"t{h}"), F.col(f"ret_t{h}"))])
     events = (df.filter(F.abs(F.col(signal)) > threshold)

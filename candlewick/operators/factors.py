@@ -181,11 +181,18 @@ def quantile_returns(df: DataFrame, factor: str, target: str = "future_return",
     return wide.withColumn("long_short", F.col(f"Q{q}") - F.col("Q1"))
 
 
-def cumulative_curves(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """Compounded curves over the dates (one row per date)."""
+def log_growth(ret) -> Column:
+    """ln(1 + r): what is summed to compound; a total loss is minus infinity."""
+    r = F.col(ret) if isinstance(ret, str) else ret
+    return F.when(r > -1, F.log1p(r)).when(r.isNotNull(), F.lit(float("-inf")))
+
+
+def cumulative_curves(wide: DataFrame, columns: list[str], log: bool = False) -> DataFrame:
+    """Compounded curves over the dates (one row per date): returns since the
+    start, or with ``log`` the logarithm of the growth, which cannot overflow."""
     upto = Window.orderBy(DATE).rowsBetween(Window.unboundedPreceding, 0)
-    return wide.select(DATE, *[(F.product(1 + F.coalesce(F.col(c), F.lit(0.0))).over(upto) - 1).alias(c)
-                               for c in columns])
+    grown = {c: F.sum(log_growth(F.coalesce(F.col(c), F.lit(0.0)))).over(upto) for c in columns}
+    return wide.select(DATE, *[(g if log else F.expm1(g)).alias(c) for c, g in grown.items()])
 
 
 def factor_turnover(df: DataFrame, factor: str, n: int = 50) -> DataFrame:

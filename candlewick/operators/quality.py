@@ -1,7 +1,7 @@
 """Data-quality checks as rows: (check, valid, violations, sample).
 
-The counts of one table come from one pass; a sample is a limited list of
-violating keys, which is all a sample is for.
+The counts of one table come from one pass; a sample is the first ``sample`` of
+the violating keys in order, which is all a sample is for.
 """
 
 from __future__ import annotations
@@ -32,19 +32,19 @@ def completeness(df: DataFrame, expected: int | None = None) -> DataFrame:
     return agg.select(valid.alias("valid"), "actual_count", want.alias("expected_count"), F.round(missing, 2).alias("missing_pct"))
 
 
-def _sample(violations: DataFrame, value: Column) -> DataFrame:
-    """At most SAMPLE values as one array; the limit stands before the collect."""
-    return violations.select(value.alias("v")).limit(SAMPLE).agg(F.array_sort(F.collect_list("v")).alias("sample"))
+def _sample(violations: DataFrame, value: Column, size: int) -> DataFrame:
+    """The first ``size`` values as one array; the limit stands before the collect."""
+    return violations.select(value.alias("v")).orderBy("v").limit(size).agg(F.array_sort(F.collect_list("v")).alias("sample"))
 
 
-def uniqueness(df: DataFrame, keys: list[str]) -> DataFrame:
+def uniqueness(df: DataFrame, keys: list[str], sample: int = SAMPLE) -> DataFrame:
     """Rows in groups that share a key.  Counting combines on the map side."""
     if set(keys) - set(df.columns):
         return _error(df, "unique")
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     total = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_v"))
-    sample = _sample(groups, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-    return total.crossJoin(F.broadcast(sample)).select(*_row("unique", F.col("_v") == 0, F.col("_v"), F.col("sample")))
+    first = _sample(groups, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), sample)
+    return total.crossJoin(F.broadcast(first)).select(*_row("unique", F.col("_v") == 0, F.col("_v"), F.col("sample")))
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return reduce(lambda a, c: a.unionByName(_error(df, f"not_null:{c}")), missing, out)
 
 
-def in_range(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:
+def in_range(df: DataFrame, column: str, low: float | None = None, high: float | None = None, sample: int = SAMPLE) -> DataFrame:
     """Values outside [low, high]; null is outside."""
     if column not in df.columns:
         return _error(df, f"range:{column}")
@@ -73,8 +73,8 @@ def in_range(df: DataFrame, column: str, low: float | None = None, high: float |
         ok = ok & (F.col(column) <= high)
     bad = df.filter(~F.coalesce(ok, F.lit(False)))
     total = bad.agg(F.count(F.lit(1)).alias("_v"))
-    sample = _sample(bad, F.col(column).cast("string"))
-    return total.crossJoin(F.broadcast(sample)).select(*_row(f"range:{column}", F.col("_v") == 0, F.col("_v"), F.col("sample")))
+    first = _sample(bad, F.col(column).cast("string"), sample)
+    return total.crossJoin(F.broadcast(first)).select(*_row(f"range:{column}", F.col("_v") == 0, F.col("_v"), F.col("sample")))
 
 
 BACKTEST_COLUMNS = ["open", "high", "low", "close", "vol"]

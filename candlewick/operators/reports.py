@@ -282,6 +282,12 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int, descending: b
     return df.orderBy(*columns).offset(offset).limit(limit)
 
 
+def page_with_total(df: DataFrame, order: list[str], offset: int, limit: int, descending: bool = False) -> DataFrame:
+    """One page of a listing, each row with the ``total`` of rows listed."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return page(df, order, offset, limit, descending).crossJoin(F.broadcast(total))  # total is one row
+
+
 SORTABLE = {"buy_date", "profit_loss", "cost", "code", "strategy"}
 
 

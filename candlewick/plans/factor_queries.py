@@ -5,9 +5,9 @@ from pyspark.sql import Window, functions as F
 
 from candlewick.functions.series import BARS as S, ratio
 from candlewick.operators import evaluate as E, factors as X, splits as J
-from candlewick.plans.oracle_views import lead, over, ref, roll, snap as sq, with_views
+from candlewick.plans.oracle_views import lead, over, ref, roll, signed_log as slog, snap as sq, with_views
 from candlewick.plans.registry import query
-from candlewick.plans.shaping import KEYS, rounded, snap
+from candlewick.plans.shaping import KEYS, rounded, signed_log, snap
 from candlewick.session import small
 
 FACTORS = ["mom4", "volr", "amp"]
@@ -48,11 +48,6 @@ def winsorized_zscores(t):
     return rounded(X.zscore(X.winsorize_mad(df, FACTORS), FACTORS), KEYS, FACTORS)
 
 
-def clipped(c, limit=0.05):
-    """The panel's prices are noise; clipping keeps compounded values finite."""
-    return F.least(F.greatest(c, F.lit(-limit)), F.lit(limit))
-
-
 def scored(t):
     return X.composite_score(factor_panel(t).select(*KEYS, *FACTORS), WEIGHTS, DIRECTIONS)
 
@@ -145,12 +140,10 @@ def quantile_returns(t):
 
 
 @query("quantile_curves", "I8", _sql("SELECT trade_date, " + ", ".join(
-    f"{sq(f'exp(sum(ln(1 + least(greatest(coalesce({c}, 0), -0.05), 0.05))) OVER (ORDER BY trade_date)) - 1', 3)} AS {c}" for c in _QS) + " FROM wide", **_Q))
+    f"{sq(f'sum(ln(1 + coalesce({c}, 0))) OVER (ORDER BY trade_date)')} AS {c}" for c in _QS) + " FROM wide", **_Q))
 def quantile_curves(t):
-    """Compounded quantile curves of weekly returns clipped to 5 %."""
-    wide = X.quantile_returns(with_future(t), "amp")
-    scaled = wide.select("trade_date", *[clipped(F.coalesce(c, F.lit(0.0))).alias(c) for c in _QS])
-    return rounded(X.cumulative_curves(scaled, _QS), ["trade_date"], _QS, 3)
+    """Compounded quantile curves, as logarithms of the growth."""
+    return rounded(X.cumulative_curves(X.quantile_returns(with_future(t), "amp"), _QS, log=True), ["trade_date"], _QS)
 
 
 @query("factor_turnover", "E24 I9", _sql(f"""SELECT trade_date, {sq('CASE WHEN prev IS NULL THEN 1 ELSE 1 - len(list_intersect(names, prev)) / 20 END')} AS turnover,
@@ -243,20 +236,19 @@ def top_share_portfolio(t):
     return rounded(E.top_share_portfolio(signal(t)), ["trade_date", "n_held"], ["ret"])
 
 
-@query("portfolio_summary", "I3 D7", with_views("bars_s", f"""SELECT {sq('exp(sum(l)) - 1')} AS total_return, count(*) AS n_days, {sq('avg(ret) / stddev_samp(ret) * sqrt(252)')} AS sharpe_ratio,
-  {sq('min(exp(c - p) - 1)')} AS max_drawdown, {sq('avg((ret > 0)::INT)')} AS win_rate, {sq('pow(exp(sum(l)), 252.0 / count(*)) - 1')} AS annual_return
+@query("portfolio_summary", "I3 D7", with_views("bars_s", f"""SELECT {sq('sum(l)')} AS log_return, count(*) AS n_days, {sq('avg(ret) / stddev_samp(ret) * sqrt(252)')} AS sharpe_ratio,
+  {sq('min(exp(c - p) - 1)')} AS max_drawdown, {sq('avg((ret > 0)::INT)')} AS win_rate, {sq('sum(l) * 252 / count(*)')} AS annual_log_return
   FROM (SELECT *, max(c) OVER (ORDER BY trade_date) AS p FROM (SELECT *, ln(1 + ret) AS l, sum(ln(1 + ret)) OVER (ORDER BY trade_date) AS c FROM small))""",
-    **_SIG, **_PORT, small="SELECT trade_date, least(greatest(ret, -0.05), 0.05) AS ret FROM port"))
+    **_SIG, **_PORT, small="SELECT trade_date, ret FROM port"))
 def portfolio_summary(t):
-    port = E.top_share_portfolio(signal(t)).withColumn("ret", clipped(F.col("ret")))
-    out = E.portfolio_summary(port)
-    return rounded(out, ["n_days"], ["total_return", "sharpe_ratio", "max_drawdown", "win_rate", "annual_return"])
+    out = E.portfolio_summary(E.top_share_portfolio(signal(t)))
+    return rounded(out, ["n_days"], ["log_return", "sharpe_ratio", "max_drawdown", "win_rate", "annual_log_return"])
 
 
-@query("quarterly_returns", "D7 I3", with_views("bars_s", f"SELECT CAST(date_trunc('quarter', trade_date) AS DATE) AS period, {sq('exp(sum(ln(1 + least(greatest(ret, -0.05), 0.05)))) - 1')} AS ret, count(*) AS n FROM port GROUP BY 1", **_SIG, **_PORT))
+@query("quarterly_returns", "D7 I3", with_views("bars_s", f"SELECT CAST(date_trunc('quarter', trade_date) AS DATE) AS period, {sq(slog('(product(1 + ret) - 1)'))} AS ret, count(*) AS n FROM port GROUP BY 1", **_SIG, **_PORT))
 def quarterly_returns(t):
-    port = E.top_share_portfolio(signal(t)).withColumn("ret", clipped(F.col("ret")))
-    return rounded(E.period_returns(port, "quarter"), ["period", "n"], ["ret"])
+    out = E.period_returns(E.top_share_portfolio(signal(t)), "quarter")
+    return out.select("period", "n", snap(signed_log("ret")).alias("ret"))
 
 
 @query("cap_group_sharpe", "I14 B17", with_views("bars_s daily_basic", f"SELECT cap_group, {sq(_SHARPE)} AS sharpe FROM legs GROUP BY 1", **_SIG,
@@ -268,7 +260,10 @@ def cap_group_sharpe(t):
     return rounded(E.cap_group_sharpe(signal(t), caps, 5), ["cap_group"], ["sharpe"])
 
 
-_EVENTS = " UNION ALL ".join(f"SELECT {h} AS horizon, ts_code, trade_date, ret FROM (SELECT *, {lead('close', h)} / close - 1 AS ret FROM ev) WHERE abs(event) > 0 AND ret IS NOT NULL" for h in (1, 3, 5, 10, 20))
+def _events(horizons):
+    return " UNION ALL ".join(f"SELECT {h} AS horizon, ts_code, trade_date, ret FROM (SELECT *, {lead('close', h)} / close - 1 AS ret FROM ev) WHERE abs(event) > 0 AND ret IS NOT NULL" for h in horizons)
+
+
 _EV = {**_SIG, "ev": "SELECT *, CASE WHEN signal > 0.5 THEN signal ELSE 0 END AS event FROM sig"}
 
 
@@ -276,20 +271,29 @@ def event_panel(t):
     return signal(t).withColumn("event", F.when(F.col("signal") > 0.5, F.col("signal")).otherwise(0.0))
 
 
-@query("event_statistics", "D5 I13", with_views("bars_s", f"""SELECT CAST(horizon AS INT) AS horizon, count(*) AS n, {sq('avg(ret)')} AS mean, {sq('median(ret)')} AS median, {sq('avg((ret > 0)::INT)')} AS win_rate,
+_EVENT_SQL = f"""SELECT CAST(horizon AS INT) AS horizon, count(*) AS n, {sq('avg(ret)')} AS mean, {sq('median(ret)')} AS median, {sq('avg((ret > 0)::INT)')} AS win_rate,
   {sq('max(ret)')} AS max, {sq('min(ret)')} AS min, {sq('stddev_samp(ret)')} AS std, {sq('avg(ret) / stddev_samp(ret) * sqrt(252)')} AS sharpe,
   {sq('avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(252)')} AS sortino, {sq('sum(ret) FILTER (ret > 0) / -sum(ret) FILTER (ret < 0)')} AS profit_factor,
   {sq('exp(min(c - p)) - 1')} AS max_drawdown FROM (SELECT *, max(c) OVER (PARTITION BY horizon ORDER BY ts_code, trade_date) AS p FROM (
-    SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY horizon ORDER BY ts_code, trade_date) AS c FROM e)) GROUP BY 1""", **_EV, e=_EVENTS))
+    SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY horizon ORDER BY ts_code, trade_date) AS c FROM e)) GROUP BY 1"""
+_EVENT_VALUES = ["mean", "median", "win_rate", "max", "min", "std", "sharpe", "sortino", "profit_factor", "max_drawdown"]
+
+
+@query("event_statistics", "D5 I13", with_views("bars_s", _EVENT_SQL, **_EV, e=_events((1, 3, 5, 10, 20))))
 def event_statistics(t):
     out = E.horizon_statistics(E.event_returns(event_panel(t), [1, 3, 5, 10, 20], "event"))
-    return rounded(out, ["horizon", "n"], ["mean", "median", "win_rate", "max", "min", "std", "sharpe", "sortino", "profit_factor", "max_drawdown"])
+    return rounded(out, ["horizon", "n"], _EVENT_VALUES)
+
+
+@query("holding_curve", "I13", with_views("bars_s", _EVENT_SQL, **_EV, e=_events(range(1, 21))))
+def holding_curve(t):
+    return rounded(E.holding_curve(event_panel(t), 20, "event"), ["horizon", "n"], _EVENT_VALUES)
 
 
 @query("recent_signal_events", "I12 H2", with_views("bars_s", f"""SELECT ts_code, trade_date, {sq('event')} AS strength, {sq('r1')} AS t1, {sq('r5')} AS t5 FROM (
   SELECT *, {lead('close', 1)} / close - 1 AS r1, {lead('close', 5)} / close - 1 AS r5 FROM ev) WHERE abs(event) > 0 ORDER BY trade_date DESC, ts_code LIMIT 500""", **_EV))
 def recent_signal_events(t):
-    ev = E.signal_events(event_panel(t), [1, 5], "event")
+    ev = E.signal_events(event_panel(t), [1, 5], "event", limit=500)
     return ev.select(*KEYS, snap("strength").alias("strength"), snap(F.col("returns")["t1"]).alias("t1"), snap(F.col("returns")["t5"]).alias("t5"))
 
 

@@ -2,11 +2,12 @@
 
 from pyspark.sql import Window, functions as F
 
+from candlewick.functions import money as M
 from candlewick.functions.series import ratio
 from candlewick.operators import asof, ledger as L, reports as R
-from candlewick.plans.oracle_views import snap as sq, with_views
+from candlewick.plans.oracle_views import cents, signed_log as slog, snap as sq, with_views
 from candlewick.plans.registry import query
-from candlewick.plans.shaping import rounded, snap
+from candlewick.plans.shaping import rounded, signed_log, snap
 from candlewick.session import small
 
 CAPITAL = 500_000.0
@@ -34,9 +35,10 @@ def performance_by_strategy(t):
     return _shape(R.group_performance(R.sold(t.positions()), ["strategy"]), ["strategy"])
 
 
-@query("performance_by_industry", "D1 C2", with_views("positions", f"SELECT coalesce(c_mktsegment, 'unknown') AS industry, {_perf('industry')} FROM sold LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS code, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING') USING (code) GROUP BY 1", **_SOLD))
+@query("performance_by_industry", "D1 C2", with_views("positions", f"SELECT coalesce(c_mktsegment, 'unknown') AS industry, {_perf('industry')} FROM sold LEFT JOIN (SELECT CAST(c_custkey AS VARCHAR) AS code, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer) USING (code) GROUP BY 1", **_SOLD))
 def performance_by_industry(t):
-    info = t.customer.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("code"), F.col("c_mktsegment").alias("industry"))
+    """One segment stands for customers whose industry is not known."""
+    info = t.customer.select(F.col("c_custkey").cast("string").alias("code"), F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("industry"))
     df = R.sold(t.positions()).join(small(info), "code", "left").fillna("unknown", ["industry"])
     return _shape(R.group_performance(df, ["industry"]), ["industry"])
 
@@ -152,8 +154,8 @@ _WEEKS = dict(weeks="SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE
 
 @query("positions_held", "C9", with_views("positions", f"""SELECT date, strategy, count(*) AS n, {sq('sum(cost)', 0)} AS cost FROM weeks JOIN positions ON buy_date <= date AND (sell_date IS NULL OR date < sell_date) GROUP BY ALL""", **_WEEKS))
 def positions_held(t):
-    df = asof.held_on(t.positions().select("strategy", "cost", "buy_date", "sell_date"), weeks(t))
-    return df.groupBy("date", "strategy").agg(F.count(F.lit(1)).alias("n"), snap(F.sum("cost"), 0).alias("cost"))
+    df = asof.held_totals(t.positions().select("strategy", "cost", "buy_date", "sell_date"), weeks(t), ["strategy"], ["cost"])
+    return df.select("date", "strategy", "n", snap("cost", 0).alias("cost"))
 
 
 _EQ = ["position_cost", "position_value", "position_pnl", "closed_pnl", "total_pnl", "cash", "total_value", "daily_pnl"]
@@ -249,35 +251,54 @@ def curve_extremes(t):
                                                  "drawdown_date", snap("max_drawdown").alias("max_drawdown"))
 
 
-_DAILY = {**_CURVE, "daily": "SELECT date, total_value, total_value - lag(total_value, 1, total_value) OVER (ORDER BY date) AS daily_pnl, least(greatest(total_value / lag(total_value, 1, total_value) OVER (ORDER BY date) - 1, -0.05), 0.05) AS daily_return FROM one"}
+_DAILY = {**_CURVE, "daily": "SELECT date, total_value, total_value - lag(total_value, 1, total_value) OVER (ORDER BY date) AS daily_pnl, total_value / lag(total_value, 1, total_value) OVER (ORDER BY date) - 1 AS daily_return FROM one"}
 
 
 def daily(t):
     w = Window.orderBy("date")
     prev = F.coalesce(F.lag("total_value").over(w), F.col("total_value"))
-    r = F.least(F.greatest(F.col("total_value") / prev - 1, F.lit(-0.05)), F.lit(0.05))
-    return one_curve(t).select("date", "total_value", (F.col("total_value") - prev).alias("daily_pnl"), r.alias("daily_return"))
+    return one_curve(t).select("date", "total_value", (F.col("total_value") - prev).alias("daily_pnl"), (F.col("total_value") / prev - 1).alias("daily_return"))
 
 
 @query("monthly_resample", "D6 E10", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _DAILY.items()) + f""", m AS (SELECT last_day(date) AS period, sum(daily_pnl) AS p, sum(daily_return) AS r, max_by(total_value, date) AS v FROM daily GROUP BY 1)
-  SELECT period, {sq('p', 2)} AS daily_pnl, {sq('r')} AS daily_return, {sq('v', 2)} AS total_value, {sq('exp(sum(ln(1 + r)) OVER (ORDER BY period)) - 1')} AS cumulative_return FROM m""")
+  SELECT period, {sq('p', 2)} AS daily_pnl, {sq('r')} AS daily_return, {sq('v', 2)} AS total_value, {sq(slog('(product(1 + r) OVER (ORDER BY period) - 1)'))} AS cumulative_return FROM m""")
 def monthly_resample(t):
-    df = R.resample_pnl(daily(t), "M")
-    return df.select("period", snap("daily_pnl", 2).alias("daily_pnl"), snap("daily_return").alias("daily_return"), snap("total_value", 2).alias("total_value"), snap("cumulative_return").alias("cumulative_return"))
+    return _resampled(R.resample_pnl(daily(t), "M"))
+
+
+def _resampled(df):
+    return df.select("period", snap("daily_pnl", 2).alias("daily_pnl"), snap("daily_return").alias("daily_return"), snap("total_value", 2).alias("total_value"), snap(signed_log("cumulative_return")).alias("cumulative_return"))
+
+
+def _resample_sql(end, step):
+    """Per period, and the empty periods between."""
+    return "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _DAILY.items()) + f""", m AS (SELECT CAST({end} AS DATE) AS period, sum(daily_pnl) AS p, sum(daily_return) AS r, max_by(total_value, date) AS v FROM daily GROUP BY 1),
+  g AS (SELECT CAST(unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL {step})) AS DATE) AS period FROM m), f AS (SELECT period, coalesce(p, 0) AS p, coalesce(r, 0) AS r, v FROM g LEFT JOIN m USING (period))
+  SELECT period, {sq('p', 2)} AS daily_pnl, {sq('r')} AS daily_return, {sq('v', 2)} AS total_value, {sq(slog('(product(1 + r) OVER (ORDER BY period) - 1)'))} AS cumulative_return FROM f"""
+
+
+@query("weekly_resample", "D6 E10", _resample_sql("date_trunc('week', date) + INTERVAL 6 DAY", "7 DAY"))
+def weekly_resample(t):
+    return _resampled(R.resample_pnl(daily(t), "W"))
+
+
+@query("yearly_resample", "D6 E10", _resample_sql("date_trunc('year', date) + INTERVAL 12 MONTH - INTERVAL 1 DAY", "12 MONTH"))
+def yearly_resample(t):
+    return _resampled(R.resample_pnl(daily(t), "Y"))
 
 
 @query("return_heatmap", "D7 D8", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _DAILY.items()) + " SELECT year(date) AS year, " + ", ".join(
-    f"{sq(f'exp(sum(ln(1 + daily_return)) FILTER (month(date) = {m})) - 1')} AS m{m}" for m in range(1, 13)) + " FROM daily GROUP BY 1")
+    f"{sq(slog(f'(product(1 + daily_return) FILTER (month(date) = {m}) - 1)'))} AS m{m}" for m in range(1, 13)) + " FROM daily GROUP BY 1")
 def return_heatmap(t):
     out = R.year_by_month(daily(t), "date", F.product(1 + F.col("daily_return")) - 1)
-    return out.select(F.col("year").cast("long").alias("year"), *[snap(F.col(str(m))).alias(f"m{m}") for m in range(1, 13)])
+    return out.select(F.col("year").cast("long").alias("year"), *[snap(signed_log(str(m))).alias(f"m{m}") for m in range(1, 13)])
 
 
-@query("equity_from_returns", "J9", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _DAILY.items()) + f""", v AS (SELECT date, 100000 * exp(sum(ln(1 + daily_return)) OVER (ORDER BY date)) AS tv FROM daily)
-  SELECT date, {sq('tv', 1)} AS total_value, {sq('tv - lag(tv, 1, 100000) OVER (ORDER BY date)', 1)} AS daily_pnl, {sq('tv / max(tv) OVER (ORDER BY date) - 1')} AS drawdown FROM v""")
+@query("equity_from_returns", "J9", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _DAILY.items()) + f""", v AS (SELECT date, 100000 * product(1 + daily_return) OVER (ORDER BY date) AS tv FROM daily)
+  SELECT date, {sq(slog('tv'))} AS total_value, {sq(slog('(tv - lag(tv, 1, 100000) OVER (ORDER BY date))'), 3)} AS daily_pnl, {sq('tv / max(tv) OVER (ORDER BY date) - 1')} AS drawdown FROM v""")
 def equity_from_returns(t):
     df = L.equity_from_returns(daily(t).select("date", "daily_return"), 100000, "daily_return", "date")
-    return df.select("date", snap("total_value", 1).alias("total_value"), snap("daily_pnl", 1).alias("daily_pnl"), snap("drawdown").alias("drawdown"))
+    return df.select("date", snap(signed_log("total_value")).alias("total_value"), snap(signed_log("daily_pnl"), 3).alias("daily_pnl"), snap("drawdown").alias("drawdown"))
 
 
 @query("rebuilt_portfolio", "J10", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _CURVE.items()) + f" SELECT date, 'main' AS strategy, 500000.0::DOUBLE AS init_cash, {sq('total_value', 2)} AS market_value, {sq('total_value - 500000', 2)} AS total_pnl, {sq('total_value / 500000 - 1')} AS cum_return FROM one")
@@ -422,12 +443,10 @@ def decisions(t):
     return pos, L.sell_decisions(pos.drop("sell_date"), signals)
 
 
-@query("sell_decisions", "H9 C16 B12", with_views("positions bars_w", f"SELECT id, sell_reason, sell_shares, sell_reason <> 's1_half' OR sell_shares >= shares AS is_full_exit, {sq('close * sell_shares * (1 - 0.00126) - buy_price * sell_shares * 1.00025', 1)} AS profit_loss FROM dd", **_DECIDE))
+@query("sell_decisions", "H9 C16 B12", with_views("positions bars_w", f"SELECT id, sell_reason, sell_shares, sell_reason <> 's1_half' OR sell_shares >= shares AS is_full_exit, {cents(f"close * sell_shares * {1 - M.SELL_COST!r}::DOUBLE - buy_price * sell_shares * {1 + M.COMMISSION!r}::DOUBLE")} AS profit_loss FROM dd", **_DECIDE))
 def sell_decisions(t):
     out = decisions(t)[1]
-    # the library rounds to cents; compare at a tenth from the unrounded parts
-    exact = F.col("sell_price") * F.col("sell_shares") * (1 - 0.00126) - F.col("buy_price") * F.col("sell_shares") * 1.00025
-    return out.select("id", "sell_reason", "sell_shares", "is_full_exit", snap(exact, 1).alias("profit_loss"))
+    return out.select("id", "sell_reason", "sell_shares", "is_full_exit", "profit_loss")
 
 
 @query("applied_decisions", "J12 A13", with_views("positions bars_w", """SELECT p.id, CASE WHEN d.full_exit THEN 'sold' ELSE p.status END AS status, CASE WHEN d.full_exit THEN DATE '2002-01-01' ELSE p.sell_date END AS sell_date,

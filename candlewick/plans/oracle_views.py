@@ -88,6 +88,16 @@ def snap(sql: str, digits: int = 4) -> str:
     return f"floor(({sql}) * {p}.0 + 0.50001) / {p}.0"
 
 
+def signed_log(sql: str) -> str:
+    """Compounded values span many magnitudes; their logarithm, with sign, rounds alike in every engine."""
+    return f"(sign({sql}) * ln(1 + abs({sql})))"
+
+
+def cents(sql: str, digits: int = 2) -> str:
+    """Rounding of a double half up in its shortest decimal notation."""
+    return f"CAST(round(CAST(CAST({sql} AS VARCHAR) AS DECIMAL(38, 15)), {digits}) AS DOUBLE)"
+
+
 def rounded(columns: dict[str, str], digits: int | None = 4) -> str:
     if digits is None:
         return ", ".join(f"CAST({sql} AS DOUBLE) AS {name}" for name, sql in columns.items())

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from candlewick.functions import money as M, symbols as Y
 from candlewick.functions.series import ratio
 from candlewick.operators import risk
-from candlewick.plans.oracle_views import NUMBERED, ref, roll, snap as sq, with_views
+from candlewick.plans.oracle_views import NUMBERED, cents, ref, roll, snap as sq, with_views
 from candlewick.plans.registry import query
 from candlewick.plans.rolling import loop
 from candlewick.plans.rule_queries import _upto, panel
@@ -89,19 +89,20 @@ def label_mapping(t):
                            Y.label(F.substring("o_orderpriority", 1, 1), Y.SECURITY_TYPES, "未知").alias("kind"))
 
 
-@query("trade_costs", "B11 B12 B13", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {sq('greatest(bp * sh * 0.00025, 5)', 3)} AS commission, {sq('bp * sh + greatest(bp * sh * 0.00025, 5)', 3)} AS basis,
-  {sq('sp * sh * (1 - 0.00126) - bp * sh * 1.00025', 2)} AS profit, {sq('(sp * (1 - 0.00126) - bp * 1.00025) * 100 / (bp * 1.00025)', 4)} AS pct,
+# the rates written out: 0.025 % commission; on sale also 0.05 % stamp duty, 0.001 % transfer fee and 0.05 % slippage
+_COST_BASIS, _NET = "bp * sh * (1 + 0.00025::DOUBLE)", "sp * sh * (1 - (0.0005::DOUBLE + 0.00025::DOUBLE + 0.00001::DOUBLE + 0.0005::DOUBLE))"
+
+
+@query("trade_costs", "B11 B12 B13", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {cents('greatest(bp * sh * 0.00025::DOUBLE, 5)')} AS commission, {cents('bp * sh + greatest(bp * sh * 0.00025::DOUBLE, 5)')} AS cost,
+  {cents(_COST_BASIS)} AS cost_basis, {cents('sp * sh')} AS gross_proceeds, {cents(_NET)} AS net_proceeds, {cents(f'{_NET} - {_COST_BASIS}')} AS profit_loss, {cents(f'({_NET} - {_COST_BASIS}) * 100 / ({_COST_BASIS})', 4)} AS profit_pct,
   CAST(floor(sh / 100) * 100 AS BIGINT) AS lots, CAST(greatest(100, floor(floor(sh / 2) / 100) * 100) AS BIGINT) AS half
   FROM (SELECT *, l_extendedprice / l_quantity / 100 AS bp, l_extendedprice / l_quantity / 100 * (1 + l_discount - l_tax) AS sp, l_quantity * 37 AS sh FROM lineitem)""")
 def trade_costs(t):
     price = F.col("l_extendedprice") / F.col("l_quantity") / 100
     df = t.lineitem.withColumns({"bp": price, "sp": price * (1 + F.col("l_discount") - F.col("l_tax")), "sh": F.col("l_quantity") * 37})
-    raw = F.col("bp") * F.col("sh")
-    net = F.col("sp") * F.col("sh") * (1 - M.SELL_COST) - raw * (1 + M.COMMISSION)
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                     snap(F.greatest(raw * M.COMMISSION, F.lit(M.MIN_COMMISSION)), 3).alias("commission"),
-                     snap(raw + F.greatest(raw * M.COMMISSION, F.lit(M.MIN_COMMISSION)), 3).alias("basis"),
-                     snap(net, 2).alias("profit"), snap(net * 100 / (raw * (1 + M.COMMISSION)), 4).alias("pct"),
+    commission, cost = M.buy_cost("bp", "sh")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", commission.alias("commission"), cost.alias("cost"),
+                     *[c.alias(n) for n, c in M.sell_result("bp", "sp", "sh").items()],
                      M.whole_lots("sh").cast("long").alias("lots"), M.half_lots("sh").cast("long").alias("half"))
 
 
@@ -181,10 +182,10 @@ def risk_columns(t):
 
 @query("portfolio_limits", "G18", with_views("bars_s", f"""SELECT ts_code, trade_date, CAST(place AS INT) AS place, {sq('opened', 2)} AS opened, place <= 8 AND opened <= 500000 AS accepted FROM (
   SELECT *, row_number() OVER o AS place, sum(amt) OVER (o ROWS UNBOUNDED PRECEDING) AS opened FROM (
-   SELECT *, CAST(vol AS INT) % 5 AS pri, 20000 + 1000 * CAST(vol AS INT) AS amt FROM bars_s WHERE vol >= 40) WINDOW o AS (PARTITION BY trade_date ORDER BY pri DESC, close DESC, ts_code))"""))
+   SELECT *, CAST(vol AS INT) % 5 AS pri, 20000 + 1000 * CAST(vol AS INT) AS amt FROM bars_s) WINDOW o AS (PARTITION BY trade_date ORDER BY pri DESC, close DESC, ts_code))"""))
 def portfolio_limits(t):
     v = F.col("vol").cast("int")
-    buys = t.bars_s().filter("vol >= 40").select(*KEYS, (v % 5).alias("risk_priority"), F.col("close").alias("risk_composite_score"), (20000 + 1000 * v).alias("risk_position_amt"))
+    buys = t.bars_s().select(*KEYS, (v % 5).alias("risk_priority"), F.col("close").alias("risk_composite_score"), (20000 + 1000 * v).alias("risk_position_amt"))
     return risk.portfolio_limits(buys).select(*KEYS, "place", snap("opened", 2).alias("opened"), "accepted")
 
 

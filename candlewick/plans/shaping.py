@@ -13,6 +13,12 @@ def snap(c, digits: int = 4) -> Column:
     return F.floor(value.cast("double") * p + 0.50001) / p
 
 
+def signed_log(c) -> Column:
+    """ln(1 + |x|) with the sign of x, for compounded values of many magnitudes."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.signum(value) * F.log1p(F.abs(value))
+
+
 def rounded(df: DataFrame, keys: list[str], values: list[str], digits: int | None = 4) -> DataFrame:
     """Keys as they are, values as doubles, snapped unless ``digits`` is None."""
     return df.select(*keys, *[

@@ -47,11 +47,10 @@ def sentiment_summary(t):
     return out.select("lang", "total", "positive", "negative", "neutral", *[snap(c).alias(c) for c in ("avg_score", "positive_ratio", "negative_ratio")])
 
 
-@query("news_dedup", "K3", """SELECT page_id, u AS url FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY page_id) AS n FROM (SELECT page_id, CASE WHEN page_id % 17 = 0 THEN NULL ELSE split_part(url, '/', 3) END AS u FROM pages)) WHERE n = 1 OR u IS NULL""")
+@query("news_dedup", "K3", """SELECT page_id, u AS url FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY page_id) AS n FROM (SELECT page_id, url AS u FROM pages)) WHERE n = 1 OR u IS NULL""")
 def news_dedup(t):
-    """Pages deduplicated by host; pages without one all stay."""
-    host = F.when(F.col("page_id") % 17 == 0, None).otherwise(F.split_part("url", F.lit("/"), F.lit(3)))
-    return K.dedup_by_url(t.pages.select("page_id", host.alias("url")), "url", ["page_id"])
+    """The first page of each URL; pages without one all stay."""
+    return K.dedup_by_url(t.pages.select("page_id", "url"), "url", ["page_id"])
 
 
 @query("latest_news", "K3", "SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
@@ -109,3 +108,9 @@ def analysis_history_page(t):
     rows = t.events.filter((F.col("event_type") == "purchase") & F.col("ts").between(F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00")), F.to_timestamp_ntz(F.lit("2024-01-25 00:00:00"))))
     rows = rows.withColumn("k", F.from_json("props", "k int")["k"])
     return R.page(rows.select("event_id", "user_id", "k"), ["event_id"], 30, 10, descending=True)
+
+
+@query("history_page_with_total", "K9 H2", """SELECT event_id, user_id, count(*) OVER () AS total FROM events WHERE event_type = 'purchase' ORDER BY event_id DESC LIMIT 10 OFFSET 30""")
+def history_page_with_total(t):
+    rows = t.events.filter("event_type = 'purchase'").select("event_id", "user_id")
+    return R.page_with_total(rows, ["event_id"], 30, 10, descending=True)
