@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewick.llm import sql
 from candlewick.llm.jaccard import jaccard_components
 from candlewick.llm.latent import leaks
 from candlewick.llm.lattice import lattice_scores
@@ -91,4 +92,9 @@ QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op9_consensus_path_extraction,
     op10_cross_document_line_quality,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_suffix_tree_substring_dedup": sql.REPEATS,
+    "op7_trigram_secret_scan": sql.SECRETS,
+    "op8_fragment_jaccard_join": sql.JACCARD,
+    "op10_cross_document_line_quality": sql.QUALITY,
+}
