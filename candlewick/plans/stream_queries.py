@@ -12,7 +12,7 @@ from candlewick.plans.registry import query
 from candlewick.plans.rolling import loop
 from candlewick.plans.rule_queries import _upto
 from candlewick.plans.shaping import KEYS, rounded, snap
-from candlewick.session import shared_dir
+from candlewick.session import cut, shared_dir
 from candlewick.streaming import bars as B, state as T
 
 _BARS = ["open", "high", "low", "close", "vol"]
@@ -47,11 +47,36 @@ def late_bars_repaired(t):
     return B.repair(B.bars(on_time), on_time, late).select("ts_code", "bar_time", *_BARS)
 
 
-def _as_stream(t, df, schema):
-    """Bars land as files, then are read as a stream."""
+def _landed(t, parts):
+    """Frames land one after another, a file each."""
     path = f"{shared_dir(t.spark)}/landed-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return B.read_stream(t.spark, path, schema)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+_LANDINGS = ["trade_date < DATE '1994-01-01'", "trade_date >= DATE '1994-01-01' AND trade_date < DATE '1996-07-01'", "trade_date >= DATE '1996-07-01'"]
+
+
+def _as_stream(t, df, schema):
+    """Bars land in three files by date and are read as three micro-batches, so
+    that state is carried between them."""
+    df = cut(df)
+    return B.read_stream(t.spark, _landed(t, [df.filter(x) for x in _LANDINGS]), schema, per_batch=1)
+
+
+_LATE = "event_type = 'error' AND hour(ts) = 5 AND ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'"
+
+
+@query("appended_bars_stream", "L1 L5", with_views("bars_t", f"""SELECT event_type AS ts_code, date_trunc('hour', ts) AS bar_time, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS vol
+  FROM events WHERE NOT ({_LATE.replace("TIMESTAMP_NTZ", "TIMESTAMP")}) GROUP BY 1, 2 HAVING bar_time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""))
+def appended_bars_stream(t):
+    """Finished bars only, each written once.  Three micro-batches; ticks of the first
+    days that come with the last file are over two hours late and dropped."""
+    early, middle = "ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-11 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-21 00:00:00'"
+    path = _landed(t, [t.events.filter(f"{early} AND NOT ({_LATE})"), t.events.filter(middle), t.events.filter(f"NOT ({early}) AND NOT ({middle}) OR ({_LATE})")])
+    out = B.drain(B.bars(B.ticks(t.spark, path, "*.parquet", per_batch=1), late="2 hours"), "append")
+    return t.spark.read.parquet(out).select("ts_code", "bar_time", *_BARS)
 
 
 @query("line_break_stream", "L3", with_views("bars_w", "SELECT ts_code, trade_date, observing, break_slow FROM panel", **_upto("panel")))

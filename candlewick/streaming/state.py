@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,24 +21,30 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _new_bars(rows: Iterator[pd.DataFrame], last_day) -> pd.DataFrame:
+    """Bars of the batch in order; one that is not newer than the state has been
+    worked in already, or comes too late, and is left out."""
+    bars = pd.concat(list(rows)).sort_values("trade_date").drop_duplicates("trade_date", keep="last")
+    return bars if last_day is None else bars[bars["trade_date"] > last_day]
+
+
 class LineBreak(StatefulProcessor):
     """Day one under the slow line: observe.  Day two: sell."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "close double, observing boolean")
+        self.last = handle.getValueState("last", "day date, close double, observing boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(list(rows)).sort_values("trade_date")
-        before, observing = self.last.get() if self.last.exists() else (None, False)
-        out = []
-        for day, close, line in zip(bars["trade_date"], bars["close"], bars["trend_slow"]):
-            under = before is not None and close < line
-            broke = bool(under and before < line and observing)
-            observing = bool(under and before >= line)
-            before = float(close)
-            out.append((key[0], day, observing, broke))
-        self.last.update((before, observing))
-        yield pd.DataFrame(out, columns=["ts_code", "trade_date", "observing", "break_slow"])
+        day, close, observing = self.last.get() if self.last.exists() else (None, None, False)
+        bars = _new_bars(rows, day)
+        if bars.empty:
+            return
+        before = bars["close"].shift(fill_value=np.nan if close is None else close)
+        under = bars["close"] < bars["trend_slow"]
+        observe = under & (before >= bars["trend_slow"])
+        broke = under & (before < bars["trend_slow"]) & observe.shift(fill_value=bool(observing))
+        self.last.update((bars["trade_date"].iloc[-1], float(bars["close"].iloc[-1]), bool(observe.iloc[-1])))
+        yield pd.DataFrame({"ts_code": key[0], "trade_date": bars["trade_date"], "observing": observe, "break_slow": broke})
 
     def close(self) -> None:
         pass
@@ -47,23 +54,31 @@ class RunningIndicators(StatefulProcessor):
     """EMA12, EMA26, the trend line and OBV, going on from the last bar."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ema12 double, ema26 double, ema10 double, trend double, obv double, close double")
+        self.last = handle.getValueState("last", "day date, ema12 double, ema26 double, ema10 double, trend double, obv double, close double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(list(rows)).sort_values("trade_date")
         state = self.last.get() if self.last.exists() else None
-        out = []
-        for day, close, vol in zip(bars["trade_date"], bars["close"], bars["vol"]):
-            if state is None:
-                state = (close, close, close, close, vol, close)
-            else:
-                e12, e26, e10, trend, obv, before = state
-                e10 = e10 + (close - e10) * 2 / 11
-                state = (e12 + (close - e12) * 2 / 13, e26 + (close - e26) * 2 / 27, e10, trend + (e10 - trend) * 2 / 11,
-                         obv + vol * ((close > before) - (close < before)), close)
-            out.append((key[0], day, *[float(x) for x in state[:2]], float(state[3]), float(state[4])))
-        self.last.update(tuple(float(x) for x in state))
-        yield pd.DataFrame(out, columns=["ts_code", "trade_date", "ema12", "ema26", "trend_fast", "obv"])
+        bars = _new_bars(rows, None if state is None else state[0])
+        if bars.empty:
+            return
+        close, vol = bars["close"].reset_index(drop=True), bars["vol"].reset_index(drop=True)
+
+        def ema(x: pd.Series, span: int, last: float | None) -> pd.Series:
+            """Goes on from the stored value, or begins with the first one."""
+            if last is None:
+                return x.ewm(span=span, adjust=False).mean()
+            return pd.concat([pd.Series([last]), x]).ewm(span=span, adjust=False).mean().iloc[1:].reset_index(drop=True)
+
+        _, e12, e26, e10, trend, obv, before = state or (None,) * 7
+        ema12, ema26, ema10 = ema(close, 12, e12), ema(close, 26, e26), ema(close, 10, e10)
+        fast = ema(ema10, 10, trend)
+        move = np.sign(close - close.shift(fill_value=np.nan if before is None else before)) * vol
+        if before is None:
+            move.iloc[0] = vol.iloc[0]
+        volume = move.cumsum() + (obv or 0.0)
+        day = bars["trade_date"].reset_index(drop=True)
+        self.last.update((day.iloc[-1], *[float(x.iloc[-1]) for x in (ema12, ema26, ema10, fast, volume, close)]))
+        yield pd.DataFrame({"ts_code": key[0], "trade_date": day, "ema12": ema12, "ema26": ema26, "trend_fast": fast, "obv": volume})
 
     def close(self) -> None:
         pass
