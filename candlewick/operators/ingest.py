@@ -283,7 +283,7 @@ def failure_rate(calls: DataFrame, window: int = 100, min_calls: int = 10, thres
     ``calls`` has (source, ts, call_id, failed).  A busy source is cut into
     segments, each with the calls its first windows look back on.
     """
-    rows = split_series(calls, ["source"], F.date_trunc("hour", "ts"), halo=window, max_rows=max_rows)
+    rows = split_series(calls, ["source"], ("ts", "call_id"), halo=window, max_rows=max_rows)
     w = Window.partitionBy("source", SEGMENT).orderBy("ts", "call_id").rowsBetween(-(window - 1), 0)
     n = F.count(F.lit(1)).over(w)
     rows = rows.withColumns({"n_calls": n, "failure_rate": F.avg(F.col("failed").cast("int")).over(w)})

@@ -3,70 +3,56 @@
 Window operators put a whole series into one task.  For bars the primary key
 (code, date) bounds a series by the number of dates.  Ticks and calls have no
 such bound: one source may hold a third of all rows.  :func:`split_series`
-cuts each long series into segments of consecutive time buckets and repeats, in
-front of every segment, at least ``halo`` rows of what precedes it.  A rolling
-window of up to ``halo`` rows, or a recursion whose start no longer shows after
-``halo`` rows, then gives the same values as on the unsplit series.
+cuts each series into segments of exactly ``max_rows`` rows (the last may be
+shorter) and repeats, in front of every segment, the ``halo`` rows that precede it.
+A rolling window of up to ``halo`` rows, or a recursion whose start no longer
+shows after ``halo`` rows, then gives the same values as on the unsplit series.
 
-The plan: a histogram of rows per (key, bucket), combined on the map side; cut
-points from running counts of that small table; one join back on (key, bucket),
-which spreads a hot key over its buckets; windows by (key, segment).
+The plan: rows are range-partitioned by (key, order) and written down with the
+number of their partition; a row's number in its series is the rows of the key in
+earlier partitions plus its place inside its own; segments follow from that.  No
+task holds more than a partition or a segment with its halo.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from candlewick.functions.series import Series
+from candlewick.session import cut
 
 SEGMENT, OWN, OFFSET = "_segment", "_own", "_offset"
 
 
-def split_series(df: DataFrame, key: list[str], bucket: Column, halo: int,
-                 max_rows: int = 1_000_000) -> DataFrame:
+def split_series(df: DataFrame, key: list[str], order: Sequence[str], halo: int,
+                 max_rows: int = 1_000_000, bins: int | None = None) -> DataFrame:
     """Add ``_segment``, ``_own`` (false for repeated rows) and ``_offset`` (rows
     of the series before the first row of the segment, repeated rows included).
 
-    ``bucket`` must grow with the order of the series.  Keep ``_own`` rows only
-    after the windows; bar number = ``_offset`` + row_number in (key, segment).
+    ``order`` must tell the rows of a series apart.  Keep ``_own`` rows only after
+    the windows; bar number = ``_offset`` + row_number in (key, segment).  ``bins``
+    is the number of range partitions, by default the session's.
     """
     if max_rows < halo:
         raise ValueError("a segment must be at least as long as the halo")
-    rows = df.withColumn("_bucket", bucket)
-    by_key = Window.partitionBy(*key).orderBy("_bucket")
-    hist = (rows.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_to", F.sum("_n").over(by_key))
-            .withColumn("_from", F.col("_to") - F.col("_n"))
-            .withColumn(SEGMENT, F.floor(F.col("_from") / max_rows)))
-    opens = F.coalesce(F.lag(SEGMENT).over(by_key) != F.col(SEGMENT), F.lit(True))
-    following = by_key.rowsBetween(1, Window.unboundedFollowing)
-    hist = hist.withColumn("_opens", opens)
-    hist = hist.withColumn("_next", F.min(F.when(
-        F.col("_opens"), F.struct(F.col("_from").alias("at"), F.col(SEGMENT).alias("seg"))))
-        .over(following))
-    # a segment may be shorter than the halo, two in a row are not: a bucket is
-    # repeated in front of the next segment and, if near enough, of the one after
-    hist = hist.withColumn("_after", F.min(F.when(
-        F.col("_opens"), F.struct(F.col("_from").alias("at"), F.col("_next").alias("next"))))
-        .over(following).getField("next"))
-    own = F.struct(F.col(SEGMENT).alias("s"), F.lit(True).alias("o"))
+    n = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *key, *order).withColumn("_bin", F.spark_partition_id()))
+    # at most one row per key and partition
+    by_key = Window.partitionBy(*key)
+    before = (placed.groupBy(*key, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumns({"_from": F.sum("_n").over(by_key.orderBy("_bin")) - F.col("_n"), "_all": F.sum("_n").over(by_key)}).drop("_n"))
+    place = F.row_number().over(Window.partitionBy(*key, "_bin").orderBy(*order)) - 1
+    rows = placed.withColumn("_place", place).join(before, [*key, "_bin"]).withColumn("_no", F.col("_from") + F.col("_place"))
+    own, last = F.floor(F.col("_no") / max_rows), F.floor((F.col("_all") - 1) / max_rows)
+    reach = F.least(F.floor((F.col("_no") + halo) / max_rows), last)
+    rows = rows.withColumn(SEGMENT, F.explode(F.sequence(own, reach)))
+    return rows.withColumns({OWN: F.col(SEGMENT) == own, OFFSET: F.greatest(F.col(SEGMENT) * max_rows - halo, F.lit(0))}).drop("_bin", "_place", "_from", "_all", "_no")
 
-    def repeat(segment: str) -> Column:
-        near = F.col(f"{segment}.at") - F.col("_to") < halo
-        return F.when(near, F.struct(F.col(f"{segment}.seg").alias("s"), F.lit(False).alias("o")))
 
-    placed = (hist.select(*key, "_bucket", "_from",
-                          F.explode(F.filter(F.array(own, repeat("_next"), repeat("_after")), lambda p: p.isNotNull())).alias("_p"))
-              .select(*key, "_bucket", "_from", F.col("_p.s").alias(SEGMENT), F.col("_p.o").alias(OWN))
-              .withColumn(OFFSET, F.min("_from").over(Window.partitionBy(*key, SEGMENT)))
-              .drop("_from"))
-    return rows.join(placed, [*key, "_bucket"]).drop("_bucket")
-
-
-def over_segments(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], order: tuple[str, ...], bucket: Column,
-                  halo: int, key: str = "ts_code", max_rows: int = 1_000_000) -> DataFrame:
+def over_segments(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame], order: tuple[str, ...], halo: int,
+                  key: str = "ts_code", max_rows: int = 1_000_000) -> DataFrame:
     """Run a panel function on series too long for one task.
 
     ``build(df, series)`` gets the segments as its series and ``bar_no`` counted
@@ -75,6 +61,6 @@ def over_segments(df: DataFrame, build: Callable[[DataFrame, Series], DataFrame]
     Functions that look at a whole series (minimum-length guards) do not fit.
     """
     s = Series((key, SEGMENT), order)
-    rows = split_series(df, [key], bucket, halo, max_rows)
+    rows = split_series(df, [key], order, halo, max_rows)
     rows = rows.withColumn("bar_no", F.col(OFFSET) + s.number()).drop(OFFSET)
     return build(rows, s).filter(OWN).drop(SEGMENT, OWN)

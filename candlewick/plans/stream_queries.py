@@ -108,5 +108,5 @@ def tick_smoothing(t):
         return R.decayed_sums(df, s, "bar_no", {"ema12": R.ema_span("value", 12, "bar_no")})
 
     rows = t.events.select("event_id", "ts", "value", F.col("event_type").alias("ts_code"))
-    out = over_segments(rows, build, ("ts", "event_id"), F.date_trunc("hour", "ts"), halo=R.warm_up(11 / 13))
+    out = over_segments(rows, build, ("ts", "event_id"), halo=R.warm_up(11 / 13))
     return out.select("event_id", F.col("bar_no").alias("tick_no"), snap("ema12").alias("ema12"), snap("mean50").alias("mean50"))

@@ -126,7 +126,7 @@ def test_panel_over_segments_equals_the_whole(spark):
     build = lambda rows, s=I.BARS: rules.signal_panel(I.indicator_panel(rows, s), s)
     keep = lambda out: out.select("ts_code", "trade_date", *columns).toPandas().sort_values(["ts_code", "trade_date"]).reset_index(drop=True)
     whole = keep(build(df))
-    cut = over_segments(df, build, ("trade_date",), F.trunc("trade_date", "month"), halo=1300, max_rows=1300)
+    cut = over_segments(df, build, ("trade_date",), halo=1300, max_rows=1300)
     parts = keep(cut)
     assert len(parts) == len(whole) == 2750
     for c in columns:

@@ -26,7 +26,7 @@ def ticks(spark, n=4000, hot=0.6):
 @pytest.mark.parametrize("max_rows", [100, 300, 1_000_000])
 def test_rolling_and_numbers_over_segments(spark, max_rows):
     pdf, df = ticks(spark)
-    rows = split_series(df, ["source"], F.date_trunc("hour", "ts"), halo=99, max_rows=max_rows)
+    rows = split_series(df, ["source"], ("ts", "call_id"), halo=99, max_rows=max_rows)
     w = Window.partitionBy("source", SEGMENT).orderBy("ts", "call_id")
     rows = rows.withColumns({"mean": F.avg("value").over(w.rowsBetween(-99, 0)), "number": F.col(OFFSET) + F.row_number().over(w)})
     got = rows.filter(OWN).select("call_id", "mean", "number").toPandas().sort_values("call_id").reset_index(drop=True)
@@ -39,10 +39,20 @@ def test_rolling_and_numbers_over_segments(spark, max_rows):
         assert rows.filter("source = 'hot'").select(SEGMENT).distinct().count() > 10
 
 
+def test_segments_are_bounded_within_an_hour(spark):
+    """A hot key with all its rows in three hours, and many at one time."""
+    n = 6000
+    pdf = pd.DataFrame({"source": "hot", "ts": [BASE + dt.timedelta(seconds=int(i) // 3 if i > 2000 else 0) for i in range(n)], "call_id": np.arange(n)})
+    rows = split_series(spark.createDataFrame(pdf), ["source"], ("ts", "call_id"), halo=50, max_rows=100, bins=7)
+    sizes = rows.groupBy(SEGMENT).agg(F.count("*").alias("n"), F.count_if(OWN).alias("own"), F.min("call_id").alias("first"), F.first(OFFSET).alias("before")).toPandas()
+    assert len(sizes) == 60 and set(sizes["own"]) == {100} and sizes["n"].max() == 150
+    assert (sizes["first"] == sizes["before"]).all()
+
+
 def test_recursion_over_segments(spark):
     pdf, df = ticks(spark)
     halo = R.warm_up(2 / 3)
-    rows = split_series(df, ["source"], F.date_trunc("hour", "ts"), halo=halo, max_rows=400)
+    rows = split_series(df, ["source"], ("ts", "call_id"), halo=halo, max_rows=400)
     s = Series(("source", SEGMENT), ("ts", "call_id"))
     rows = rows.withColumn("n", s.number())
     rows = R.decayed_sums(rows, s, "n", {"e": R.ema("value", 1 / 3, "n")})
@@ -103,6 +113,9 @@ def test_asof_against_merge_asof(spark):
 
 def test_rows_go_through_no_single_task(spark):
     """The pooled operators never sort all rows in one partition."""
-    df = spark.createDataFrame(values()).groupBy("x").agg(F.avg("y").alias("y"))
-    plan = ranks.value_positions(df, ["g"] if "g" in df.columns else [], "x")._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" not in plan.lower()
+    df = spark.createDataFrame(values())
+    places = ranks.value_positions(df, ["g"], "x", bins=8)
+    assert "SinglePartition" not in places._jdf.queryExecution().executedPlan().toString()
+    # a group spans partitions, and none holds most of its values
+    sizes = df.select("g", "x").distinct().repartitionByRange(8, "g", "x").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) >= 6 and sizes.max() < 0.4 * sizes.sum()
