@@ -209,9 +209,11 @@ def delete_older(df: DataFrame, date: str, before) -> DataFrame:
 def write_slices(df: DataFrame, path: str, by: list[str]) -> None:
     """Replace the partitions present in ``df``, leave the others.
 
-    Files appear when the job commits; several partitions are not one transaction.
+    Rows are clustered by the slice first, so a slice is one file, or several where
+    it is large, and not one per task.  Files appear when the job commits; several
+    partitions are not one transaction.
     """
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], by: list[str],
@@ -294,10 +296,14 @@ def failure_rate(calls: DataFrame, window: int = 100, min_calls: int = 10, thres
 # -- export -------------------------------------------------------------------------
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """Header, dates as text, null as empty; UTF-8."""
+def export_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """Header, dates as text, null as empty; UTF-8.  With ``mark`` the header
+    begins with a byte-order mark, which spreadsheet programs look for."""
     text = [F.date_format(c, "yyyy-MM-dd").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes]
-    df.select(*text).write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    out = df.select(*text)
+    if mark:
+        out = out.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    out.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -150,7 +150,12 @@ def risk_panel(t):
     return panel(t).join(small(risk.market_state(t.index_bars())), "trade_date", "left")
 
 
-_LEVELS = ", ".join(f"('{p}', {n}, {x})" for p, n, x in risk.PRIORITIES)
+# Fixed values, written out here so that the check does not take them from the operator:
+# flags of B1, B2, SCB, BLK, DZ30; priority; share of the capital.
+_LEVELS = (
+    "('11111', 6, 0.25), ('11110', 5, 0.25), ('11101', 5, 0.25), ('11100', 4, 0.2), ('11010', 4, 0.2), ('01110', 4, 0.2), "
+    "('11000', 3, 0.18), ('01100', 3, 0.18), ('10100', 2, 0.15), ('01010', 2, 0.15), ('01001', 2, 0.15), ('00100', 1, 0.12), "
+    "('10000', 1, 0.1), ('01000', 1, 0.1), ('00010', 1, 0.08), ('00001', 1, 0.08), ('00000', 0, 0.0)")
 _RISK = {**_upto("final"), **_STATE, "pri": f"SELECT * FROM (VALUES {_LEVELS}) p(pattern, level, share)",
   "pat": "SELECT f.*, coalesce(market_state, 'range') AS ms, b1::INT || b2::INT || scb::INT || blk::INT || dz30::INT AS pattern FROM final f LEFT JOIN state USING (trade_date)",
   "res": """SELECT p.*, coalesce(a.level, b.level, 0) AS level, least(coalesce(a.share, b.share, 0) * CASE ms WHEN 'bull' THEN 1.1 WHEN 'bear' THEN 0.7 ELSE 1 END, 0.25) AS share,
@@ -173,11 +178,15 @@ def resonance(t):
 @query("risk_columns", "G17", with_views("bars_w index_bars", f"""SELECT ts_code, trade_date, CASE WHEN fired THEN CAST(level AS INT) ELSE 0 END AS risk_priority, act AS risk_should_buy,
   {sq("CASE WHEN act THEN round(sized) ELSE 0 END", 0)} AS risk_position_amt,
   {sq("CASE WHEN act THEN CASE WHEN atr > 0 THEN greatest(1.5, least(8, atr * 2 * 100 / close)) ELSE 3 END ELSE 0 END", 3)} AS risk_stoploss_pct,
+  {sq("CASE WHEN fired THEN round(round(comp, 6), 2) ELSE 0 END", 2)} AS risk_composite_score, CASE WHEN fired THEN ms ELSE 'range' END AS risk_market_state,
+  {sq("CASE WHEN act THEN close * (1 - CASE WHEN atr > 0 THEN greatest(1.5, least(8, atr * 2 * 100 / close)) ELSE 3 END / 100) ELSE 0 END", 3)} AS risk_stoploss_price,
+  {sq("CASE WHEN act THEN round(sized / 1000000, 4) ELSE 0 END", 3)} AS risk_position_pct,
   CASE WHEN NOT fired THEN 'no buy signal' WHEN NOT act THEN 'priority too low' ELSE '' END AS risk_reject_reason FROM amt""", **_RISK))
 def risk_columns(t):
     return risk.risk_columns(risk_panel(t)).select(
         *KEYS, "risk_priority", "risk_should_buy", snap("risk_position_amt", 0).alias("risk_position_amt"),
-        snap("risk_stoploss_pct", 3).alias("risk_stoploss_pct"), "risk_reject_reason")
+        snap("risk_stoploss_pct", 3).alias("risk_stoploss_pct"), snap("risk_composite_score", 2).alias("risk_composite_score"), "risk_market_state",
+        snap("risk_stoploss_price", 3).alias("risk_stoploss_price"), snap("risk_position_pct", 3).alias("risk_position_pct"), "risk_reject_reason")
 
 
 @query("portfolio_limits", "G18", with_views("bars_s", f"""SELECT ts_code, trade_date, CAST(place AS INT) AS place, {sq('opened', 2)} AS opened, place <= 8 AND opened <= 500000 AS accepted FROM (
