@@ -54,8 +54,9 @@ def class_bounds(largest: int) -> np.ndarray:
     return np.array(edges)
 
 
-def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key, class, fragments filled in that class): one key per fragment that is not empty.
+def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, ...]:
+    """(text number, key, class, fragments filled in that class, how many of them may
+    differ from a partner's): one key per fragment that is not empty.
 
     A set is cut for its own size class and for the classes below that may hold
     partners; the class gives the number of fragments, so both of a pair are cut
@@ -65,7 +66,7 @@ def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: in
     """
     n = np.bincount(owner, minlength=n_docs)
     none = np.zeros(0, np.int64)
-    out_doc, out_key, out_class, out_filled = [none], [none.astype(np.uint64)], [none], [none]
+    out_doc, out_key, out_class, out_filled, out_differ = [none], [none.astype(np.uint64)], [none], [none], [none]
     begin = np.concatenate([[0], np.cumsum(n)])
     bounds = class_bounds(int(n.max(initial=1)))
     low_class = np.searchsorted(bounds, np.maximum(1, -(-n * percent // 100)), "right") - 1
@@ -93,6 +94,7 @@ def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: in
         out_key.append(key)
         out_class.append(klass[o[s]])
         out_filled.append(filled[o[s]])
+        out_differ.append(differ[o[s]])
         sparse = np.flatnonzero(use & (filled <= differ))
         for d in sparse:
             head = value[begin[d]:begin[d] + n[d] - (-(-n[d] * percent // 100)) + 1]
@@ -100,7 +102,8 @@ def fragment_keys(owner: np.ndarray, value: np.ndarray, n_docs: int, percent: in
             out_key.append(mix(head ^ np.uint64(0x5851F42D4C957F2D)))
             out_class.append(np.full(len(head), -1))
             out_filled.append(np.zeros(len(head), np.int64))
-    return np.concatenate(out_doc), np.concatenate(out_key), np.concatenate(out_class), np.concatenate(out_filled)
+            out_differ.append(np.zeros(len(head), np.int64))
+    return tuple(np.concatenate(x) for x in (out_doc, out_key, out_class, out_filled, out_differ))
 
 
 def _digest(owner: np.ndarray, value: np.ndarray, n_docs: int) -> np.ndarray:
@@ -125,7 +128,8 @@ def _describe(k: int):
 
 def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
     """Keys of the documents the filter ``nodes`` has; with a filter of keys only
-    those in it, and whose they are."""
+    those in it, whose they are, and how many fragments nobody else has (``alone``).
+    A document with more of those in a class than may differ has no partner there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids_ = ids(batch)
@@ -133,15 +137,19 @@ def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
                 owner, value = shingle_sets(data, off, k)
                 take = _has(nodes, ids_[lo:hi])[owner]
                 owner, value = owner[take], value[take]
-                doc, key, klass, filled = fragment_keys(owner, value, hi - lo, percent)
+                doc, key, klass, filled, differ = fragment_keys(owner, value, hi - lo, percent)
                 if words is None:
                     yield pa.record_batch([signed(key)], names=["key"])
                     continue
                 use = found(words, key)
+                part = doc * 1000 + klass + 1  # there are a few hundred classes at most
+                alone = filled - np.bincount(part[use], minlength=(hi - lo) * 1000)[part]
+                use &= (klass < 0) | (alone <= differ)
+                alone = np.where(klass < 0, 0, alone)[use]
                 doc, n = doc[use], np.bincount(owner, minlength=hi - lo)
                 own = np.searchsorted(class_bounds(int(n.max(initial=1))), np.maximum(1, n), "right") - 1
-                yield pa.record_batch([signed(key[use]), pa.array(ids_[lo + doc]), *[pa.array(x.astype(np.int32)) for x in (n[doc], own[doc], klass[use], filled[use])]],
-                                      names=["key", "id", "n", "own", "class", "filled"])
+                yield pa.record_batch([signed(key[use]), pa.array(ids_[lo + doc]), *[pa.array(x.astype(np.int32)) for x in (n[doc], own[doc], klass[use], filled[use], alone)]],
+                                      names=["key", "id", "n", "own", "class", "filled", "alone"])
     return run
 
 
@@ -195,11 +203,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     one = _id_filter(nodes)  # a copy that it lets through is compared like any other document
     seen = docs.mapInArrow(_keys(k, percent, one, None), "key bigint").groupBy("key").count().filter("count > 1")
     words = bit_filter(seen, "key", filter_bits)
-    groups = saved(docs.mapInArrow(_keys(k, percent, one, words), "key bigint, id bigint, n int, own int, class int, filled int").distinct())
+    groups = saved(docs.mapInArrow(_keys(k, percent, one, words), "key bigint, id bigint, n int, own int, class int, filled int, alone int").distinct())
     agreed = saved(groups.groupBy("id", "class").agg(F.collect_list("key").alias("keys"), F.max("filled").alias("filled")))
 
-    # leaders of a group: its least ids by several orders
-    orders = [F.xxhash64(F.lit(i), "id") if i else F.col("id") for i in range(LEADERS)]
+    # leaders of a group: the one with fewest fragments of its own (what near copies
+    # were made from is nearest to all), and the least by other orders
+    orders = [F.xxhash64(F.lit(i), "id") if i else F.col("alone") * F.lit(1 << 44) + F.col("id").bitwiseAND(F.lit((1 << 44) - 1)) for i in range(LEADERS)]
     heads = groups.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by("id", o).alias(f"h{i}") for i, o in enumerate(orders)],
                                       *[F.min_by("n", o).alias(f"n{i}") for i, o in enumerate(orders)], *[F.min_by("own", o).alias(f"o{i}") for i, o in enumerate(orders)]).filter("size > 1")
     heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}").alias("id"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("own")) for i in range(LEADERS)]))).alias("h"))
