@@ -153,6 +153,26 @@ def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
     return run
 
 
+def _members(k: int, nodes: np.ndarray, shared: np.ndarray | None):
+    """Shingles of the documents the filter ``nodes`` has; with a filter of shared
+    shingles how many of each document's are in no other (``lonely``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids_ = ids(batch)
+            for lo, hi, data, off in slices(batch.column(1)):
+                wanted = _has(nodes, ids_[lo:hi])
+                if not wanted.any():
+                    continue
+                owner, value = shingle_sets(data, off, k)
+                take = wanted[owner]
+                if shared is None:
+                    yield pa.record_batch([signed(value[take])], names=["gram"])
+                    continue
+                lonely = np.bincount(owner[take], ~found(shared, value[take]), minlength=hi - lo)
+                yield pa.record_batch([pa.array(ids_[lo:hi][wanted]), pa.array(lonely[wanted].astype(np.int32))], names=["id", "lonely"])
+    return run
+
+
 def _has(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return found(words, mix(doc.view(np.uint64)))
 
@@ -204,22 +224,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     seen = docs.mapInArrow(_keys(k, percent, one, None), "key bigint").groupBy("key").count().filter("count > 1")
     words = bit_filter(seen, "key", filter_bits)
     groups = saved(docs.mapInArrow(_keys(k, percent, one, words), "key bigint, id bigint, n int, own int, class int, filled int, alone int").distinct())
+    rest_ = _id_filter(groups)
+    twice = docs.mapInArrow(_members(k, rest_, None), "gram bigint").groupBy("gram").count().filter("count > 1")
+    lonely = docs.mapInArrow(_members(k, rest_, bit_filter(twice, "gram", filter_bits)), "id bigint, lonely int").groupBy("id").agg(F.min("lonely").alias("lonely"))
+    groups = saved(groups.drop("alone").join(lonely, "id"))
     agreed = saved(groups.groupBy("id", "class").agg(F.collect_list("key").alias("keys"), F.max("filled").alias("filled")))
 
-    # leaders of a group: the one with fewest fragments of its own (what near copies
+    # leaders of a group: the one with fewest shingles of its own (what near copies
     # were made from is nearest to all), and the least by other orders
-    orders = [F.xxhash64(F.lit(i), "id") if i else F.col("alone") * F.lit(1 << 44) + F.col("id").bitwiseAND(F.lit((1 << 44) - 1)) for i in range(LEADERS)]
+    orders = [F.xxhash64(F.lit(i), "id") if i else F.col("lonely") * F.lit(1 << 44) + F.col("id").bitwiseAND(F.lit((1 << 44) - 1)) for i in range(LEADERS)]
     heads = groups.groupBy("key").agg(F.count("*").alias("size"), *[F.min_by("id", o).alias(f"h{i}") for i, o in enumerate(orders)],
-                                      *[F.min_by("n", o).alias(f"n{i}") for i, o in enumerate(orders)], *[F.min_by("own", o).alias(f"o{i}") for i, o in enumerate(orders)]).filter("size > 1")
-    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}").alias("id"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("own")) for i in range(LEADERS)]))).alias("h"))
-    heads = heads.select("key", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.own").alias("own2"))
+                                      *[F.min_by("n", o).alias(f"n{i}") for i, o in enumerate(orders)], *[F.min_by("own", o).alias(f"o{i}") for i, o in enumerate(orders)], *[F.min_by("lonely", o).alias(f"l{i}") for i, o in enumerate(orders)]).filter("size > 1")
+    heads = heads.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"h{i}").alias("id"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("own"), F.col(f"l{i}").alias("lonely")) for i in range(LEADERS)]))).alias("h"))
+    heads = heads.select("key", F.col("h.id").alias("id2"), F.col("h.n").alias("n2"), F.col("h.own").alias("own2"), F.col("h.lonely").alias("lonely2"))
     first = saved(_ordered(groups.join(heads, "key"), percent))
     links = _verified(docs, saved(_possible(first, agreed, percent)), k, percent)
     label = components(links)
-    grouped = saved(groups.join(label, "id", "left").select("key", "id", "n", "own", "class", F.coalesce("component", "id").alias("component")))
+    grouped = saved(groups.join(label, "id", "left").select("key", "id", "n", "own", "class", "lonely", F.coalesce("component", "id").alias("component")))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rest = grouped.join(open_keys, "key")
-    others = _ordered(rest.join(rest.selectExpr("key", "id as id2", "n as n2", "own as own2", "component as component2"), "key").filter("component < component2"), percent)
+    others = _ordered(rest.join(rest.selectExpr("key", "id as id2", "n as n2", "own as own2", "lonely as lonely2", "component as component2"), "key").filter("component < component2"), percent)
     others = saved(_possible(others.join(first, ["a", "b"], "left_anti"), agreed, percent))
     more = saved(_verified(docs, others, k, percent))
     if not more.isEmpty():
@@ -231,9 +255,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
 
 
 def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a < b) with sizes and classes, where the sizes allow a link and the
-    key is one by which they are compared."""
-    near = (F.col("id") != F.col("id2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    """Distinct (a < b) with sizes and classes, where the sizes allow a link, neither
+    has more shingles that nobody shares than the link leaves room for, and the key
+    is one by which they are compared."""
+    common = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent) - 1e-9)
+    near = (F.col("id") != F.col("id2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("lonely") + common <= F.col("n")) & (F.col("lonely2") + common <= F.col("n2"))
     by = (F.col("class") == -1) | (F.col("class") == F.least("own", "own2"))
     swap = F.col("id") > F.col("id2")
     return pairs.filter(near & by).select(
