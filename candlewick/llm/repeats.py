@@ -54,8 +54,8 @@ def _anchor_rows(length: int):
 def _suffix_rows(length: int, repeated: np.ndarray, frequent: np.ndarray):
     """Runs of windows around a repeated anchor: their words once, from the first
     window's start to the last one's end.  ``n``: windows; ``at``: number of the
-    run's first word in the text; ``times``: so many runs of one window follow each
-    other, a word apart; ``whole``: the anchor is a frequent one."""
+    run's first word in the text; ``times``: so many equal runs follow each
+    other, ``n`` words apart; ``whole``: the anchor is a frequent one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = ids(batch)
@@ -76,10 +76,10 @@ def _suffix_rows(length: int, repeated: np.ndarray, frequent: np.ndarray):
                 first, last = at[s], at[e] + length
                 lists = [b" ".join(raw[a:b].split()) for a, b in zip(words.start[first].tolist(), words.end[last - 1].tolist())]
                 owner = words.doc[first]
-                # one word (or few) over and over: equal windows at consecutive places are one row
+                # a few words over and over: equal runs that follow each other are one row
                 n = e - s + 1
                 again = np.zeros(len(s), bool)
-                again[1:] = (n[1:] == 1) & (n[:-1] == 1) & (first[1:] == first[:-1] + 1) & (owner[1:] == owner[:-1])
+                again[1:] = (n[1:] == n[:-1]) & (first[1:] == first[:-1] + n[:-1]) & (owner[1:] == owner[:-1]) & (value[s[1:]] == value[s[:-1]])
                 again[again] = [lists[i] == lists[i - 1] for i in np.flatnonzero(again)]
                 head = np.flatnonzero(~again)
                 times = np.diff(np.concatenate([head, [len(s)]]))
@@ -112,7 +112,8 @@ def _repeats(rows: pa.Table, length: int) -> pa.RecordBatch:
     late = doc > least
     at = (rows.column("at").to_numpy()[owner] + step)[order]
     times = rows.column("times").to_numpy()[owner][order]
-    return pa.record_batch([pa.array(doc[late]), pa.array(at[late].astype(np.int32)), pa.array(times[late])], names=["doc_id", "at", "times"])
+    apart = n[owner][order]
+    return pa.record_batch([pa.array(doc[late]), pa.array(at[late].astype(np.int32)), pa.array(times[late]), pa.array(apart[late].astype(np.int32))], names=["doc_id", "at", "times", "n"])
 
 
 def _trees(length: int):
@@ -183,9 +184,9 @@ def repeated_starts(docs: DataFrame, length: int = 13, filter_bits: int = 27, gr
     frequent = bit_filter(counted.filter(F.col("n") > group_rows), "anchor", filter_bits - 4)
     rows = docs.mapInArrow(_suffix_rows(length, repeated, frequent), ROWS)
     below = (rows.filter("not whole").select("key", "doc_id", "at", "n", "times", "words").repartition("key").sortWithinPartitions("key")
-             .mapInArrow(_trees(length), "doc_id bigint, at int, times int"))
+             .mapInArrow(_trees(length), "doc_id bigint, at int, times int, n int"))
     # equal runs of a frequent anchor become one before its windows are looked at
-    whole = rows.filter("whole").select("doc_id", "at", "times", F.col("words").cast("string").alias("run"))
+    whole = rows.filter("whole").select("doc_id", "at", "times", F.col("n").cast("int").alias("n"), F.col("words").cast("string").alias("run"))
     runs = whole.groupBy("run").agg(F.min("doc_id").alias("least"))
     size = F.size(F.split("run", " ")) - length
     each = runs.select("run", "least", F.explode(F.sequence(F.lit(0), size)).alias("j")).withColumn(
@@ -193,8 +194,8 @@ def repeated_starts(docs: DataFrame, length: int = 13, filter_bits: int = 27, gr
     nodes = each.groupBy("window").agg(F.min("least").alias("least"))
     owners = each.select("run", "j", "window").join(nodes, "window").groupBy("run").agg(F.collect_list(F.struct("j", "least")).alias("owners"))
     whole = whole.join(owners, "run").select("doc_id", F.expr(
-        "flatten(transform(filter(owners, x -> x.least < doc_id), x -> sequence(at + x.j, at + x.j + times - 1)))").alias("starts"))
-    below = below.select("doc_id", F.expr("sequence(at, at + times - 1)").alias("starts"))
+        "flatten(transform(filter(owners, x -> x.least < doc_id), x -> sequence(at + x.j, at + x.j + (times - 1) * n, n)))").alias("starts"))
+    below = below.select("doc_id", F.expr("sequence(at, at + (times - 1) * n, n)").alias("starts"))
     return below.union(whole.filter(F.size("starts") > 0)).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
