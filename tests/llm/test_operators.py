@@ -193,6 +193,20 @@ def test_leaks(spark, docs, texts):
     assert {(r["doc_id"], r["item_id"]) for r in latent.leaks(planted, odd).collect()} == {(3, 0)}
 
 
+def test_widespread_items_are_found(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 3000, n))
+    hot, few, shared = " ".join(f"h{i}" for i in range(24)), "in of on at to by as an or so if we it he be is", " ".join(f"h{i}" for i in range(17)) + " e1 e2 e3 e4 e5 e6 e7"
+    bench = spark.createDataFrame([(1, hot), (2, few), (3, shared), *((10 + i, word(30)) for i in range(30))], "item_id bigint, text string")
+    # a third of the rows copies of one text that holds an item; rare words of other items stand around the planted ones
+    rows = [(i, f"{word(20)} {hot} {word(20)}" if i % 2 else f"copy one two {hot} three four") for i in range(200)]
+    rows += [(200 + i, f"{word(25)} {' '.join(rng.permutation(few.split()))} {word(90)}") for i in range(400)]
+    rows += [(900, f"{word(40)} {few} {word(40)}"), (901, f"{word(40)} {shared} {word(40)}")]
+    got = {(r["doc_id"], r["item_id"]) for r in latent.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert {(i, 1) for i in range(200)} | {(900, 2), (901, 3)} <= got
+    assert {d for d, i in got if i == 1} <= {*range(200), 901} and {d for d, i in got if i == 3} == {901}
+
+
 def _paraphrase(text):
     words = text.split()
     return "before it " + " ".join(w if i % 6 else "other" for i, w in enumerate(words)) + " after it"
