@@ -207,6 +207,16 @@ def test_widespread_items_are_found(spark):
     assert {d for d, i in got if i == 1} <= {*range(200), 901} and {d for d, i in got if i == 3} == {901}
 
 
+def test_long_items_are_found(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 4000, n))
+    bench = spark.createDataFrame([(1, word(3000)), (2, word(900)), *((10 + i, word(30)) for i in range(30))], "item_id bigint, text string")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    rows = [(i, word(200)) for i in range(60)] + [(100, f"{word(50)} {items[1]} {word(50)}"), (101, items[2]), (102, _paraphrase(items[2])), (103, items[1][:len(items[1]) // 3])]
+    got = {(r["doc_id"], r["item_id"]) for r in latent.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {(100, 1), (101, 2), (102, 2)}
+
+
 def _paraphrase(text):
     words = text.split()
     return "before it " + " ".join(w if i % 6 else "other" for i, w in enumerate(words)) + " after it"
