@@ -50,7 +50,7 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("host_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("login_url", r"[a-z]{2,12}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("login_url", r"[a-z]{2,12}://[^\s:/@]+:[^\s:/@]{3,}@"),
 )
 
 

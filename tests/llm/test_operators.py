@@ -49,6 +49,14 @@ def test_redaction(docs):
     assert out[10_001]["text"] is None and out[None]["text"] == "no id" and out[10_004]["text"] == "one"
 
 
+def test_long_passwords_in_urls(spark):
+    urls = [f"amqp://{'u' * n}:{'P-' * n}@host" for n in (2, 32, 33, 64, 65, 5000)]
+    df = spark.createDataFrame([*enumerate(f"at {u}/x" for u in urls), (10, "http://" + "z" * 200_000), (11, ("http://z:" + "z" * 90 + " ") * 1000)], "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(df).collect()}
+    assert spans == {i: f"login_url:3:{3 + len(u) - 4}" for i, u in enumerate(urls)} | {10: "", 11: ""}
+    assert all(r["text"] == "at [secret]host/x" for r in secrets.redact(df.withColumn("n_chars", F.length("text").cast("long")).filter("doc_id < 10")).collect())
+
+
 # ------------------------------------------------------------ quality
 
 def test_quality(docs, texts, by_id):
