@@ -22,9 +22,9 @@ _SPLIT = re.compile(r"[^a-z]+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CONTAINER = {"html", "body", "div", "article", "main", "section", "td", "table", "tbody", "tr", "center", "blockquote"}
-_SKIP = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video", "head", "figure"}
+_SKIP = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video", "head"}
 _BLOCK = _CONTAINER | _SKIP | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "pre", "hr", "address", "details", "summary",
-                               "fieldset", "figcaption", "th", "thead", "tfoot", "caption"}
+                               "fieldset", "figure", "figcaption", "th", "thead", "tfoot", "caption"}
 # words of a class, id or role that name what is not the article
 _ASIDE = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header "
              "masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related respond share sharing "
@@ -50,11 +50,12 @@ class Page:
 
 def _general(tag: str, words: list[str]) -> str:
     """Tag and classes without digits, so that numbered boxes share a path."""
-    return tag + "".join("." + w for w in sorted(set(words))[:4])
+    return tag + "".join("." + w for w in sorted(set(words)))
 
 
 def read(text: str) -> Page:
-    """Containers and text blocks of a page.  Menus, adverts and the like are left out whole."""
+    """Containers and text blocks of a page.  Menus, adverts and the like are left out whole;
+    an article's own header and footer are not."""
     page = Page()
     stack: list[tuple[str, int, bool]] = []  # (tag, container, skipped)
     here, skipped, links = 0, 0, 0
@@ -128,7 +129,8 @@ def read(text: str) -> Page:
         words: list[str] = []
         if attributes:
             words = [w for _, a, b, c in _NAMES.findall(attributes) for w in _SPLIT.split((a or b or c).lower()) if w]
-        skip = tag in _SKIP or (tag not in ("html", "body", "article", "main") and not _ASIDE.isdisjoint(words))
+        own = tag in ("header", "footer") and any(t in ("article", "main") for t, _, _ in stack)
+        skip = (tag in _SKIP and not own) or (tag not in ("html", "body", "article", "main") and not _ASIDE.isdisjoint(words))
         stack.append((tag, here, skip))
         skipped += skip
         links += tag == "a"

@@ -292,6 +292,18 @@ def test_pages(spark, empty):
     assert pages.main_text(df).count() == len(rows)
 
 
+def test_figures_and_headers_of_an_article_stay():
+    page = """<body><header><p>Site</p></header><article><header><h1>Title</h1></header><p>Text of it.</p><figure><img src=x><video><p>no</p></video><table><tr><td>1</td><td>2</td></tr></table>
+    <figcaption>Caption</figcaption></figure><figure><pre>code()</pre></figure><footer>Written by A.</footer></article><footer>Site again</footer></body>"""
+    assert pages.extract(page, []) == "Title\nText of it.\n1\n2\nCaption\ncode()\nWritten by A."
+
+
+def test_all_classes_are_in_the_path():
+    page = "<body><div class='a b c d story'><p>the text</p></div><div class='a b c d teaser'><p>not it</p></div></body>"
+    assert pages.extract(page, ["/body/div.a.b.c.d.story"]) == "the text"
+    assert len({c.path for c in pages.read(page).containers if "div" in c.path}) == 2
+
+
 def test_paths_of_the_host_decide(spark):
     """A page whose own best container is another is read along its host's path."""
     page = "<body><div class='story12'><p>{}</p></div><div class='box'><p>{}</p></div></body>"
