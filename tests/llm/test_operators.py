@@ -225,6 +225,21 @@ def test_long_items_are_found(spark):
     assert got == {(100, 1), (101, 2), (102, 2)}
 
 
+def test_all_passages_fit_the_space(spark, monkeypatch):
+    """Sums over the passages of every document, whatever their number and the tasks'."""
+    docs = spark.createDataFrame([(i, f"a b d e c{i % 7}") for i in range(2500)] + [(9000, None)], "doc_id bigint, text string").repartition(7)
+    bench = spark.createDataFrame([(1, "a b d e c1")], "item_id bigint, text string")
+    seen, summed = [], latent._summed
+
+    def spy(docs, run, shape):
+        seen.append(summed(docs, run, shape))
+        return seen[-1]
+
+    monkeypatch.setattr(latent, "_summed", spy)
+    assert {r["doc_id"] for r in latent.leaks(docs, bench).collect()} == {i for i in range(2500) if i % 7 == 1}
+    assert [n for _, n in seen] == [2500, 2500] and all(np.isfinite(x).all() and x.any() for x, _ in seen)
+
+
 def _paraphrase(text):
     words = text.split()
     return "before it " + " ".join(w if i % 6 else "other" for i, w in enumerate(words)) + " after it"
