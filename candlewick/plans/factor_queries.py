@@ -165,7 +165,7 @@ def factor_correlation(t):
     return rounded(X.factor_correlation(factor_panel(t), FACTORS), ["factor_a", "factor_b"], ["corr"])
 
 
-@query("factor_report", "I11", _sql("SELECT factor, period, " + ", ".join(f"{sq(c)} AS {c}" for c in _STAT_COLUMNS) + f" FROM (SELECT factor, period, {_STATS} FROM ic GROUP BY ALL)",
+@query("factor_report", "", _sql("SELECT factor, period, " + ", ".join(f"{sq(c)} AS {c}" for c in _STAT_COLUMNS) + f" FROM (SELECT factor, period, {_STATS} FROM ic GROUP BY ALL)",
     grid=" UNION ALL ".join(f"SELECT '{f}' AS factor, CAST({p} AS INT) AS period, trade_date, {f} AS v, {lead('ret', p)} AS r FROM factors" for f in FACTORS for p in (1, 5)),
     ic="SELECT factor, period, trade_date, CASE WHEN isnan(corr(v, r)) THEN NULL ELSE corr(v, r) END AS ic FROM grid WHERE v IS NOT NULL AND r IS NOT NULL GROUP BY ALL HAVING count(*) >= 10"))
 def factor_report(t):

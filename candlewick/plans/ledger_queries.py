@@ -80,7 +80,7 @@ def trade_summary(t):
     return rounded(R.trade_summary(R.sold(t.positions()), CAPITAL), ["total_trades", "win_count"], _TS, 1)
 
 
-@query("holding_summary", "D13 C4", with_views("positions stock_info", f"""SELECT p.strategy, coalesce(i.industry, 'unknown') AS industry, count(*) AS n, {sq('sum(cost)', 1)} AS cost FROM positions p
+@query("holding_summary", "D13", with_views("positions stock_info", f"""SELECT p.strategy, coalesce(i.industry, 'unknown') AS industry, count(*) AS n, {sq('sum(cost)', 1)} AS cost FROM positions p
   LEFT JOIN stock_info i ON i.ts_code = p.code WHERE p.status = 'holding' GROUP BY ALL"""))
 def holding_summary(t):
     """The position view (ledger with instrument data), summed over open positions."""
@@ -287,7 +287,7 @@ def yearly_resample(t):
     return _resampled(R.resample_pnl(daily(t), "Y"))
 
 
-@query("return_heatmap", "D7 D8", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _DAILY.items()) + " SELECT year(date) AS year, " + ", ".join(
+@query("return_heatmap", "D7", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _DAILY.items()) + " SELECT year(date) AS year, " + ", ".join(
     f"{sq(slog(f'(product(1 + daily_return) FILTER (month(date) = {m}) - 1)'))} AS m{m}" for m in range(1, 13)) + " FROM daily GROUP BY 1")
 def return_heatmap(t):
     out = R.year_by_month(daily(t), "date", F.product(1 + F.col("daily_return")) - 1)

@@ -81,7 +81,7 @@ def buy_signals(t):
     return panel(t).select(*KEYS, "signal_buy_b1", "signal_buy_b2", "signal_buy_blk", "signal_buy_blkb2", "score_blkb2")
 
 
-@query("signal_history", "G20 M1 M2", _sql("CAST(CASE WHEN rn >= 80 THEN -score_s1 END AS DOUBLE) + 0.0 AS signal", "states"))
+@query("signal_history", "M1", _sql("CAST(CASE WHEN rn >= 80 THEN -score_s1 END AS DOUBLE) + 0.0 AS signal", "states"))
 def signal_history(t):
     df = rules.s1_score(facts(t))
     return rules.signal_history(df, "s1", 80).withColumn("signal", F.col("signal") + 0.0)
@@ -100,7 +100,7 @@ def signal_events(t):
     return rules.signal_events(panel(t))
 
 
-@query("grouped_signal", "M1 M2 M3", with_views("bars_w", "SELECT ts_code, trade_date, CAST(sign(avg(close) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS 19 PRECEDING) - close) AS DOUBLE) + 0.0 AS signal FROM bars_w"))
+@query("grouped_signal", "M1 M3", with_views("bars_w", "SELECT ts_code, trade_date, CAST(sign(avg(close) OVER (PARTITION BY ts_code ORDER BY trade_date ROWS 19 PRECEDING) - close) AS DOUBLE) + 0.0 AS signal FROM bars_w"))
 def grouped_signal(t):
     """A pandas signal run per code: is the close under its 20-bar mean?"""
     from candlewick.operators.signals import grouped_signal as grouped

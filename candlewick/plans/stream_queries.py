@@ -87,7 +87,7 @@ def line_break_stream(t):
     return t.spark.read.parquet(B.drain(out, "append")).drop("batch")
 
 
-@query("running_indicators_stream", "L4", with_views("bars_w", f"SELECT ts_code, trade_date, {sq('e12', 3)} AS ema12, {sq('e26', 3)} AS ema26, {sq('b2', 3)} AS trend_fast, {sq('obv', 3)} AS obv FROM loop_r JOIN (SELECT ts_code, trade_date, {over('sum(CASE WHEN rn = 1 THEN vol ELSE sign(chg) * vol END)', 10**6)} AS obv FROM (SELECT *, close - lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS chg FROM numbered)) USING (ts_code, trade_date)",
+@query("running_indicators_stream", "", with_views("bars_w", f"SELECT ts_code, trade_date, {sq('e12', 3)} AS ema12, {sq('e26', 3)} AS ema26, {sq('b2', 3)} AS trend_fast, {sq('obv', 3)} AS obv FROM loop_r JOIN (SELECT ts_code, trade_date, {over('sum(CASE WHEN rn = 1 THEN vol ELSE sign(chg) * vol END)', 10**6)} AS obv FROM (SELECT *, close - lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS chg FROM numbered)) USING (ts_code, trade_date)",
     numbered=NUMBERED, loop_r=loop({"e12": ("close", "b.close * (2.0/13) + r.e12 * (11.0/13)"), "e26": ("close", "b.close * (2.0/27) + r.e26 * (25.0/27)"),
                                     "a1": ("close", "b.close * (2.0/11) + r.a1 * (9.0/11)"), "b2": ("close", "(b.close * (2.0/11) + r.a1 * (9.0/11)) * (2.0/11) + r.b2 * (9.0/11)")})))
 def running_indicators_stream(t):
@@ -97,7 +97,7 @@ def running_indicators_stream(t):
     return rounded(rows, KEYS, ["ema12", "ema26", "trend_fast", "obv"], 3)
 
 
-@query("tick_smoothing", "E8 L4", f"""SELECT event_id, rn AS tick_no, {sq('list_sum(list_transform(f, lambda z: z.x * CASE WHEN z.n = 1 THEN 1 ELSE 2.0/13 END * pow(11.0/13, rn - z.n)))')} AS ema12, {sq('m', 4)} AS mean50 FROM (
+@query("tick_smoothing", "E8", f"""SELECT event_id, rn AS tick_no, {sq('list_sum(list_transform(f, lambda z: z.x * CASE WHEN z.n = 1 THEN 1 ELSE 2.0/13 END * pow(11.0/13, rn - z.n)))')} AS ema12, {sq('m', 4)} AS mean50 FROM (
   SELECT event_id, rn, list({{'x': value, 'n': rn}}) OVER (w ROWS 399 PRECEDING) AS f, avg(value) OVER (w ROWS 49 PRECEDING) AS m FROM (
    SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))""")
 def tick_smoothing(t):
