@@ -14,8 +14,10 @@ from candlewick.llm.lattice import lattice_scores
 from candlewick.llm.packing import packed
 from candlewick.llm.pages import main_text
 from candlewick.llm.personal import personal_spans
+from candlewick.llm.phrases import collocations
 from candlewick.llm.quality import quality_rules
 from candlewick.llm.repeats import without_repeats
+from candlewick.llm.runs import periodic_runs
 from candlewick.llm.secrets import secret_spans
 from candlewick.llm.store import table
 from candlewick.llm.toxicity import toxicity_scores
@@ -80,6 +82,34 @@ def op10_cross_document_line_quality(spark: SparkSession, folder: str) -> DataFr
     return quality_rules(table(spark, folder, "documents"))
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of the documents whose id has a crc32 divisible by 10, the
+    words from one on are repeats of the first few of them."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", F.floor(crc / 10).alias("g"), (crc % 10 == 0).alias("repeat"))
+    docs = docs.withColumn("w", F.when(F.col("repeat"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    docs = docs.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, cast(a + 1 as int), cast(p as int)), cast((n - a + p - 1) div p as int))), 1, cast(n - a as int))")
+    repeated = F.array_join(F.concat(F.expr("slice(w, 1, cast(a as int))"), tail), " ")
+    return docs.select("doc_id", F.when(F.col("repeat") & (F.col("n") > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_run_detection(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, after a tenth of them have had their tails repeated."""
+    found = periodic_runs(repeated_tails(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), F.concat(x["period"].cast("string"), F.lit("\n")))), "")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+                        F.expr("1000 * best.length div -best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_phrase_collocation_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 phrases of each language whose words are bound together most."""
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op1_nonnegative_pu_toxicity,
     op2_latent_decontamination,
@@ -91,10 +121,14 @@ QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op8_fragment_jaccard_join,
     op9_consensus_path_extraction,
     op10_cross_document_line_quality,
+    op11_periodic_run_detection,
+    op12_phrase_collocation_mining,
 )}
 SQL: dict[str, str] = {
     "op6_suffix_tree_substring_dedup": sql.REPEATS,
     "op7_trigram_secret_scan": sql.SECRETS,
     "op8_fragment_jaccard_join": sql.JACCARD,
     "op10_cross_document_line_quality": sql.QUALITY,
+    "op11_periodic_run_detection": sql.RUNS,
+    "op12_phrase_collocation_mining": sql.COLLOCATIONS,
 }
