@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import sql
+from candlewick.llm.forest import near_duplicates
 from candlewick.llm.jaccard import jaccard_components
 from candlewick.llm.latent import leaks
 from candlewick.llm.lattice import lattice_scores
@@ -110,6 +111,11 @@ def op12_phrase_collocation_mining(spark: SparkSession, folder: str) -> DataFram
     return collocations(table(spark, folder, "documents"))
 
 
+def op13_lsh_forest_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose 2-word shingles agree to 80 %, and the one of each that is kept."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op1_nonnegative_pu_toxicity,
     op2_latent_decontamination,
@@ -123,6 +129,7 @@ QUERIES: dict[str, Program] = {f.__name__: f for f in (
     op10_cross_document_line_quality,
     op11_periodic_run_detection,
     op12_phrase_collocation_mining,
+    op13_lsh_forest_near_dedup,
 )}
 SQL: dict[str, str] = {
     "op6_suffix_tree_substring_dedup": sql.REPEATS,
@@ -131,4 +138,5 @@ SQL: dict[str, str] = {
     "op10_cross_document_line_quality": sql.QUALITY,
     "op11_periodic_run_detection": sql.RUNS,
     "op12_phrase_collocation_mining": sql.COLLOCATIONS,
+    "op13_lsh_forest_near_dedup": sql.FOREST,
 }

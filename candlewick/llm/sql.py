@@ -34,14 +34,19 @@ per AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k =
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)"""
 
-JACCARD = f"""
+def _jaccard(k: int, more: str = "") -> str:
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", _LOWER.format("coalesce(text, '')"))} AS w FROM documents),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 5 THEN range(1, len(w) - 3) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d)),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) >= {k} THEN range(1, len(w) - {k - 2}) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 link AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS overlap FROM g p JOIN g q USING (s) WHERE p.doc_id <> q.doc_id GROUP BY 1, 2) x
   JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * overlap >= 80 * (na.n + nb.n - overlap)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id{more} FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
+
+JACCARD = _jaccard(5)
+FOREST = _jaccard(2, ", doc_id = c.component_id AS kept")
 
 _NORMAL = r"array_to_string(regexp_extract_all(" + _LOWER.format("l") + r", '[^\x20\x09-\x0D]+'), ' ')"
 QUALITY = f"""

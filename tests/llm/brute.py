@@ -64,14 +64,14 @@ def windows_removed(texts):
     return out
 
 
-def shingles(text):
+def shingles(text, k=5):
     w = WORD.findall((text or "").translate(LOWER))
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def components(texts):
+def components(texts, k=5):
     """{doc_id: (n_shingles, component_id)} by the Jaccard links of all pairs that share a shingle."""
-    sets = {d: shingles(t) for d, t in texts.items()}
+    sets = {d: shingles(t, k) for d, t in texts.items()}
     parent = {d: d for d in sets}
 
     def root(x):
