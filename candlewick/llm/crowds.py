@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.jaccard import shingle_sets
 from candlewick.llm.store import bit_filter, found, saved
-from candlewick.llm.textkit import ids, mix, signed, slices
+from candlewick.llm.textkit import ids, mix, shingle_sets, signed, slices
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +55,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("overlap") >= percent * (F.col("sum") - F.col("overlap"))).select("a", "b")
 
 
+def by_leader(members: DataFrame, group: str) -> DataFrame:
+    """Crowds of the groups that have members (``group``, id, component) of more than one
+    component.  A group is led by the smallest id of its largest component, whether
+    that is a member or not, so groups of one cluster are one crowd."""
+    sizes = members.groupBy(group, "component").agg(F.count("*").alias("c"))
+    leaders = sizes.groupBy(group).agg(F.max_by("component", F.struct("c", "component")).alias("crowd"), F.count("*").alias("sides")).filter("sides > 1").select(group, "crowd")
+    crowds = members.join(leaders, group).select("crowd", "id", "component")
+    return crowds.union(leaders.select("crowd", F.col("crowd").alias("id"), F.col("crowd").alias("component"))).distinct()
+
+
 def between_components(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of links that join the components of a crowd: all that matter, and no pair
     within a component.
 
-    ``crowds``: distinct (crowd, id, component), where ``crowd`` is the id of a member,
+    ``crowds``: distinct (crowd, id, component), where ``crowd`` is the id of one of them,
     its leader; ``sets``: (id, grams) of all of them.  Two sets link when they differ
     in at most d = (sum of sizes) * (100 - percent) / (100 + percent) elements.
 

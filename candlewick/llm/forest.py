@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
-from candlewick.llm.crowds import between_components, confirmed, shingles_of
-from candlewick.llm.jaccard import shingle_sets
+from candlewick.llm.crowds import between_components, by_leader, confirmed, shingles_of
 from candlewick.llm.store import saved, texts, without
-from candlewick.llm.textkit import ids, mix, signed, slices
+from candlewick.llm.textkit import ids, mix, shingle_sets, signed, slices
 
 DEPTHS = (3, 5, 8)  # values of a signature that a region's members share
 NEIGHBOURS = 3  # next ones in the order of a crowded region
@@ -100,7 +99,7 @@ def regions(nodes: DataFrame, trees: int, crowd: int) -> DataFrame:
     """(region, k0 .. k2, id, n, s0, s1, crowded) of every set and tree where it has company.
 
     A region is a beginning of a tree's signatures.  Of at most ``crowd`` members it
-    stays as it is; of more it is cut at the next depth, unless a quarter of them have
+    stays as it is; of more it is cut at the next depth, unless half of them have
     one beginning there too, or there is no next.  The keys k0 .. k2 name
     the beginnings of all depths."""
     levels = range(len(DEPTHS))
@@ -112,7 +111,7 @@ def regions(nodes: DataFrame, trees: int, crowd: int) -> DataFrame:
         members = left.groupBy(f"k{i}", *([] if last else [f"k{i + 1}"])).agg(F.count("*").alias("c"))
         sizes = members.groupBy(f"k{i}").agg(F.sum("c").alias("size"), F.max("c").alias("child")).filter("size > 1")
         known = saved(left.join(sizes, f"k{i}"))
-        stays = F.lit(True) if last else (F.col("size") <= crowd) | (4 * F.col("child") >= F.col("size"))
+        stays = F.lit(True) if last else (F.col("size") <= crowd) | (2 * F.col("child") >= F.col("size"))
         part = known.filter(stays).select(F.col(f"k{i}").alias("region"), *[f"k{j}" for j in levels], "id", "n", "s0", "s1", (F.col("size") > crowd).alias("crowded"))
         out = part if out is None else out.union(part)
         left = known.filter(~stays).drop("size", "child")
@@ -158,9 +157,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, trees: int =
     label = components(links)
 
     named = many.select("region", "id").join(label, "id", "left").select("region", "id", F.coalesce("component", "id").alias("component"))
-    sizes = named.groupBy("region", "component").agg(F.count("*").alias("c"), F.min("id").alias("crowd"))
-    leaders = sizes.groupBy("region").agg(F.max_by("crowd", F.struct("c", "crowd")).alias("crowd"), F.count("*").alias("sides")).filter("sides > 1").select("region", "crowd")
-    crowds = saved(named.join(leaders, "region").select("crowd", "id", "component").distinct())
+    crowds = saved(by_leader(named, "region"))
     more = saved(between_components(crowds, sets, percent))
     if not more.isEmpty():
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))

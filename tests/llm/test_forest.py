@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewick.llm import crowds, forest
-from candlewick.llm.jaccard import shingle_sets
-from candlewick.llm.textkit import flat, mix
+from candlewick.llm.textkit import flat, mix, shingle_sets
 
 
 def near_copies(rng, bases, copies, edits, cut=0):
