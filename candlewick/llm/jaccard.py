@@ -17,33 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
+from candlewick.llm.crowds import between_components, by_leader, shingles_of
 from candlewick.llm.store import bit_filter, found, saved, texts, without
-from candlewick.llm.textkit import Words, ids, lower, mix, signed, slices, windows
+from candlewick.llm.textkit import ids, mix, shingle_sets, signed, slices
 
 FRAGMENTS = 4  # of the overlap count
 LEADERS = 2  # members of a candidate group that are compared with all others first
-
-
-def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of the distinct ``k``-word shingles, sorted; a text of
-    fewer words is one shingle, one without words none."""
-    words = Words(lower(data), off)
-    hashes = words.hashes()
-    n = words.counts()
-    doc, first = words.doc, words.first
-    at = np.flatnonzero(doc[:len(words) - k + 1] == doc[k - 1:]) if len(words) >= k else np.zeros(0, np.int64)
-    owner, value = [doc[at]], [windows(hashes, k)[at] if len(at) else np.zeros(0, np.uint64)]
-    for size in range(1, k):
-        short = np.flatnonzero(n == size)
-        if len(short):
-            owner.append(short)
-            value.append(windows(hashes, size)[first[short]] ^ np.uint64(size))
-    owner, value = np.concatenate(owner), np.concatenate(value)
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-    return owner[new], value[new]
+CROWD = 32  # members of a group whose pairs are compared one by one
 
 
 def class_bounds(largest: int) -> np.ndarray:
@@ -213,7 +193,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     equal rows again, an empty table gives an empty result.  Equal sets are one node, so groups of
     copies cost one.  In a candidate group (equal fragment) every member is first
     compared with ``LEADERS`` chosen ones; only pairs that are then still in
-    different components are compared one by one, so large groups of near copies
+    different components are compared one by one, in groups of over ``CROWD`` members
+    those that ``between_components`` names.  Large groups of near copies
     do not make all their pairs, and no link is lost.  ``filter_bits`` sizes a
     filter of keys seen twice, which saves shuffling and decides nothing.
     """
@@ -241,11 +222,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     links = _verified(docs, saved(_possible(first, agreed, percent)), k, percent)
     label = components(links)
     grouped = saved(groups.join(label, "id", "left").select("key", "id", "n", "own", "class", "lonely", F.coalesce("component", "id").alias("component")))
-    open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = grouped.join(open_keys, "key")
+    open_keys = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    rest = grouped.join(open_keys.filter(F.col("size") <= CROWD).select("key"), "key")
     others = _ordered(rest.join(rest.selectExpr("key", "id as id2", "n as n2", "own as own2", "lonely as lonely2", "component as component2"), "key").filter("component < component2"), percent)
     others = saved(_possible(others.join(first, ["a", "b"], "left_anti"), agreed, percent))
-    more = saved(_verified(docs, others, k, percent))
+    crowds = saved(by_leader(grouped.join(open_keys.filter(F.col("size") > CROWD).select("key"), "key"), "key"))
+    more = _verified(docs, others, k, percent).select("a", "b")
+    if not crowds.isEmpty():
+        more = more.union(between_components(crowds, shingles_of(docs, crowds, k), percent))
+    more = saved(more)
     if not more.isEmpty():
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     named = label.select("id", "component")

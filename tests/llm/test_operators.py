@@ -116,6 +116,24 @@ def test_jaccard_near_copies_at_the_limit(spark):
     assert rows == brute.components(texts)
 
 
+def test_jaccard_crowd_just_under_the_limit(spark, monkeypatch):
+    """130 near copies just under the limit beside many that link."""
+    rng = np.random.default_rng(7)
+    base, texts = [f"b{i}" for i in range(120)], {}
+    for d in range(430):
+        words = list(base)
+        # an edit takes up to five shingles: up to two of them link to the base, five or six just fail
+        for p in rng.choice(np.arange(5, 115, 6), int(rng.integers(0, 3)) if d < 300 else int(rng.integers(3, 5)), replace=False):
+            words[p] = f"e{rng.integers(40) if d % 7 else rng.integers(1 << 40)}"
+        texts[d] = " ".join(words)
+    want = brute.components(texts)
+    assert 20 < len({c for _, c in want.values()}) < 300
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for crowd in (32, 2):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()} == want
+
+
 # ------------------------------------------------------------ language model
 
 def test_lattice(docs, texts, by_id):
