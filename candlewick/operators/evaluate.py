@@ -114,12 +114,23 @@ def period_returns(returns: DataFrame, unit: str, ret: str = "ret", date: str =
             .agg((F.product(1 + F.col(ret)) - 1).alias("ret"), F.count(F.lit(1)).alias("n")))
 
 
-def _event_drawdown(df: DataFrame) -> DataFrame:
+def _stretches_joined(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Stretches (growth _p, highest _m, lowest _l and worst fall _d, in logarithms from
+    their beginning) of a group joined in order to one: again a stretch."""
+    w = Window.partitionBy(*group).orderBy(order)
+    df = df.withColumn("_before", F.sum("_p").over(w) - F.col("_p"))
+    peak = F.max(F.col("_before") + F.col("_m")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_fall", F.least("_d", F.col("_before") + F.col("_l") - peak))
+    return df.groupBy(*group).agg(F.sum("_p").alias("_p"), F.max(F.col("_before") + F.col("_m")).alias("_m"),
+                                  F.min(F.col("_before") + F.col("_l")).alias("_l"), F.min("_fall").alias("_d"))
+
+
+def _event_drawdown(df: DataFrame, bins: int | None = None) -> DataFrame:
     """Largest drawdown per horizon of compounding the events by code, then date.
 
-    Each code's stretch is reduced to (product, highest, lowest, drawdown) in
-    logarithms; stretches are then joined in code order, so no task sees more
-    than one code's events or one row per code.
+    Each code's events are reduced to one stretch; stretches are joined inside
+    ranges of codes, and those of the ranges last.  No task sees more than one
+    code's events, one range of codes, or one row per range.
     """
     inside = (Window.partitionBy("horizon", "ts_code").orderBy("trade_date")
               .rowsBetween(Window.unboundedPreceding, 0))
@@ -127,11 +138,11 @@ def _event_drawdown(df: DataFrame) -> DataFrame:
     df = df.withColumn("_d", F.col("_c") - F.max("_c").over(inside))
     per_code = df.groupBy("horizon", "ts_code").agg(
         F.sum(F.log1p("ret")).alias("_p"), F.max("_c").alias("_m"), F.min("_c").alias("_l"), F.min("_d").alias("_d"))
-    codes = Window.partitionBy("horizon").orderBy("ts_code")
-    per_code = per_code.withColumn("_before", F.sum("_p").over(codes) - F.col("_p"))
-    peak = F.max(F.col("_before") + F.col("_m")).over(codes.rowsBetween(Window.unboundedPreceding, -1))
-    joined = per_code.withColumn("_j", F.least("_d", F.col("_before") + F.col("_l") - peak))
-    return joined.groupBy("horizon").agg((F.exp(F.min("_j")) - 1).alias("max_drawdown"))
+    n = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(per_code.repartitionByRange(n, "horizon", "ts_code").withColumn("_bin", F.spark_partition_id()))
+    ranges = _stretches_joined(placed, ["horizon", "_bin"], "ts_code")
+    whole = _stretches_joined(ranges, ["horizon"], "_bin")
+    return whole.select("horizon", (F.exp("_d") - 1).alias("max_drawdown"))
 
 
 def horizon_statistics(long: DataFrame, min_events: int = 5) -> DataFrame:

@@ -166,32 +166,41 @@ def from_vendor(df: DataFrame, f: VendorFormat) -> DataFrame:
 # -- merging ----------------------------------------------------------------------
 
 
+def _sortable(df: DataFrame, columns: list[str]) -> list[str]:
+    return [c for c, kind in df.dtypes if c in columns and "map<" not in kind and "variant" not in kind]
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], load_order: str | None = None,
-           columns: list[str] | None = None) -> DataFrame:
-    """Insert or replace by key; of several incoming rows the last loaded wins.
+           columns: list[str] | None = None, version: str | None = None) -> DataFrame:
+    """Insert or replace by key; of several incoming rows the last loaded wins, and
+    among equals the greatest by all columns, so that a rerun gives the same table.
 
     One aggregate over both sides: the newest version of a key is found on the map
     side first.  With ``columns`` only those are replaced, the rest of an existing
-    row stays.
+    row stays.  ``version`` is a column of both sides; a row never replaces one of a
+    later version.
     """
     fields = existing.columns
-    new = incoming if load_order is None else incoming.withColumn("_order", F.col(load_order).cast("double"))
-    new = new.withColumn("_order", F.lit(0.0)) if load_order is None else new
+    new = incoming.withColumn("_order", F.lit(0.0) if load_order is None else F.col(load_order).cast("double"))
     rows = (existing.select(*fields, F.lit(0).alias("_gen"), F.lit(0.0).alias("_order"))
             .unionByName(new.select(*[c for c in fields if c in incoming.columns], F.lit(1).alias("_gen"), "_order"), allowMissingColumns=True))
-    version = F.struct("_gen", "_order")
     others = [c for c in fields if c not in keys]
+    place = F.struct(*([version] if version else []), "_gen", "_order", *_sortable(existing, others))
     if columns is None:
-        picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), version).alias("v"))
+        picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), place).alias("v"))
         return picked.select(*keys, *[F.col(f"v.{c}").alias(c) for c in others]).select(*fields)
-    newest, oldest = F.max_by(F.struct(*others), version), F.min_by(F.struct(*others), version)
+    newest, oldest = F.max_by(F.struct(*others), place), F.min_by(F.struct(*others), place)
     both = rows.groupBy(*keys).agg(newest.alias("n"), oldest.alias("o"))
     return both.select(*keys, *[F.col(f"n.{c}" if c in columns else f"o.{c}").alias(c) for c in others]).select(*fields)
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key exists already are left out."""
-    fresh = incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """Rows whose key exists already are left out; of several incoming rows of a key
+    the least by all columns is taken."""
+    others = [c for c in existing.columns if c not in keys]
+    first = F.min_by(F.struct(*others), F.struct(*(_sortable(incoming, others) or [F.lit(0)])))
+    once = incoming.groupBy(*keys).agg(first.alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in others]) if others else incoming.select(*keys).distinct()
+    fresh = once.join(existing.select(*keys), keys, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -217,17 +226,18 @@ def write_slices(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], by: list[str],
-                 load_order: str | None = None) -> None:
+                 load_order: str | None = None, version: str | None = None, table: DataFrame | None = None) -> None:
     """Upsert into a partitioned Parquet table.
 
     Only partitions that receive rows are read and rewritten: the merged rows go to
     a staging folder beside the checkpoints first and from there over the old files,
-    so a failure before the swap leaves the table as it was.
+    so a failure before the swap leaves the table as it was.  ``table`` is the table
+    as read, where its schema cannot be told from its files.
     """
     stage = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(path) if table is None else table
     touched = table.join(small(incoming.select(*by).distinct()), by, "left_semi")
-    upsert(touched, incoming, keys, load_order).write.parquet(stage)
+    upsert(touched, incoming, keys, load_order, version=version).write.parquet(stage)
     write_slices(spark.read.parquet(stage), path, by)
 
 

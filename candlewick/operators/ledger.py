@@ -232,3 +232,15 @@ def equity_from_returns(returns: DataFrame, capital: float, ret: str = "ret", da
     peak = F.max("total_value").over(upto)
     return df.withColumns({"daily_pnl": F.col("total_value") - F.lag("total_value", 1, float(capital)).over(w),
                            "drawdown": F.col("total_value") / peak - 1})
+
+
+def position_analysis(positions: DataFrame, info: DataFrame, basics: DataFrame, date: str = "buy_date") -> DataFrame:
+    """The ledger with instrument data (industry, market) and the basics of the code
+    at the buy date, as ``buy_<column>``; what is not known is null.
+
+    ``info`` has a row per ts_code, ``basics`` one per (ts_code, trade_date); ``date`` is the
+    column of ``positions`` that is looked up."""
+    columns = [c for c in basics.columns if c not in ("ts_code", "trade_date")]
+    known = basics.select(F.col("ts_code").alias("code"), F.col("trade_date").alias(date), *[F.col(c).alias(f"buy_{c}") for c in columns])
+    named = info.select(F.col("ts_code").alias("code"), "industry", "market")
+    return positions.join(small(named), "code", "left").join(known, ["code", date], "left")

@@ -9,7 +9,7 @@ count inside its own.  A large group simply spans several partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.session import cut, small
 
@@ -84,3 +84,54 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     found = places.groupBy(*group).agg(*picks)
     return found.select(*group, *[
         (F.col(f"_lo_{n}") + F.col(f"_part_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in probs])
+
+
+def _in_ranges(df: DataFrame, group: list[str], order: list[Column | str], n: Column, bins: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows range-partitioned by (group, order) and written with the number of their
+    partition, ``_bin``; and per group and partition ``_n`` (its sum of ``n``), ``_lower``
+    (that of the group's earlier ones) and ``_all``."""
+    bins = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(bins, *group, *order).withColumn("_bin", F.spark_partition_id()))
+    # at most one row per partition and group in it
+    by_group = Window.partitionBy(*group)
+    totals = placed.groupBy(*group, "_bin").agg(F.sum(n).alias("_n"))
+    return placed, totals.withColumns({"_lower": F.sum("_n").over(by_group.orderBy("_bin")) - F.col("_n"), "_all": F.sum("_n").over(by_group)})
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list[Column | str], bins: int | None = None) -> DataFrame:
+    """Add ``place`` (1-based row number in the group) and ``n_all`` (its rows).
+
+    A large group spans several range partitions, so no task holds a whole one.
+    ``order`` should tell the rows of a group apart."""
+    placed, totals = _in_ranges(df, group, order, F.lit(1), bins)
+    inside = F.row_number().over(Window.partitionBy(*group, "_bin").orderBy(*order))
+    rows = placed.withColumn("_place", inside).join(small(totals), [*group, "_bin"])
+    return rows.select(*df.columns, (F.col("_lower") + F.col("_place")).alias("place"), F.col("_all").alias("n_all"))
+
+
+def grouped_quantiles(df: DataFrame, group: list[str], values: list[str], probs: list[float], bins: int | None = None) -> DataFrame:
+    """Per group and each of ``values``: ``<value>_q``, its linear-interpolation
+    quantiles at ``probs`` as an array, and ``<value>_n``, its rows that are not null
+    (both null where there are none).
+
+    Exact, for all values together and in two rounds: distinct values with counts
+    are range-partitioned and counted per partition, which tells the partition that
+    holds each rank wanted; only those partitions are then looked into.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("_v"), F.col(v).cast("double").alias("_x")) for i, v in enumerate(values)])
+    long = df.select(*group, F.explode(pairs).alias("_p")).select(*group, "_p._v", "_p._x").filter("_x IS NOT NULL")
+    key = [*group, "_v"]
+    counts = long.groupBy(*key, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    placed, totals = _in_ranges(counts, key, ["_x"], F.col("_c"), bins)
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_all") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(probs)]))
+    ranks = totals.select("*", at.alias("_r")).select("*", F.explode(F.array(
+        F.struct(F.lit(0).alias("_high"), F.floor("_r.at").alias("_k")), F.struct(F.lit(1).alias("_high"), F.ceil("_r.at").alias("_k")))).alias("_side"))
+    here = (F.col("_lower") <= F.col("_side._k")) & (F.col("_side._k") < F.col("_lower") + F.col("_n"))
+    wanted = ranks.filter(here).groupBy(*key, "_bin", "_lower", "_all").agg(F.collect_list(F.struct("_r.i", "_r.at", "_side._high", "_side._k")).alias("_ranks"))
+    inside = placed.join(small(wanted), [*key, "_bin"]).withColumn("_upto", F.col("_lower") + F.sum("_c").over(Window.partitionBy(*key, "_bin").orderBy("_x")))
+    hits = inside.select(*key, "_x", "_all", F.explode(F.filter("_ranks", lambda r: (r["_k"] < F.col("_upto")) & (r["_k"] >= F.col("_upto") - F.col("_c")))).alias("_hit"))
+    found = hits.groupBy(*key, "_all", "_hit.i", "_hit.at").agg(F.max(F.when(F.col("_hit._high") == 0, F.col("_x"))).alias("_lo"), F.max(F.when(F.col("_hit._high") == 1, F.col("_x"))).alias("_hi"))
+    quantile = F.col("_lo") + (F.col("at") - F.floor("at")) * (F.col("_hi") - F.col("_lo"))
+    found = found.groupBy(*key, "_all").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", quantile.alias("q")))), lambda r: r["q"]).alias("_q"))
+    return found.groupBy(*group).agg(*[e for i, v in enumerate(values) for e in (
+        F.max(F.when(F.col("_v") == i, F.col("_q"))).alias(f"{v}_q"), F.max(F.when(F.col("_v") == i, F.col("_all"))).alias(f"{v}_n"))])

@@ -118,14 +118,17 @@ def portfolio_limits(buys: DataFrame, capital: float = 1_000_000.0, max_position
     """Buys of each date in order of priority until a limit is reached.
 
     The prefix rule: a buy is kept while its place and the running amount stay
-    within the limits.  Only buys enter the window, a few per date.
+    within the limits.  No buy after the first ``max_positions`` of a date can be, so
+    only those get a place and a running amount; the constant limit lets every map
+    task keep its own best, and the window sees no more than that of a date.
     """
     order = Window.partitionBy("trade_date").orderBy(F.col("risk_priority").desc(), F.col("risk_composite_score").desc(), "ts_code")
-    df = buys.withColumns({
-        "place": F.row_number().over(order),
-        "opened": F.sum("risk_position_amt").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    first = buys.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_positions)
+    first = first.withColumn("opened", F.sum("risk_position_amt").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     already = F.col(held) if held else F.lit(0)
-    return df.withColumn("accepted", (F.col("place") + already <= max_positions) & (F.col("opened") <= capital * max_daily))
+    first = first.withColumn("accepted", (F.col("place") + already <= max_positions) & (F.col("opened") <= capital * max_daily))
+    out = buys.join(first.select("trade_date", "ts_code", "place", "opened", "accepted"), ["trade_date", "ts_code"], "left")
+    return out.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 SIGNAL_COLUMNS = ["score_b1", "score_b2", "score_blk", "score_blkb2", "score_scb", "score_dz30", "score_s1",

@@ -435,6 +435,26 @@ def signal_history(panel: DataFrame, name: str, min_rows: int = MIN_BARS) -> Dat
     return panel.select("ts_code", "trade_date", value.alias("signal"))
 
 
+def signal_series(panel: DataFrame, min_rows: dict[str, int] | None = None, blk_value: float = 7.0, dz30_value: float = 5.0,
+                  b2_threshold: float = 8.0, weights: tuple[float, float, float, float] = (0.5, 0.6, 0.2, 0.1)) -> DataFrame:
+    """All seven rules as signal series in one pass: ``signal_b1`` .. ``signal_scb``,
+    null before a series' ``min_rows`` bars (120, for s1 60), sells negative.
+
+    ``panel`` is a :func:`signal_panel`.  ``weights`` are those of the surge, the
+    breakout score, the double volume and the J turn in the combined series.
+    """
+    blk, b2, double, turn = weights
+    gate = (F.col("dif") >= 0) & (F.col("trend_fast") > F.col("trend_slow")) & (F.col("score_b2") >= b2_threshold)
+    combined = F.round(F.lit(7.0 * blk) + F.col("score_b2") * b2 + 10.0 * double + 10.0 * turn, 6)
+    values = {
+        "b1": F.col("score_b1"), "b2": F.col("score_b2"), "blk": points(F.col("surge"), blk_value),
+        "blkb2": F.when(gate & F.col("surge") & F.col("double_vol_bar") & F.col("j_turns_up"), combined).otherwise(0.0),
+        "dz30": points(F.col("signal_buy_dz30"), dz30_value), "s1": -F.col("score_s1"), "scb": F.col("score_scb")}
+    wanted = {name: 60 if name == "s1" else 120 for name in values} | (min_rows or {})
+    return panel.select("ts_code", "trade_date", *[
+        F.when(F.col(NUMBER) >= wanted[name], value.cast("double") + 0.0).alias(f"signal_{name}") for name, value in values.items()])
+
+
 def signal_events(panel: DataFrame) -> DataFrame:
     """The fired signals in long form: (date, code, abbreviation, type, score)."""
     kinds = [("B1", "buy", "signal_buy_b1", "score_b1"), ("B2", "buy", "signal_buy_b2", "score_b2"),

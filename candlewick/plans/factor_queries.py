@@ -1,7 +1,7 @@
 """Cross-sections, factor evaluation, event studies, splits and sweeps on the
 supplier panel."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from candlewick.functions.series import BARS as S, ratio
 from candlewick.operators import evaluate as E, factors as X, splits as J
@@ -80,10 +80,7 @@ def industry_neutral_selection(t):
   SELECT ts_code, trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY vol, ts_code) AS ordinal,
   rank() OVER (PARTITION BY trade_date ORDER BY vol) AS rnk, count(*) OVER (PARTITION BY trade_date, vol) AS ties FROM factors)"""))
 def cross_section_ranks(t):
-    x = Window.partitionBy("trade_date")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("trade_date", "vol"))
-    return t.bars_s().select(*KEYS, F.row_number().over(x.orderBy("vol", "ts_code")).cast("long").alias("ordinal"),
-                             (F.rank().over(x.orderBy("vol")) + (ties - 1) / 2).alias("average_rank"))
+    return X.place_and_rank(t.bars_s().select(*KEYS, "vol"), "vol").select(*KEYS, F.col("ordinal").cast("long").alias("ordinal"), "average_rank")
 
 
 @query("quantile_buckets", "E22", _sql("""SELECT ts_code, trade_date, CAST(1 + (amp > e[1])::INT + (amp > e[2])::INT + (amp > e[3])::INT + (amp > e[4])::INT AS INT) AS quantile
@@ -127,6 +124,12 @@ def ic_statistics(t):
     return rounded(X.ic_statistics(X.daily_ic(with_future(t), "mom4")), [], _STAT_COLUMNS)
 
 
+@query("ic_by_month", "D8", _sql("SELECT year(trade_date) AS year, " + ", ".join(f"{sq(f'avg(ic) FILTER (month(trade_date) = {m})')} AS m{m}" for m in range(1, 13)) + " FROM (SELECT trade_date, CASE WHEN NOT isnan(ic) THEN ic END AS ic FROM ic) GROUP BY 1", ic=_IC))
+def ic_by_month(t):
+    out = X.ic_by_month(X.daily_ic(with_future(t), "mom4"))
+    return out.select(F.col("year").cast("long").alias("year"), *[snap(str(m)).alias(f"m{m}") for m in range(1, 13)])
+
+
 _Q = dict(edges="SELECT trade_date, quantile_cont(amp, [0.2, 0.4, 0.6, 0.8]) AS e FROM fut WHERE amp IS NOT NULL AND future_return IS NOT NULL GROUP BY 1 HAVING count(*) >= 50",
           placed="""SELECT trade_date, future_return AS r, 1 + (amp > e[1])::INT + (amp > e[2])::INT + (amp > e[3])::INT + (amp > e[4])::INT AS q
           FROM fut JOIN edges USING (trade_date) WHERE amp IS NOT NULL AND future_return IS NOT NULL""",
@@ -165,11 +168,25 @@ def factor_correlation(t):
     return rounded(X.factor_correlation(factor_panel(t), FACTORS), ["factor_a", "factor_b"], ["corr"])
 
 
-@query("factor_report", "", _sql("SELECT factor, period, " + ", ".join(f"{sq(c)} AS {c}" for c in _STAT_COLUMNS) + f" FROM (SELECT factor, period, {_STATS} FROM ic GROUP BY ALL)",
+_REPORT = dict(
     grid=" UNION ALL ".join(f"SELECT '{f}' AS factor, CAST({p} AS INT) AS period, trade_date, {f} AS v, {lead('ret', p)} AS r FROM factors" for f in FACTORS for p in (1, 5)),
-    ic="SELECT factor, period, trade_date, CASE WHEN isnan(corr(v, r)) THEN NULL ELSE corr(v, r) END AS ic FROM grid WHERE v IS NOT NULL AND r IS NOT NULL GROUP BY ALL HAVING count(*) >= 10"))
+    ic="SELECT factor, period, trade_date, CASE WHEN isnan(corr(v, r)) THEN NULL ELSE corr(v, r) END AS ic FROM grid WHERE v IS NOT NULL AND r IS NOT NULL GROUP BY ALL HAVING count(*) >= 10",
+    st=f"SELECT factor, period, {_STATS} FROM ic GROUP BY ALL",
+    near="SELECT factor, trade_date, v, r FROM grid WHERE period = 1 AND v IS NOT NULL AND r IS NOT NULL",
+    sorted="SELECT factor, trade_date, list(v ORDER BY v) AS s, count(*) - 1 AS n FROM near GROUP BY 1, 2 HAVING count(*) >= 50",
+    # interpolated by hand: among equal values an edge is that value, whatever the weights
+    edges="SELECT factor, trade_date, list_transform([0.2::DOUBLE, 0.4, 0.6, 0.8], lambda p: s[floor(n * p)::INT + 1] + (n * p - floor(n * p)) * (s[ceil(n * p)::INT + 1] - s[floor(n * p)::INT + 1])) AS e FROM sorted",
+    placed="SELECT factor, trade_date, r, 1 + (v > e[1])::INT + (v > e[2])::INT + (v > e[3])::INT + (v > e[4])::INT AS q FROM near JOIN edges USING (factor, trade_date)",
+    wide="SELECT *, Q5 - Q1 AS long_short FROM (SELECT factor, trade_date, " + ", ".join(f"avg(r) FILTER (q = {i}) AS Q{i}" for i in range(1, 6)) + " FROM placed GROUP BY ALL)",
+    rows=" UNION ALL ".join(
+        [f"SELECT 'ic' AS part, factor, period, '{c}' AS name, {c} AS value FROM st" for c in _STAT_COLUMNS]
+        + [f"SELECT 'quantile', factor, CAST(1 AS INT), '{c}', avg({c}) FROM wide GROUP BY factor" for c in [*_QS, "long_short"]]
+        + [f"SELECT 'correlation', '{a}', CAST(NULL AS INT), '{b}', corr({a}, {b}) FROM factors" for a in FACTORS for b in FACTORS]))
+
+
+@query("factor_report", "I11", _sql(f"SELECT part, factor, period, name, {sq('value')} AS value FROM rows", **_REPORT))
 def factor_report(t):
-    return rounded(X.factor_report(factor_panel(t), FACTORS, [1, 5]), ["factor", "period"], _STAT_COLUMNS)
+    return rounded(X.factor_report(factor_panel(t), FACTORS, [1, 5]), ["part", "factor", "period", "name"], ["value"])
 
 
 _HELD = f"SELECT DISTINCT ts_code, trade_date FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY amp DESC, ts_code) AS n FROM factors) WHERE n <= 20"

@@ -9,6 +9,7 @@ from candlewick.plans.oracle_views import cents, signed_log as slog, snap as sq,
 from candlewick.plans.registry import query
 from candlewick.plans.shaping import rounded, signed_log, snap
 from candlewick.session import small
+from candlewick.sources.tables import week_start
 
 CAPITAL = 500_000.0
 _SOLD = dict(sold="SELECT *, datediff('day', buy_date, sell_date) AS days FROM positions WHERE status = 'sold'")
@@ -57,7 +58,6 @@ _BUCKETS = "(VALUES ('small'), ('mid'), ('large'), ('xlarge')) g(cap_group)"
   FROM (SELECT s.*, amount * 10000 AS mv FROM sold s JOIN bars_w b ON b.ts_code = s.ts_code AND b.trade_date = CAST(date_trunc('week', buy_date) AS DATE)) GROUP BY 1) USING (cap_group)""", **_SOLD))
 def performance_by_cap(t):
     """Capitalisation is the code's traded amount in the week of the purchase."""
-    from candlewick.sources.tables import week_start
     caps = t.bars_w().select("ts_code", F.col("trade_date").alias("week"), (F.col("amount") * 10000).alias("mv"))
     df = R.sold(t.positions()).withColumn("week", week_start(F.col("buy_date"))).join(small(caps), ["ts_code", "week"], "left")
     return _shape(R.by_cap_group(df, "mv"), ["cap_group"], False, False)
@@ -89,6 +89,15 @@ def holding_summary(t):
     return df.groupBy("strategy", "industry").agg(F.count(F.lit(1)).alias("n"), snap(F.sum("cost"), 1).alias("cost"))
 
 
+@query("position_analysis", "C4", with_views("positions stock_info daily_basic", f"""SELECT p.id, s.industry, s.market, {sq('d.total_mv', 2)} AS buy_total_mv, {sq('d.amount', 2)} AS buy_amount FROM positions p
+  LEFT JOIN stock_info s ON p.code = s.ts_code LEFT JOIN daily_basic d ON p.code = d.ts_code AND d.trade_date = CAST(date_trunc('week', p.buy_date) AS DATE)"""))
+def position_analysis(t):
+    """Bars are weekly here: the basics are those of the week of the buy."""
+    positions = t.positions().withColumn("buy_week", week_start(F.col("buy_date")))
+    out = L.position_analysis(positions, t.stock_info(), t.daily_basic(), "buy_week")
+    return out.select("id", "industry", "market", snap("buy_total_mv", 2).alias("buy_total_mv"), snap("buy_amount", 2).alias("buy_amount"))
+
+
 _LAST = dict(bp=_BUY, last="SELECT ts_code, max_by(close, trade_date) AS last_close FROM bars_w GROUP BY 1",
              val="SELECT p.*, coalesce(last_close, buy_price) AS price FROM bp p LEFT JOIN last USING (ts_code) WHERE status = 'holding'")
 
@@ -145,7 +154,6 @@ def price_as_of_day(t):
 
 
 def weeks(t):
-    from candlewick.sources.tables import week_start
     return t.lineitem.select(week_start(F.to_date("l_shipdate")).alias("date")).distinct()
 
 
@@ -193,7 +201,6 @@ _CURVE = dict(curve="""SELECT o_orderpriority AS strategy, CAST(date_trunc('week
 
 
 def curves(t):
-    from candlewick.sources.tables import week_start
     return t.orders.groupBy(F.col("o_orderpriority").alias("strategy"), week_start(F.to_date("o_orderdate")).alias("date")).agg(
         (F.sum("o_totalprice") + 100000).alias("total_value"))
 

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from candlewick.operators import indicators as I, rules
 from candlewick.plans import rule_sql
-from candlewick.plans.oracle_views import with_views
+from candlewick.plans.oracle_views import snap as sq, with_views
 from candlewick.plans.registry import query
-from candlewick.plans.shaping import KEYS
+from candlewick.plans.shaping import KEYS, rounded
 
 
 def _upto(last: str) -> dict:
@@ -87,6 +87,15 @@ def signal_history(t):
     return rules.signal_history(df, "s1", 80).withColumn("signal", F.col("signal") + 0.0)
 
 
+_SERIES = {"b1": "score_b1", "b2": "score_b2", "blk": "CASE WHEN surge THEN 7 ELSE 0 END", "blkb2": "CASE WHEN blkb2 THEN round(7 * 0.5 + score_b2 * 0.6 + 3, 6) ELSE 0 END",
+           "dz30": "CASE WHEN dz30 THEN 5 ELSE 0 END", "s1": "-score_s1", "scb": "score_scb"}
+
+
+@query("signal_series", "G20 M1", _sql(", ".join(f"CAST(CASE WHEN rn >= {60 if n == 's1' else 120} THEN {e} END AS DOUBLE) + 0.0 AS signal_{n}" for n, e in _SERIES.items())))
+def signal_series(t):
+    return rules.signal_series(panel(t))
+
+
 _EVENTS = " UNION ALL ".join(
     f"SELECT trade_date, ts_code, '{a}' AS signal_abbrev, '{k}' AS signal_type, CAST({s} AS DOUBLE) AS score FROM final WHERE {f}"
     for a, k, f, s in [("B1", "buy", "b1", "score_b1"), ("B2", "buy", "b2", "score_b2"), ("BLK", "buy", "blk", "7"),
@@ -111,3 +120,29 @@ def grouped_signal(t):
         return gap.apply(lambda x: float((x > 0) - (x < 0)))
 
     return grouped(t.bars_w().select(*KEYS, "close"), under_mean, {"n": 20})
+
+
+class FallInDeviations:
+    """How far the close is under its highest so far, in standard deviations of the
+    closes so far (Welford's recursion)."""
+
+    columns = ["close"]
+
+    def start(self):
+        return 0, 0.0, 0.0, float("-inf")
+
+    def step(self, state, bar):
+        n, mean, squares, top = state
+        (close,) = bar
+        n, gap = n + 1, close - mean
+        mean += gap / n
+        squares += gap * (close - mean)
+        top = max(top, close)
+        return (n, mean, squares, top), (top - close) / (squares / (n - 1)) ** 0.5 if squares > 0 else None
+
+
+@query("running_score", "M2", with_views("bars_s", f"SELECT ts_code, trade_date, CASE WHEN n >= 60 AND s > 0 THEN {sq('(top - close) / s', 3)} END AS signal FROM (SELECT ts_code, trade_date, close, count(*) OVER w AS n, max(close) OVER w AS top, stddev_samp(close) OVER w AS s FROM bars_s WINDOW w AS (PARTITION BY ts_code ORDER BY trade_date))"))
+def running_score(t):
+    from candlewick.operators.signals import running_score as score
+
+    return rounded(score(t.bars_s(), FallInDeviations()), KEYS, ["signal"], 3)

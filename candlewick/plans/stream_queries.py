@@ -8,12 +8,14 @@ from candlewick.functions import recursion as R
 from candlewick.operators.indicators import trend_slow
 from candlewick.operators.split import over_segments
 from candlewick.plans.oracle_views import NUMBERED, over, snap as sq, with_views
+from candlewick.plans.indicator_queries import _D3, _K3, _KDJ, _RSV
 from candlewick.plans.registry import query
-from candlewick.plans.rolling import loop
+from candlewick.plans.rolling import _bars_sql, loop
 from candlewick.plans.rule_queries import _upto
 from candlewick.plans.shaping import KEYS, rounded, snap
 from candlewick.session import cut, shared_dir
 from candlewick.streaming import bars as B, state as T
+from candlewick.streaming.tables import merge_into
 
 _BARS = ["open", "high", "low", "close", "vol"]
 
@@ -68,13 +70,18 @@ def _as_stream(t, df, schema):
 _LATE = "event_type = 'error' AND hour(ts) = 5 AND ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'"
 
 
+def _tick_landings(t):
+    """Ticks in three parts by time, but those of ``_LATE`` with the last."""
+    early, middle = "ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-11 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-21 00:00:00'"
+    return [t.events.filter(f"{early} AND NOT ({_LATE})"), t.events.filter(middle), t.events.filter(f"NOT ({early}) AND NOT ({middle}) OR ({_LATE})")]
+
+
 @query("appended_bars_stream", "L1 L5", with_views("bars_t", f"""SELECT event_type AS ts_code, date_trunc('hour', ts) AS bar_time, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS vol
   FROM events WHERE NOT ({_LATE.replace("TIMESTAMP_NTZ", "TIMESTAMP")}) GROUP BY 1, 2 HAVING bar_time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""))
 def appended_bars_stream(t):
     """Finished bars only, each written once.  Three micro-batches; ticks of the first
     days that come with the last file are over two hours late and dropped."""
-    early, middle = "ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-11 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-21 00:00:00'"
-    path = _landed(t, [t.events.filter(f"{early} AND NOT ({_LATE})"), t.events.filter(middle), t.events.filter(f"NOT ({early}) AND NOT ({middle}) OR ({_LATE})")])
+    path = _landed(t, _tick_landings(t))
     out = B.drain(B.bars(B.ticks(t.spark, path, "*.parquet", per_batch=1), late="2 hours"), "append")
     return t.spark.read.parquet(out).select("ts_code", "bar_time", *_BARS)
 
@@ -87,7 +94,7 @@ def line_break_stream(t):
     return t.spark.read.parquet(B.drain(out, "append")).drop("batch")
 
 
-@query("running_indicators_stream", "", with_views("bars_w", f"SELECT ts_code, trade_date, {sq('e12', 3)} AS ema12, {sq('e26', 3)} AS ema26, {sq('b2', 3)} AS trend_fast, {sq('obv', 3)} AS obv FROM loop_r JOIN (SELECT ts_code, trade_date, {over('sum(CASE WHEN rn = 1 THEN vol ELSE sign(chg) * vol END)', 10**6)} AS obv FROM (SELECT *, close - lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS chg FROM numbered)) USING (ts_code, trade_date)",
+@query("running_indicators_stream", "L4", with_views("bars_w", f"SELECT ts_code, trade_date, {sq('e12', 3)} AS ema12, {sq('e26', 3)} AS ema26, {sq('b2', 3)} AS trend_fast, {sq('obv', 3)} AS obv FROM loop_r JOIN (SELECT ts_code, trade_date, {over('sum(CASE WHEN rn = 1 THEN vol ELSE sign(chg) * vol END)', 10**6)} AS obv FROM (SELECT *, close - lag(close) OVER (PARTITION BY ts_code ORDER BY trade_date) AS chg FROM numbered)) USING (ts_code, trade_date)",
     numbered=NUMBERED, loop_r=loop({"e12": ("close", "b.close * (2.0/13) + r.e12 * (11.0/13)"), "e26": ("close", "b.close * (2.0/27) + r.e26 * (25.0/27)"),
                                     "a1": ("close", "b.close * (2.0/11) + r.a1 * (9.0/11)"), "b2": ("close", "(b.close * (2.0/11) + r.a1 * (9.0/11)) * (2.0/11) + r.b2 * (9.0/11)")})))
 def running_indicators_stream(t):
@@ -97,6 +104,33 @@ def running_indicators_stream(t):
     return rounded(rows, KEYS, ["ema12", "ema26", "trend_fast", "obv"], 3)
 
 
+@query("running_kdj_stream", "L4", _bars_sql(_KDJ, 3, **_RSV, loop_r=loop({"k": ("rsv", _K3), "d": ("rsv", _D3)})))
+def running_kdj_stream(t):
+    """K, D and J of every bar; three micro-batches, whose windows of nine bars reach into the one before."""
+    T.use_rocksdb(t.spark)
+    bars = t.bars_w().select(*KEYS, "high", "low", "close")
+    out = T.running_kdj(_as_stream(t, bars, "ts_code string, trade_date date, high double, low double, close double"))
+    return rounded(t.spark.read.parquet(B.drain(out, "append")), KEYS, ["k", "d", "j"], 3)
+
+
+@query("bars_merged_stream", "L2", with_views("bars_t", "SELECT ts_code, bar_time, open, high, low, close, vol FROM bars_t"))
+def bars_merged_stream(t):
+    """Hourly bars merged into a table by day as they change.  Three micro-batches, the
+    last of which brings late ticks of the first days; each is delivered twice."""
+    path = _landed(t, _tick_landings(t))
+    table = f"{shared_dir(t.spark)}/merged-{uuid.uuid4().hex}"
+    merge = merge_into(table, ["ts_code", "bar_time"], ["day"])
+
+    def twice(batch, number):
+        rows = cut(batch)
+        merge(rows, number)
+        merge(rows, number)
+
+    bars = B.bars(B.ticks(t.spark, path, "*.parquet", per_batch=1), late="40 days").withColumn("day", F.to_date("bar_time"))
+    B.drain(bars, "update", table, twice)
+    return t.spark.read.parquet(table).select("ts_code", "bar_time", *_BARS)
+
+
 @query("tick_smoothing", "E8", f"""SELECT event_id, rn AS tick_no, {sq('list_sum(list_transform(f, lambda z: z.x * CASE WHEN z.n = 1 THEN 1 ELSE 2.0/13 END * pow(11.0/13, rn - z.n)))')} AS ema12, {sq('m', 4)} AS mean50 FROM (
   SELECT event_id, rn, list({{'x': value, 'n': rn}}) OVER (w ROWS 399 PRECEDING) AS f, avg(value) OVER (w ROWS 49 PRECEDING) AS m FROM (
    SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))""")
