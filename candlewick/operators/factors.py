@@ -52,7 +52,7 @@ def per_date(df: DataFrame, stats: DataFrame) -> DataFrame:
 def winsorize_mad(df: DataFrame, factors: list[str], n: float = 3.0) -> DataFrame:
     """Clip each factor to median +- n * 1.4826 * MAD of its date.
 
-    Medians and deviations of all factors together, by range partitions
+    Medians and deviations of all factors together, by ranges of values
     (:func:`candlewick.operators.ranks.grouped_quantiles`): no task holds a date."""
     df = cut(df)
     middle = grouped_quantiles(df, [DATE], factors, [0.5])

@@ -9,6 +9,8 @@ count inside its own.  A large group simply spans several partitions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.session import cut, small
@@ -109,26 +111,38 @@ def row_numbers(df: DataFrame, group: list[str], order: list[Column | str], bins
     return rows.select(*df.columns, (F.col("_lower") + F.col("_place")).alias("place"), F.col("_all").alias("n_all"))
 
 
-def grouped_quantiles(df: DataFrame, group: list[str], values: list[str], probs: list[float], bins: int | None = None) -> DataFrame:
+def _coarse(x: Column) -> Column:
+    """A whole number that never falls as x rises: sign and logarithm, 256 steps a power of two."""
+    steps = F.floor(F.log(F.abs(x)) * (256 / math.log(2))).cast("double")
+    place = F.least(F.greatest(steps, F.lit(-290_000.0)), F.lit(290_000.0)) + 300_000
+    return F.when(F.isnan(x), F.lit(700_000.0)).when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * place).cast("int")
+
+
+def grouped_quantiles(df: DataFrame, group: list[str], values: list[str], probs: list[float]) -> DataFrame:
     """Per group and each of ``values``: ``<value>_q``, its linear-interpolation
     quantiles at ``probs`` as an array, and ``<value>_n``, its rows that are not null
     (both null where there are none).
 
-    Exact, for all values together and in two rounds: distinct values with counts
-    are range-partitioned and counted per partition, which tells the partition that
-    holds each rank wanted; only those partitions are then looked into.
+    Exact, for all values together and in two rounds: values are counted per narrow
+    range, on the map side first, which tells the ranges that hold the ranks wanted;
+    only the distinct values of those are then put in order.  A task sees the ranges
+    of a group, or the distinct values of one range, never a group.  ``df`` is read twice.
     """
     pairs = F.array(*[F.struct(F.lit(i).alias("_v"), F.col(v).cast("double").alias("_x")) for i, v in enumerate(values)])
-    long = df.select(*group, F.explode(pairs).alias("_p")).select(*group, "_p._v", "_p._x").filter("_x IS NOT NULL")
+    long = df.select(*group, F.explode(pairs).alias("_p")).select(*group, "_p._v", "_p._x").filter("_x IS NOT NULL").withColumn("_bin", _coarse(F.col("_x")))
     key = [*group, "_v"]
-    counts = long.groupBy(*key, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    placed, totals = _in_ranges(counts, key, ["_x"], F.col("_c"), bins)
+    by_key = Window.partitionBy(*key)
+    totals = long.groupBy(*key, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    totals = totals.withColumns({"_lower": F.sum("_n").over(by_key.orderBy("_bin")) - F.col("_n"), "_all": F.sum("_n").over(by_key)})
     at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_all") - 1) * F.lit(float(p))).alias("at")) for i, p in enumerate(probs)]))
     ranks = totals.select("*", at.alias("_r")).select("*", F.explode(F.array(
         F.struct(F.lit(0).alias("_high"), F.floor("_r.at").alias("_k")), F.struct(F.lit(1).alias("_high"), F.ceil("_r.at").alias("_k")))).alias("_side"))
     here = (F.col("_lower") <= F.col("_side._k")) & (F.col("_side._k") < F.col("_lower") + F.col("_n"))
     wanted = ranks.filter(here).groupBy(*key, "_bin", "_lower", "_all").agg(F.collect_list(F.struct("_r.i", "_r.at", "_side._high", "_side._k")).alias("_ranks"))
-    inside = placed.join(small(wanted), [*key, "_bin"]).withColumn("_upto", F.col("_lower") + F.sum("_c").over(Window.partitionBy(*key, "_bin").orderBy("_x")))
+    # a few rows per group and value, written down so that their true size decides on the join
+    wanted = small(cut(wanted))
+    inside = long.join(wanted.select(*key, "_bin"), [*key, "_bin"]).groupBy(*key, "_bin", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    inside = inside.join(wanted, [*key, "_bin"]).withColumn("_upto", F.col("_lower") + F.sum("_c").over(Window.partitionBy(*key, "_bin").orderBy("_x")))
     hits = inside.select(*key, "_x", "_all", F.explode(F.filter("_ranks", lambda r: (r["_k"] < F.col("_upto")) & (r["_k"] >= F.col("_upto") - F.col("_c")))).alias("_hit"))
     found = hits.groupBy(*key, "_all", "_hit.i", "_hit.at").agg(F.max(F.when(F.col("_hit._high") == 0, F.col("_x"))).alias("_lo"), F.max(F.when(F.col("_hit._high") == 1, F.col("_x"))).alias("_hi"))
     quantile = F.col("_lo") + (F.col("at") - F.floor("at")) * (F.col("_hi") - F.col("_lo"))
