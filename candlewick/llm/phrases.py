@@ -21,33 +21,51 @@ from candlewick.llm.textkit import Words, lower, mix, signed, slices, windows
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".,;:!?\n\x0b\x0c\r")] = True
-FLUSH = 4 << 20  # occurrences that a task gathers before it sends summaries
+FLUSH = 2 << 20  # occurrences that a task gathers before it sends summaries
+SLICE = 1 << 20  # bytes of text that are worked on at once
+HELD = 1 << 20  # different sequences that a task holds before it sends their counts
+SLACK = 8  # counters of a summary as a multiple of mass / threshold
 
 
 class _Grams:
     """Word sequences of up to ``longest`` words that no stop character parts."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, tags: np.ndarray, longest: int):
+    def __init__(self, data: np.ndarray, off: np.ndarray, longest: int):
         self.data = lower(data)
         stop = _STOP[self.data]
         self.words = words = Words(np.where(stop, np.uint8(32), self.data), off)
         piece = np.cumsum(stop)[words.start] if len(words) else np.zeros(0, np.int64)
-        hashes, n = words.hashes(), len(words)
-        self.at, self.size, keys = [], [], []
-        for k in range(1, longest + 1):
-            if n < k:
-                break
-            at = np.flatnonzero((words.doc[:n - k + 1] == words.doc[k - 1:]) & (piece[:n - k + 1] == piece[k - 1:]))
-            self.at.append(at)
-            self.size.append(np.full(len(at), k))
-            keys.append(mix(windows(hashes, k)[at] ^ tags[words.doc[at]] ^ np.uint64(k)))
-        none = np.zeros(0, np.int64)
-        self.at, self.size = np.concatenate([none, *self.at]), np.concatenate([none, *self.size])
-        self.key = np.concatenate([none.astype(np.uint64), *keys])
-
-    def phrase(self, i: int) -> bytes:
-        w, raw = self.words, self.data
-        return b" ".join(raw[w.start[j]:w.end[j]].tobytes() for j in range(self.at[i], self.at[i] + self.size[i]))
+        n = len(words)
+        parts = [np.flatnonzero((words.doc[:n - k + 1] == words.doc[k - 1:]) & (piece[:n - k + 1] == piece[k - 1:])) for k in range(1, min(n, longest) + 1)]
+        self.at = np.concatenate([np.zeros(0, np.int64), *parts])
+        self.size = np.repeat(np.arange(1, len(parts) + 1, dtype=np.int8), [len(x) for x in parts])
+
+    def keys(self, tags: np.ndarray) -> np.ndarray:
+        """A hash of each sequence and of its text's tag."""
+        hashes, out, done = self.words.hashes(), np.empty(len(self.at), np.uint64), 0
+        for k in range(1, int(self.size.max(initial=0)) + 1):
+            at = self.at[done:done + int((self.size == k).sum())]
+            out[done:done + len(at)] = mix(windows(hashes, k)[at] ^ tags[self.words.doc[at]] ^ np.uint64(k))
+            done += len(at)
+        return out
+
+    def phrases(self, which: np.ndarray) -> pa.Array:
+        """The words of some sequences, joined by one space, as a binary column."""
+        w = self.words
+        lengths = w.end - w.start
+        start = np.cumsum(lengths + 1) - lengths - 1  # of each word where all stand one space apart
+        joined = np.full(int(lengths.sum()) + len(lengths), 32, np.uint8)
+        joined[_spans(start, lengths)] = self.data[_spans(w.start, lengths)]
+        at, last = self.at[which], self.at[which] + self.size[which] - 1
+        long = start[last] + lengths[last] - start[at]
+        bounds = np.concatenate([[0], np.cumsum(long)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(bounds), pa.py_buffer(joined[_spans(start[at], long)])])
+
+
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of several stretches, one after another."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
 
 
 def _tags(langs: list[str]) -> np.ndarray:
@@ -61,8 +79,8 @@ def _masses(longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
-            for lo, hi, data, off in slices(batch.column(0)):
-                grams = _Grams(data, off, np.zeros(hi - lo, np.uint64), longest)
+            for lo, hi, data, off in slices(batch.column(0), SLICE):
+                grams = _Grams(data, off, longest)
                 words = grams.words.counts()
                 total = np.bincount(grams.words.doc[grams.at], minlength=hi - lo)
                 names, which = np.unique(langs[lo:hi].astype(str), return_inverse=True)
@@ -99,8 +117,8 @@ def _partials(longest: int, parts: int):
         held, size = [], 0
         for batch in batches:
             tags = _tags(batch.column(1).to_pylist())
-            for lo, hi, data, off in slices(batch.column(0)):
-                key = _Grams(data, off, tags[lo:hi], longest).key
+            for lo, hi, data, off in slices(batch.column(0), SLICE):
+                key = _Grams(data, off, longest).keys(tags[lo:hi])
                 if len(key):
                     held.append(key)
                     size += len(key)
@@ -115,7 +133,7 @@ def _partials(longest: int, parts: int):
 def _survivors(threshold: int):
     """Keys of one hash partition that may reach the threshold."""
     def run(table: pa.Table) -> pa.Table:
-        capacity = sum(table.column("mass").to_pylist()) // threshold + 1
+        capacity = SLACK * sum(table.column("mass").to_pylist()) // threshold + 1
         table = table.combine_chunks()
         lists, counts = table.column("keys").combine_chunks(), table.column("counts").combine_chunks()
         all_keys, all_counts = lists.flatten().to_numpy(), counts.flatten().to_numpy()
@@ -133,8 +151,8 @@ def _counted(longest: int, words: np.ndarray):
     def rows(held: dict) -> pa.RecordBatch:
         key, which = np.unique(np.concatenate(held["key"]), return_inverse=True)
         total = np.bincount(which, np.concatenate(held["count"]), len(key)).astype(np.int64)
-        order = np.argsort(np.array(held["named"], np.uint64), kind="stable")
-        return pa.record_batch([pa.array([held[c][i] for i in order], kind) for c, kind in (("lang", pa.string()), ("phrase", pa.binary()), ("size", pa.int32()))] + [pa.array(total)],
+        place = np.searchsorted(key, np.concatenate(held["named"]))
+        return pa.record_batch([pa.concat_arrays(held["lang"]), pa.concat_arrays(held["phrase"]), pa.array(np.concatenate(held["size"]).astype(np.int32)), pa.array(total[place])],
                                names=["lang", "phrase", "size", "f"])
 
     def fresh() -> dict:
@@ -143,24 +161,25 @@ def _counted(longest: int, words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = fresh()
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            tags = _tags(langs)
-            for lo, hi, data, off in slices(batch.column(0)):
-                grams = _Grams(data, off, tags[lo:hi], longest)
-                use = np.flatnonzero(found(words, grams.key))
+            langs = batch.column(1)
+            tags = _tags(langs.to_pylist())
+            for lo, hi, data, off in slices(batch.column(0), SLICE):
+                grams = _Grams(data, off, longest)
+                key = grams.keys(tags[lo:hi])
+                use = np.flatnonzero(found(words, key))
                 if not len(use):
                     continue
-                key, first, count = np.unique(grams.key[use], return_index=True, return_counts=True)
+                key, first, count = np.unique(key[use], return_index=True, return_counts=True)
                 held["key"].append(key)
                 held["count"].append(count)
-                new = np.flatnonzero(~np.isin(key, held["seen"], assume_unique=True))
-                for i in use[first[new]]:
-                    held["lang"].append(langs[lo + grams.words.doc[grams.at[i]]])
-                    held["phrase"].append(grams.phrase(i))
-                    held["size"].append(int(grams.size[i]))
-                held["named"] += key[new].tolist()
+                new = ~np.isin(key, held["seen"], assume_unique=True)
+                which = use[first[new]]
+                held["lang"].append(langs.take(pa.array(lo + grams.words.doc[grams.at[which]])))
+                held["phrase"].append(grams.phrases(which))
+                held["size"].append(grams.size[which])
+                held["named"].append(key[new])
                 held["seen"] = np.union1d(held["seen"], key[new])
-                if len(held["seen"]) >= FLUSH // 4:
+                if len(held["seen"]) >= HELD:
                     yield rows(held)
                     held = fresh()
         if held["key"]:
@@ -173,8 +192,8 @@ def frequent_sequences(docs: DataFrame, longest: int = 3, threshold: int = 10, p
     ``longest`` words that occur ``threshold`` times or more in a language.
 
     The number of hash partitions grows with the corpus, so that each has a mass of
-    about ``part_mass`` and its summary some ``part_mass / threshold`` counters,
-    whatever the corpus.  A hot sequence is one counter per task.  ``filter_bits``
+    about ``part_mass`` and its summary ``SLACK * part_mass / threshold`` counters at
+    most, whatever the corpus; the slack leaves few sequences that only may be frequent.  A hot sequence is one counter per task.  ``filter_bits``
     sizes the filter by which the second pass leaves out what did not survive; it
     saves shuffling and decides nothing.
     """
