@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)\Z""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+from candlewick.llm.store import saved
+
+# a quote opens a value only after "="
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*"|'[^']*')|[^>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)\Z""", re.S)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -30,6 +33,12 @@ _ASIDE = set("ad ads adv advert adverts advertisement advertising banner breadcr
              "masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related respond share sharing "
              "sidebar skip social sponsor sponsored subscribe toolbar widget banners complementary contentinfo search signup login".split())
 _MAIN = set("article body content entry main post story text".split())
+# of those, what readers wrote
+_READERS = set("comment comments disqus respond".split())
+# first and last words of names that tell a state or the lack of a thing, not the thing
+_STATE_FIRST = set("has have no not with without is are hide show".split())
+_STATE_LAST = set("open opened closed enabled disabled allowed".split())
+_ASIDE_WEIGHT = 0.2
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
@@ -40,6 +49,8 @@ class Container:
     weight: float
     good: float = 0.0   # characters of running text below it
     links: float = 0.0  # of those, in links
+    own_aside: bool = False  # its classes name what is not the article
+    aside: bool = False      # or those of a container around it
 
 
 @dataclass
@@ -53,9 +64,34 @@ def _general(tag: str, words: list[str]) -> str:
     return tag + "".join("." + w for w in sorted(set(words)))
 
 
+def _named(tag: str, values: list[str]) -> tuple[bool, bool]:
+    """Whether an element's class, id and role name an aside, and whether reader comments.
+
+    Each name counts by itself: ``no-sidebar`` and ``comments-open`` tell states and
+    count for nothing, a name that is one word of the article's (``post``) outweighs
+    asides, but not comments.
+    """
+    asides = readers = False
+    article = tag in ("article", "main", "html", "body")
+    for name in " ".join(values).lower().split():
+        words = [w for w in _SPLIT.split(name) if w]
+        if not words or len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST):
+            continue
+        article |= len(words) == 1 and words[0] in _MAIN
+        asides |= not _ASIDE.isdisjoint(words)
+        readers |= not _READERS.isdisjoint(words)
+    readers &= tag not in ("html", "body", "main")
+    return asides and not article, readers
+
+
 def read(text: str) -> Page:
-    """Containers and text blocks of a page.  Menus, adverts and the like are left out whole;
-    an article's own header and footer are not."""
+    """Containers and text blocks of a page.
+
+    Elements that are menus, forms and the like by their tag are left out whole (an
+    article's own header and footer are not), as are reader comments and small elements
+    whose classes name an aside.  Containers so named stay, marked: their text is not part
+    of what is around them.
+    """
     page = Page()
     stack: list[tuple[str, int, bool]] = []  # (tag, container, skipped)
     here, skipped, links = 0, 0, 0
@@ -73,7 +109,7 @@ def read(text: str) -> Page:
                 while at >= 0:
                     page.containers[at].good += len(block) - inside
                     page.containers[at].links += inside
-                    at = page.containers[at].parent
+                    at = -1 if page.containers[at].own_aside else page.containers[at].parent
         linked = 0
 
     def pop() -> str:
@@ -126,26 +162,31 @@ def read(text: str) -> Page:
                     break
         elif block and stack and stack[-1][0] == "p":
             pop()
-        words: list[str] = []
-        if attributes:
-            words = [w for _, a, b, c in _NAMES.findall(attributes) for w in _SPLIT.split((a or b or c).lower()) if w]
+        values = [a or b or c for _, a, b, c in _NAMES.findall(attributes)] if attributes else []
+        words = [w for w in _SPLIT.split(" ".join(values).lower()) if w]
+        aside, readers = _named(tag, values) if words else (False, False)
         own = tag in ("header", "footer") and any(t in ("article", "main") for t, _, _ in stack)
-        skip = (tag in _SKIP and not own) or (tag not in ("html", "body", "article", "main") and not _ASIDE.isdisjoint(words))
+        skip = (tag in _SKIP and not own) or readers or (aside and not own and tag not in _CONTAINER)
         stack.append((tag, here, skip))
         skipped += skip
         links += tag == "a"
         if tag in _CONTAINER and not skipped:
             weight = {"article": 1.6, "main": 1.5, "html": 0.8, "body": 0.9}.get(tag, 1.3 if not _MAIN.isdisjoint(words) else 1.0)
-            page.containers.append(Container(page.containers[here].path + "/" + _general(tag, words), here, weight))
+            around = page.containers[here]
+            within = aside or around.aside
+            page.containers.append(Container(around.path + "/" + _general(tag, words), here, weight * (_ASIDE_WEIGHT if within else 1.0), own_aside=aside, aside=within))
             here = len(page.containers) - 1
     flush()
     return page
 
 
-def best(page: Page) -> int | None:
-    """The container with most running text, weighed by what its tag says; the inner of equals."""
+def best(page: Page, asides: bool = False) -> int | None:
+    """The container with most running text, weighed by what its tag says; the inner of equals.
+    Those in asides only if ``asides``."""
     top, score = None, 0.0
     for i, c in enumerate(page.containers):
+        if c.aside and not asides:
+            continue
         worth = c.weight * (c.good - c.links)
         if worth > 0 and worth >= score:
             top, score = i, worth
@@ -155,7 +196,7 @@ def best(page: Page) -> int | None:
 def text_below(page: Page, chosen: set[int]) -> str:
     inside = [False] * len(page.containers)
     for i, c in enumerate(page.containers):
-        inside[i] = i in chosen or (c.parent >= 0 and inside[c.parent])
+        inside[i] = i in chosen or (c.parent >= 0 and not c.own_aside and inside[c.parent])
     return "\n".join(text for c, text in page.blocks if inside[c])
 
 
@@ -172,14 +213,15 @@ def extract(html: str, paths: list[str]) -> str:
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths = [], []
+        hosts, paths, asides = [], [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
             page = read(html.as_py() or "")
-            top = best(page)
+            top = best(page, True)
             if top is not None:
                 hosts.append(host)
                 paths.append(page.containers[top].path)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])
+                asides.append(page.containers[top].aside)
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(asides, pa.bool_())], names=["host", "path", "aside"])
 
 
 def _read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,22 +230,34 @@ def _read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
+def main_text(pages: DataFrame, least_share: float = 0.1, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of every page.
 
     A host's winning paths are those with ``least_share`` of its votes or more, most
-    votes first (ties: by name); at most ``1 / least_share`` per host.  A page with
+    votes first (ties: by name); at most ``1 / least_share`` per host.  A path in what
+    classes name an aside needs three votes and over half of the host's.  A page with
     none of them is read below its own best container, one without text is empty.
     Needs ``page_id``, ``url`` and ``html``; a null html is empty, a null url is the
     host "", other columns are ignored, repeated rows vote and are returned as rows,
     an empty table gives an empty result.  Votes are combined before the shuffle,
-    so a host with a third of all pages is a few rows per task.
+    so a host with a third of all pages is a few rows per task.  Winning paths are
+    written down and counted: below ``broadcast_bytes`` they are sent to the pages,
+    which then stay where they are read; beyond, both sides are dealt by host and one of
+    ``salts`` numbers, so that no task holds a whole host.
     """
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)", 1)
     pages = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("host"))
-    votes = pages.select("host", "html").mapInArrow(_vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    votes = (pages.select("host", "html").mapInArrow(_vote, "host string, path string, aside boolean")
+             .groupBy("host", "path", "aside").agg(F.count("*").alias("votes")))
     all_votes = votes.groupBy("host").agg(F.sum("votes").alias("total"))
-    winners = (votes.join(all_votes, "host").filter(F.col("votes") >= F.col("total") * F.lit(least_share))
-               .groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), lambda x: x["path"]).alias("paths")))
+    enough = F.when(F.col("aside"), (F.col("votes") >= 3) & (2 * F.col("votes") > F.col("total"))).otherwise(F.col("votes") >= F.col("total") * F.lit(least_share))
+    winners = saved(votes.join(all_votes, "host").filter(enough)
+                    .groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), lambda x: x["path"]).alias("paths")))
+    size = winners.agg(F.sum(64 + F.length("host") + F.aggregate("paths", F.lit(0), lambda n, p: n + 32 + F.length(p)))).first()[0] or 0
+    if size <= broadcast_bytes:
+        met = pages.join(F.broadcast(winners), "host", "left")
+    else:
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
-    return pages.join(winners, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(_read_again, schema)
+    return met.select("page_id", "url", "html", "paths").mapInArrow(_read_again, schema)

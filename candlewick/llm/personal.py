@@ -44,7 +44,9 @@ def luhn(digits: str) -> bool:
 
 
 def _valid_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    # a part may begin with any number of zeros
+    told = [p.lstrip("0") or "0" for p in s.split(".")]
+    return all(len(p) <= 3 and int(p) <= 255 for p in told)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

@@ -179,17 +179,30 @@ def test_field_generalises():
     emit = field.emissions(personal.word_features(words))
     got, want = personal.viterbi(field, emit, words.first), np.array([y for _, ys in rows for y in ys])
     assert (got == want).mean() > 0.98 and (got == want)[want > 0].mean() > 0.9
-    # every path by brute force on short texts
-    for i in range(0, 40, 8):
-        a, b = words.first[i], min(words.first[i + 1], words.first[i] + 5)
-        best, row = None, emit[a:b]
-        for path in np.ndindex(*[personal.STATES] * len(row)):
-            score = sum(row[j, s] for j, s in enumerate(path)) + field.move[0, path[0]] + field.move[path[-1], 0] + sum(field.move[x, y] for x, y in zip(path, path[1:]))
-            best = max(best, (score, path)) if best else (score, path)
-            if len(row) == 5 and path[0] > 2:
-                break
-        if len(row) < 5:
-            assert tuple(personal.viterbi(field, row, np.array([0, len(row)]))) == best[1]
+
+
+def test_best_path_against_all_paths():
+    field = personal.train(personal.examples())
+    joined = [" ".join(w).encode() for w, _ in personal.examples(200, seed=99)]
+    words = personal.Words(np.frombuffer(b"".join(joined), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in joined])]))
+    emit = field.emissions(personal.word_features(words))
+    seen = 0
+    for i in range(0, 40, 4):
+        for n in (1, 2, 3, 4):
+            row = emit[words.first[i] + 2:words.first[i] + 2 + n] if words.first[i + 1] - words.first[i] >= n + 2 else emit[words.first[i]:words.first[i + 1]][:n]
+            n = len(row)
+            paths = np.array(list(np.ndindex(*[personal.STATES] * n)))
+            score = sum(row[j, paths[:, j]] for j in range(n)) + field.move[0, paths[:, 0]] + field.move[paths[:, -1], 0]
+            score = score + sum(field.move[paths[:, j], paths[:, j + 1]] for j in range(n - 1))
+            got = personal.viterbi(field, row, np.array([0, n]))
+            assert tuple(got) == tuple(paths[np.argmax(score)])
+            seen += 1
+    assert seen == 40
+
+
+def test_numbers_with_very_many_zeros():
+    long = "a " + "0" * 5000 + "1.1.1.1 b " + "9" * 5000 + ".1.1.1"
+    assert personal.base_spans(long) == [(1, 2, 5009)]
 
 
 # ------------------------------------------------------------ toxicity
@@ -337,6 +350,30 @@ def test_all_classes_are_in_the_path():
     assert len({c.path for c in pages.read(page).containers if "div" in c.path}) == 2
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article class='post'><p>The article.</p></article><article class='comment'><p>Reader says a very long thing about it all.</p></article>", "The article."),
+    ("<div class='content has-sidebar'><p>The article itself.</p></div><div class='box'><p>Box.</p></div>", "The article itself."),
+    ("<div id='main' class='no-sidebar post'><p>The article.</p></div>", "The article."),
+    ("<div class='post comments-open'><p>The article.</p><ul class='comments'><li>Reader</li></ul><div class='comment-list'><p>Reader</p></div></div>", "The article."),
+    ("<div><p it's>The article</p><p>isn't over.</p></div>", "The article\nisn't over."),
+    ("<div><p title=\"a > b\" class = 'x'>One</p><p data-role='menu'>two</p></div>", "One\ntwo"),
+    ("<article><p>Text.</p><div class='ad-box'><div class='inner'><p>Buy now, buy now, buy now, buy now.</p></div></div><p>More.</p></article>", "Text.\nMore."),
+    ("<div class='ad'><p>Buy now.</p></div>", ""),
+    ("<body class='sidebar-left'><div><p>The text.</p></div></body>", "The text.")])
+def test_class_words(page, want):
+    assert pages.extract(page, []) == want
+
+
+def test_an_aside_of_most_pages_is_their_article(spark):
+    """What classes call an aside, but holds the running text of a host's pages, wins the host's vote."""
+    page = "<body><div class='widget'><p>{}</p></div><div><p>by me</p></div></body>"
+    rows = [(i, "http://h.example/", page.format("running text here " * 9)) for i in range(4)] + [(9, "http://k.example/", page.format("promo " * 90))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for broadcast_bytes in (1 << 20, 0):
+        out = {r["page_id"]: r["text"] for r in pages.main_text(df, broadcast_bytes=broadcast_bytes, salts=3).collect()}
+        assert out[0] == ("running text here " * 9).strip() and out[9] == "by me" and len(out) == 5
+
+
 def test_paths_of_the_host_decide(spark):
     """A page whose own best container is another is read along its host's path."""
     page = "<body><div class='story12'><p>{}</p></div><div class='box'><p>{}</p></div></body>"
