@@ -1,6 +1,7 @@
 """Operators against brute force, over a small table with edge cases."""
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -271,6 +272,56 @@ def test_all_passages_fit_the_space(spark, monkeypatch):
     assert [n for _, n in seen] == [2500, 2500] and all(np.isfinite(x).all() and x.any() for x, _ in seen)
 
 
+def _exact(docs, items, least=0.85):
+    """(document, item) where the whole item is a subsequence to so large a share of some stretch twice its length."""
+    out = set()
+    for d, text in docs.items():
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+        for i, item in items.items():
+            told = re.findall(r"[a-z0-9\x80-\U0010ffff]+", item.lower())
+            numbers = {w: n for n, w in enumerate(dict.fromkeys(told))}
+            seen = [numbers.get(w, -1) for w in words]
+            if sum(x >= 0 for x in seen) < least * len(told):
+                continue
+            step, size = max(1, len(told) // 2), 2 * len(told)
+            if any(latent.common_subsequence([numbers[w] for w in told], seen[at:at + size]) >= least * len(told) for at in range(0, max(1, len(seen)), step)):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_space_of_a_sample_finds_what_an_exact_search_does(spark, n):
+    rng = np.random.default_rng(n)
+    word = lambda k: " ".join(f"v{int(x)}" for x in 5000 * rng.random(k) ** 2)
+    items = {i: word(int(rng.integers(15, 60))) for i in range(40)}
+    docs = {d: word(60) for d in range(n)}
+    for d in range(0, n, 50):
+        item = items[d // 50 % 40].split()
+        kept = [w if rng.random() > 0.1 else "x" + w for w in item]
+        docs[d] = f"{word(40)} {' '.join(kept)} {word(40)}"
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent.leaks(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(6), bench, latent.Settings(sample=200, block=25)).collect()}
+    want = _exact(docs, items)
+    assert len(want) >= n // 100 and len(want & got) >= 0.9 * len(want)
+    assert {d for d, _ in got} <= set(range(0, n, 50)) | {d for d, _ in want}
+
+
+def test_blocks_and_their_weights():
+    s = latent.Settings(block=3, block_words=100)
+    assert latent._blocks([(1, 60), (2, 60), (3, 10), (4, 10), (5, 10), (6, 500), (7, 1)], s) == [[1], [2, 3, 4], [5], [6], [7]]
+    long = latent._blocks([(i, 3000) for i in range(200)], latent.Settings())
+    assert sum(map(len, long)) == 200 and max(len(b) for b in long) * 3000 <= latent.Settings().block_words
+    rng = np.random.default_rng(1)
+    parts, idf, x = [rng.integers(0, 9, n) for n in (5, 1, 30)], rng.random(9), rng.random((9, 4))
+    dense = np.zeros((3, 9))
+    for i, t in enumerate(parts):
+        np.add.at(dense[i], t, idf[t])
+    a = latent._Weights.of(parts, idf)
+    np.testing.assert_allclose(a.norms(), np.linalg.norm(dense, axis=1))
+    np.testing.assert_allclose(a.times(x), dense @ x)
+    np.testing.assert_allclose(a.transposed_times(dense @ x), dense.T @ (dense @ x))
+
+
 def _paraphrase(text):
     words = text.split()
     return "before it " + " ".join(w if i % 6 else "other" for i, w in enumerate(words)) + " after it"
