@@ -6,37 +6,51 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from candlewick.session import small
+from candlewick.session import cut, small
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str,
-              columns: list[str], max_age_days: int | None = None, bucket=None) -> DataFrame:
+              columns: list[str], max_age_days: int | None = None, bins: int | None = None) -> DataFrame:
     """Left rows with the latest right row at or before their time, per key.
 
-    Both sides are stacked and carried forward inside (key, time bucket); the
-    last right row of earlier buckets comes from a small table with one row per
-    key and bucket.  A key holding any share of the rows is therefore spread over
-    its buckets, and each row is exchanged once.  On equal times the right row
-    comes first, so a report of the same day counts.
+    Only the different (key, time) of the left and the right rows' ``columns`` go
+    through the sort: they are stacked, range-partitioned by key and time into
+    ``bins`` (by default the session's shuffle partitions) and written down with the
+    number of their partition.  The last right row is carried forward inside a
+    partition; what a key brings along from earlier partitions is one row for each
+    partition that begins in the middle of a key.  A key holding any share of the
+    rows is therefore spread over as many partitions as its rows fill.
+
+    On equal times the right row comes first, so a report of the same day counts;
+    of several right rows of one key and time the same one wins in every run.  Left
+    rows without key or time stay, with nulls; such right rows are not found.
     """
-    bucket = bucket or (lambda c: F.trunc(c, "month"))
-    payload = F.struct(F.col(right_time).alias("_at"), *columns)
-    stacked = (left.select(*key, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
-               .unionByName(right.select(*key, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), payload.alias("_hit")),
-                            allowMissingColumns=True)
-               .withColumn("_bucket", bucket(F.col("_t"))))
-    by_key = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (stacked.groupBy(*key, "_bucket")
-               .agg(F.max_by("_hit", F.when(F.col("_side") == 0, F.col("_t"))).alias("_last"))
-               .select(*key, "_bucket", F.last("_last", ignorenulls=True).over(by_key).alias("_carried")))
-    inside = Window.partitionBy(*key, "_bucket").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    joined = (stacked.join(carried, [*key, "_bucket"])
-              .withColumn("_found", F.coalesce(F.last("_hit", ignorenulls=True).over(inside), F.col("_carried")))
-              .filter(F.col("_side") == 1))
+    n = bins or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"_k{i}" for i in range(len(key))]
+    named = [F.col(k).alias(n) for k, n in zip(key, keys)]
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, "_t"]])
+    asked = left.select(*named, F.col(left_time).alias("_t")).filter(known).distinct().withColumns({"_side": F.lit(1), "_tie": F.lit(0).cast("long")})
+    told = right.select(*named, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.xxhash64(*columns).alias("_tie"),
+                        F.struct(F.col(right_time).alias("_at"), *columns).alias("_hit")).filter(known)
+    stacked = asked.unionByName(told, allowMissingColumns=True)
+    placed = cut(stacked.repartitionByRange(n, *keys, "_t", "_side", "_tie").withColumn("_bin", F.spark_partition_id()))
+    # a row per key and partition; kept where a key began in an earlier partition, once a partition at most
+    by_key = Window.partitionBy(*keys).orderBy("_bin")
+    last = F.max_by("_hit", F.when(F.col("_side") == 0, F.struct("_t", "_tie")))
+    carried = (placed.groupBy(*keys, "_bin").agg(last.alias("_last"))
+               .withColumns({"_part": F.row_number().over(by_key), "_carried": F.last("_last", ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1))})
+               .filter("_part > 1").select(*keys, "_bin", "_carried"))
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    hits = placed.withColumn("_inside", F.last("_hit", ignorenulls=True).over(inside)).filter("_side = 1")
+    # at most one row per partition: never more than ``bins``
+    hits = hits.join(F.broadcast(carried), [*keys, "_bin"], "left").withColumn("_found", F.coalesce("_inside", "_carried"))
     found: Column = F.col("_found")
     if max_age_days is not None:
         found = F.when(F.datediff("_t", F.col("_found._at")) <= max_age_days, F.col("_found"))
-    joined = joined.select("_row", found.alias("_found"))
+    hits = hits.select(*keys, "_t", found.alias("_found")).filter("_found IS NOT NULL")
+    # named so that the two sides share no column
+    own = left.select(F.struct(*left.columns).alias("_row"), *named, F.col(left_time).alias("_t"))
+    joined = own.join(hits, [*keys, "_t"], "left")
     return joined.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 

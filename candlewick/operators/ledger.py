@@ -244,3 +244,31 @@ def position_analysis(positions: DataFrame, info: DataFrame, basics: DataFrame,
     known = basics.select(F.col("ts_code").alias("code"), F.col("trade_date").alias(date), *[F.col(c).alias(f"buy_{c}") for c in columns])
     named = info.select(F.col("ts_code").alias("code"), "industry", "market")
     return positions.join(small(named), "code", "left").join(known, ["code", date], "left")
+
+
+def rebuilt_portfolio(snapshots: DataFrame, strategy: str = "main") -> DataFrame:
+    """The daily portfolio table in its present form, from the earlier one without strategy,
+    total and curve columns.
+
+    Needs date, init_cash, position_cost, position_value, position_pnl, closed_pnl, total_pnl
+    and available_cash; id, position_ratio, notes, created_at and updated_at are null where they
+    are missing.  The daily result is that of the open positions; drawdown begins at 0.
+    """
+    types = {"id": "bigint", "position_ratio": "double", "notes": "string", "created_at": "timestamp", "updated_at": "timestamp"}
+    df = _with_defaults(snapshots, types)
+    return df.select(
+        "id", "date", F.lit(strategy).alias("strategy"), "init_cash", "position_cost", "position_value", "position_pnl", "closed_pnl", "total_pnl",
+        F.col("available_cash").alias("cash"), (F.col("position_value") + F.col("available_cash")).alias("total_value"), F.col("position_pnl").alias("daily_pnl"),
+        ratio("total_pnl", "init_cash").alias("cum_return"), F.lit(0.0).alias("drawdown"), "position_ratio", "notes", "created_at", "updated_at")
+
+
+def rebuilt_strategy_portfolio(snapshots: DataFrame, capital: float = 500_000.0) -> DataFrame:
+    """The same of the table by strategy, which knows no cash: a strategy's total is
+    ``capital`` and its result."""
+    df = _with_defaults(snapshots, {"id": "bigint", "trade_count": "bigint", "notes": "string", "created_at": "timestamp"})
+    return df.select("id", "date", "strategy", "position_cost", "position_value", "position_pnl", "closed_pnl", "total_pnl",
+                     (F.col("total_pnl") + F.lit(float(capital))).alias("total_value"), F.col("position_pnl").alias("daily_pnl"), "trade_count", "notes", "created_at")
+
+
+def _with_defaults(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in df.columns})

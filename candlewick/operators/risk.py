@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from candlewick.functions import money
 from candlewick.functions.series import Series, ratio
 from candlewick.operators.indicators import adx, number_bars
+from candlewick.session import small
 
 FLAGS = ["signal_buy_b1", "signal_buy_b2", "signal_buy_scb", "signal_buy_blk", "signal_buy_dz30"]
 
@@ -133,15 +134,45 @@ def portfolio_limits(buys: DataFrame, capital: float = 1_000_000.0, max_position
 
 SIGNAL_COLUMNS = ["score_b1", "score_b2", "score_blk", "score_blkb2", "score_scb", "score_dz30", "score_s1",
                   *FLAGS, "signal_buy_blkb2", "signal_s1_full", "signal_s1_half", "break_slow"]
+SELL_COLUMNS = [f"signal_sell_{rule}" for rule in ("b1", "b2", "blk", "dz30", "scb", "blkb2")]
 INDICATOR_COLUMNS = ["k", "d", "j", "dif", "dea", "trend_fast", "trend_slow", "rsi1", "bbi", "atr", "vwap",
                      "bb_upper", "bb_mid", "bb_lower", "vol_ratio"]
 RISK_COLUMNS = ["risk_priority", "risk_composite_score", "risk_market_state", "risk_stoploss_pct", "risk_stoploss_price",
                 "risk_position_amt", "risk_position_pct", "risk_should_buy", "risk_reject_reason"]
 
 
-def daily_signals(panel: DataFrame) -> DataFrame:
-    """The signal table: bar, scores, flags, risk columns and a JSON snapshot of
-    the indicators."""
-    df = risk_columns(panel)
+def sell_columns(panel: DataFrame, positions: DataFrame | None = None, fee: float = 0.0005, limit: float = -3.0) -> DataFrame:
+    """``signal_sell_<rule>`` of each rule: half or full sell score, the break of the
+    slow line, or a low more than ``limit`` percent under the price paid with ``fee``.
+
+    ``positions`` (ts_code, id, buy_price) are those held now; of a code's the first by id
+    counts, and its price is held against every bar of the panel.  All rules share the
+    condition; each has a column, as each has its own book.
+    """
+    stopped = F.lit(False)
+    df = panel
+    if positions is not None:
+        first = positions.groupBy("ts_code").agg(F.min_by("buy_price", "id").alias("_paid"))
+        df = df.join(small(first), "ts_code", "left")
+        cost = F.col("_paid") * (1 + fee)
+        stopped = F.coalesce((F.col("_paid") > 0) & ((F.col("low") - cost) / cost * 100 < limit), F.lit(False))
+    sells = F.coalesce(F.col("signal_s1_full"), F.lit(False)) | F.coalesce(F.col("signal_s1_half"), F.lit(False)) | F.col("break_slow") | stopped
+    df = df.withColumn("_sells", sells).withColumns({c: F.col("_sells") for c in SELL_COLUMNS})
+    return df.drop("_sells", "_paid")
+
+
+def daily_signals(panel: DataFrame, positions: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """The whole signal table: bar, scores, buy and sell flags, risk columns and a JSON
+    snapshot of the indicators.
+
+    ``names`` (ts_code, name) gives the name of a code, null where it has none.  Columns that
+    the table has and no rule fills are there with their constant: ``score_dl``,
+    ``signal_buy_dl``, ``signal_sell_dl`` and ``signal_stop``.
+    """
+    df = sell_columns(risk_columns(panel), positions)
+    df = df.join(small(names.select("ts_code", "name")), "ts_code", "left") if names is not None else df.withColumn("name", F.lit(None).cast("string"))
     snapshot = F.to_json(F.struct(*INDICATOR_COLUMNS)).alias("indicators")
-    return df.select("trade_date", "ts_code", "open", "high", "low", "close", "vol", *SIGNAL_COLUMNS, *RISK_COLUMNS, snapshot)
+    never = F.lit(False)
+    return df.select("trade_date", "ts_code", "name", "open", "high", "low", "close", "vol", "prev_close", F.col("chg_pct").alias("change_pct"),
+                     *SIGNAL_COLUMNS, F.lit(0.0).alias("score_dl"), never.alias("signal_buy_dl"), *SELL_COLUMNS, never.alias("signal_sell_dl"),
+                     never.alias("signal_stop"), F.col("observing").alias("is_observing"), *RISK_COLUMNS, snapshot)

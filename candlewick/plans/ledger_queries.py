@@ -308,11 +308,24 @@ def equity_from_returns(t):
     return df.select("date", snap(signed_log("total_value")).alias("total_value"), snap(signed_log("daily_pnl"), 3).alias("daily_pnl"), snap("drawdown").alias("drawdown"))
 
 
-@query("rebuilt_portfolio", "J10", "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _CURVE.items()) + f" SELECT date, 'main' AS strategy, 500000.0::DOUBLE AS init_cash, {sq('total_value', 2)} AS market_value, {sq('total_value - 500000', 2)} AS total_pnl, {sq('total_value / 500000 - 1')} AS cum_return FROM one")
+_OLD = ["position_cost", "position_value", "position_pnl", "closed_pnl", "total_pnl"]
+
+
+@query("rebuilt_portfolio", "J10", with_views("positions bars_w", "SELECT date, 'main' AS strategy, 5e9::DOUBLE AS init_cash, " + ", ".join(f"{sq(c, 0)} AS {c}" for c in [*_OLD, "cash"]) + f""", {sq('position_value + cash', 0)} AS total_value,
+  {sq('position_pnl', 0)} AS daily_pnl, {sq('total_pnl / 5e9')} AS cum_return, 0.0::DOUBLE AS drawdown, {sq('position_ratio', 3)} AS position_ratio, CAST(NULL AS VARCHAR) AS notes FROM fin_t""", **_equity_sql(None)))
 def rebuilt_portfolio(t):
-    v = F.col("total_value")
-    return one_curve(t).select("date", F.lit("main").alias("strategy"), F.lit(CAPITAL).alias("init_cash"), snap(v, 2).alias("market_value"),
-                               snap(v - CAPITAL, 2).alias("total_pnl"), snap(v / CAPITAL - 1).alias("cum_return"))
+    """From the snapshots as the earlier table held them: cash under another name, no strategy, total or curve."""
+    old = L.equity_curve(held(t), t.bars_w(), weeks(t), 5e9).select("date", F.lit(5e9).alias("init_cash"), *_OLD, F.col("cash").alias("available_cash"), "position_ratio")
+    out = L.rebuilt_portfolio(old)
+    return out.select("date", "strategy", "init_cash", *[snap(c, 0).alias(c) for c in [*_OLD, "cash", "total_value", "daily_pnl"]],
+                      snap("cum_return").alias("cum_return"), "drawdown", snap("position_ratio", 3).alias("position_ratio"), "notes")
+
+
+@query("rebuilt_strategy_portfolio", "J10", with_views("positions bars_w", "SELECT strategy, date, " + ", ".join(f"{sq(c, 0)} AS {c}" for c in _OLD) + f", {sq('total_pnl + 500000', 0)} AS total_value, {sq('position_pnl', 0)} AS daily_pnl, CAST(NULL AS BIGINT) AS trade_count FROM fin_t", **_equity_sql("strategy")))
+def rebuilt_strategy_portfolio(t):
+    old = L.equity_curve(held(t), t.bars_w(), weeks(t), 5e9, groups=["strategy"]).select("strategy", "date", *_OLD)
+    out = L.rebuilt_strategy_portfolio(old, CAPITAL)
+    return out.select("strategy", "date", *[snap(c, 0).alias(c) for c in [*_OLD, "total_value", "daily_pnl"]], "trade_count")
 
 
 # -- runs and batches -------------------------------------------------------------

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from candlewick.functions import money as M, symbols as Y
 from candlewick.functions.series import ratio
 from candlewick.operators import risk
-from candlewick.plans.oracle_views import NUMBERED, cents, ref, roll, snap as sq, with_views
+from candlewick.plans.oracle_views import NUMBERED, cents, ref, roll, snap as sq, symbol, with_views
 from candlewick.plans.registry import query
 from candlewick.plans.rolling import loop
 from candlewick.plans.rule_queries import _upto, panel
 from candlewick.plans.shaping import KEYS, rounded, snap
 from candlewick.session import small
+from candlewick.sources.tables import nation_symbol
 
 # codes of six digits out of the part keys: every leading digit occurs
 _SYMBOLS = "SELECT p_partkey, lpad(CAST((p_partkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code FROM part"
@@ -198,13 +199,35 @@ def portfolio_limits(t):
     return risk.portfolio_limits(buys).select(*KEYS, "place", snap("opened", 2).alias("opened"), "accepted")
 
 
-@query("daily_signal_table", "G19", with_views("bars_w index_bars", f"""SELECT ts_code, trade_date, score_s1::DOUBLE AS score_s1, b2 AS signal_buy_b2, s1_full AS signal_s1_full, act AS risk_should_buy,
-  {sq('dif', 3)} AS dif_in_json, {sq('vwap', 3)} AS vwap_in_json FROM amt""", **_RISK))
+_STOP = "CASE WHEN atr > 0 THEN greatest(1.5, least(8, atr * 2 * 100 / close)) ELSE 3 END"
+_SNAPSHOT = dict(k="k", d="d", j="j", dif="dif", dea="dea", trend_fast="fast", trend_slow="slow", rsi1="rsi1", bbi="bbi", atr="atr", vwap="vwap",
+                 bb_upper="bb_mid + 2 * bb_std", bb_mid="bb_mid", bb_lower="bb_mid - 2 * bb_std", vol_ratio="CASE WHEN v5 > 0 THEN vol / v5 ELSE 1 END")
+_SELLS = "(coalesce(s1_full, false) OR coalesce(s1_half, false) OR break_slow OR coalesce(paid > 0 AND (low - paid * 1.0005::DOUBLE) / (paid * 1.0005::DOUBLE) * 100 < -3, false))"
+
+
+@query("daily_signal_table", "G19", with_views("bars_w index_bars positions", f"""SELECT ts_code, trade_date, name, {', '.join(f'{sq(c, 2)} AS {c}' for c in ('open', 'high', 'low', 'close', 'vol'))},
+  {sq('prev', 2)} AS prev_close, {sq('chg', 3)} AS change_pct, score_b1::DOUBLE AS score_b1, score_b2::DOUBLE AS score_b2, CASE WHEN blk THEN 7.0::DOUBLE ELSE 0 END AS score_blk,
+  CASE WHEN blkb2 THEN round(7 * 0.5 + score_b2 * 0.6 + 3, 6) ELSE 0 END::DOUBLE AS score_blkb2, score_scb::DOUBLE AS score_scb, CASE WHEN dz30 THEN 5.0::DOUBLE ELSE 0 END AS score_dz30, score_s1::DOUBLE AS score_s1,
+  b1 AS signal_buy_b1, b2 AS signal_buy_b2, scb AS signal_buy_scb, blk AS signal_buy_blk, dz30 AS signal_buy_dz30, blkb2 AS signal_buy_blkb2, s1_full AS signal_s1_full, s1_half AS signal_s1_half, break_slow,
+  0.0::DOUBLE AS score_dl, false AS signal_buy_dl, {', '.join(f'{_SELLS} AS {c}' for c in risk.SELL_COLUMNS)}, false AS signal_sell_dl, false AS signal_stop, observing AS is_observing,
+  CASE WHEN fired THEN CAST(level AS INT) ELSE 0 END AS risk_priority, {sq("CASE WHEN fired THEN round(round(comp, 6), 2) ELSE 0 END", 2)} AS risk_composite_score, CASE WHEN fired THEN ms ELSE 'range' END AS risk_market_state,
+  {sq(f"CASE WHEN act THEN {_STOP} ELSE 0 END", 3)} AS risk_stoploss_pct, {sq(f"CASE WHEN act THEN close * (1 - {_STOP} / 100) ELSE 0 END", 3)} AS risk_stoploss_price,
+  {sq("CASE WHEN act THEN round(sized) ELSE 0 END", 0)} AS risk_position_amt, {sq("CASE WHEN act THEN round(sized / 1000000, 4) ELSE 0 END", 3)} AS risk_position_pct, act AS risk_should_buy,
+  CASE WHEN NOT fired THEN 'no buy signal' WHEN NOT act THEN 'priority too low' ELSE '' END AS risk_reject_reason,
+  {', '.join(f'{sq(e, 3)} AS {n}_in_json' for n, e in _SNAPSHOT.items())} FROM wide""", **_RISK,
+    held_first="SELECT ts_code, arg_min(cost / nullif(shares, 0), id) AS paid FROM positions WHERE status = 'holding' AND shares > 0 GROUP BY 1",
+    named=f"SELECT {symbol('n_nationkey')} AS ts_code, n_name AS name FROM nation",
+    wide=f"""SELECT a.*, h.paid, n.name, {roll('avg(close)', 20)} AS bb_mid, {roll('stddev_pop(close)', 20)} AS bb_std, {roll('avg(vol)', 5)} AS v5
+     FROM amt a LEFT JOIN held_first h USING (ts_code) LEFT JOIN named n USING (ts_code)"""))
 def daily_signal_table(t):
-    df = risk.daily_signals(risk_panel(t))
-    field = lambda name: snap(F.get_json_object("indicators", f"$.{name}").cast("double"), 3)
-    return df.select(*KEYS, "score_s1", "signal_buy_b2", "signal_s1_full", "risk_should_buy",
-                     field("dif").alias("dif_in_json"), field("vwap").alias("vwap_in_json"))
+    """Every column of the signal table, those of its JSON snapshot one by one."""
+    held = t.positions().filter("status = 'holding' AND shares > 0").select("ts_code", "id", (F.col("cost") / F.col("shares")).alias("buy_price"))
+    names = t.nation.select(nation_symbol(F.col("n_nationkey")).alias("ts_code"), F.col("n_name").alias("name"))
+    df = risk.daily_signals(risk_panel(t), held, names)
+    prices, shares = ["open", "high", "low", "close", "vol", "prev_close"], ["change_pct", "risk_stoploss_pct", "risk_stoploss_price", "risk_position_pct"]
+    snapped = {**{c: 2 for c in prices}, **{c: 3 for c in shares}, "risk_position_amt": 0, "risk_composite_score": 2}
+    return df.select(*[snap(c, snapped[c]).alias(c) if c in snapped else F.col(c) for c in df.columns if c != "indicators"],
+                     *[snap(F.get_json_object("indicators", f"$.{c}").cast("double"), 3).alias(f"{c}_in_json") for c in risk.INDICATOR_COLUMNS])
 
 
 @query("flag_lists", "B10 H12", with_views("bars_w", """SELECT ts_code, trade_date, CAST(n AS INT) AS n_flags, names FROM (SELECT ts_code, trade_date, close, big_up::INT + (vol > ref_vol * 1.8)::INT + (chg > 4)::INT AS n,

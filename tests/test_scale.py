@@ -111,6 +111,30 @@ def test_asof_against_merge_asof(spark):
         np.testing.assert_allclose(got["v"], want["v"])
 
 
+def test_asof_of_one_key_in_many_partitions(spark):
+    """One key with nearly all rows: right rows far back are carried over whole partitions."""
+    left = pd.DataFrame({"k": ["hot"] * 4000 + ["x"] * 20 + [None, "hot"], "t": [*pd.date_range("2001-01-01", periods=4000), *pd.date_range("2001-01-01", periods=20), pd.Timestamp("2005-01-01"), pd.NaT]})
+    left["id"] = range(len(left))
+    sl = spark.createDataFrame(left).withColumn("t", F.to_date("t")).withColumn("v", F.lit("left"))
+    sl = sl.unionByName(sl.filter("id < 100"))  # repeated rows stay
+    days = ["2001-02-01", "2009-05-05", "2009-05-05"]
+    sr = spark.createDataFrame([("hot", d, i) for i, d in enumerate(days)] + [("x", "2001-01-10", 9), (None, "2001-01-01", 8), ("hot", None, 7)], "k string, d string, w int").withColumn("d", F.to_date("d"))
+    one = asof.asof_join(sl, sr, ["k"], "t", "d", ["w"], bins=16)
+    got = one.toPandas()
+    assert len(got) == len(left) + 100 and list(got.columns) == ["k", "t", "id", "v", "w"]
+    by_id = got.drop_duplicates("id").set_index("id")["w"]
+    hot = left[left["k"].eq("hot") & left["t"].notna()]
+    want = hot["t"].map(lambda t: 1 if t >= pd.Timestamp("2009-05-05") else 0 if t >= pd.Timestamp("2001-02-01") else None)
+    seen = by_id.loc[hot["id"]].replace({2: 1})
+    assert (seen.fillna(-1).to_numpy() == want.fillna(-1).to_numpy()).all()
+    assert by_id.loc[4000:4008].isna().all() and (by_id.loc[4009:4019] == 9).all() and by_id.loc[4020:].isna().all()
+    # of two rows of one day the same wins whatever the partitions
+    again = asof.asof_join(sl.repartition(5), sr.repartition(3), ["k"], "t", "d", ["w"], bins=3).toPandas().drop_duplicates("id").set_index("id")["w"]
+    assert by_id.sort_index().fillna(-1).equals(again.sort_index().fillna(-1))
+    assert asof.asof_join(sl.filter("false"), sr, ["k"], "t", "d", ["w"]).count() == 0
+    assert asof.asof_join(sl, sr.filter("false"), ["k"], "t", "d", ["w"]).filter("w IS NULL").count() == len(got)
+
+
 def test_rows_go_through_no_single_task(spark):
     """The pooled operators never sort all rows in one partition."""
     df = spark.createDataFrame(values())
