@@ -208,7 +208,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     rest_ = _id_filter(groups)
     twice = docs.mapInArrow(_members(k, rest_, None), "gram bigint").groupBy("gram").count().filter("count > 1")
     lonely = docs.mapInArrow(_members(k, rest_, bit_filter(twice, "gram", filter_bits)), "id bigint, lonely int").groupBy("id").agg(F.min("lonely").alias("lonely"))
-    groups = saved(groups.drop("alone").join(lonely, "id"))
+    # a link leaves room for (100 - percent) of 100 shingles that only one side has: who has more in no other document has no partner
+    groups = saved(groups.drop("alone").join(lonely, "id").filter(F.col("lonely") * 100 <= F.col("n") * (100 - percent)))
     agreed = saved(groups.groupBy("id", "class").agg(F.collect_list("key").alias("keys"), F.max("filled").alias("filled")))
 
     # leaders of a group: the one with fewest shingles of its own (what near copies
