@@ -111,6 +111,28 @@ def row_numbers(df: DataFrame, group: list[str], order: list[Column | str], bins
     return rows.select(*df.columns, (F.col("_lower") + F.col("_place")).alias("place"), F.col("_all").alias("n_all"))
 
 
+def running_totals(df: DataFrame, group: list[str], order: list[Column | str], value: str, out: str, bins: int | None = None) -> DataFrame:
+    """Add ``place`` (1-based row number in the group, an int) and ``out``, the sum of ``value`` over the
+    group's rows up to this one (null before the first that is not null).
+
+    A large group spans several range partitions, so no task holds a whole one.  Rows with
+    null in ``group`` form a group.  ``order`` should tell the rows of a group apart."""
+    n = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(n, *group, *order).withColumn("_bin", F.spark_partition_id()))
+    # at most one row per partition and group in it
+    earlier = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    totals = totals.select(F.col("_bin").alias("_b"), *[F.col(g).alias(f"_g_{g}") for g in group],
+                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_lower"), F.sum("_s").over(earlier).alias("_sum"))
+    inside = Window.partitionBy(*group, "_bin").orderBy(*order)
+    rows = placed.withColumns({"_place": F.row_number().over(inside), "_upto": F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    same = F.col("_bin") == F.col("_b")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    total = F.when(F.col("_sum").isNull(), F.col("_upto")).otherwise(F.col("_sum") + F.coalesce("_upto", F.lit(0)))
+    return rows.join(small(totals), same).select(*df.columns, (F.col("_lower") + F.col("_place")).cast("int").alias("place"), total.alias(out))
+
+
 def _coarse(x: Column) -> Column:
     """A whole number that never falls as x rises: sign and logarithm, 256 steps a power of two."""
     steps = F.floor(F.log(F.abs(x)) * (256 / math.log(2))).cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from candlewick.functions import money
 from candlewick.functions.series import Series, ratio
 from candlewick.operators.indicators import adx, number_bars
+from candlewick.operators.ranks import running_totals
 from candlewick.session import small
 
 FLAGS = ["signal_buy_b1", "signal_buy_b2", "signal_buy_scb", "signal_buy_blk", "signal_buy_dz30"]
@@ -115,19 +116,24 @@ def risk_columns(panel: DataFrame, capital: float = 1_000_000.0, fraction: float
 
 
 def portfolio_limits(buys: DataFrame, capital: float = 1_000_000.0, max_positions: int = 8,
-                     max_daily: float = 0.5, held: str | None = None) -> DataFrame:
+                     max_daily: float = 0.5, held: str | None = None, every: bool = False) -> DataFrame:
     """Buys of each date in order of priority until a limit is reached.
 
     The prefix rule: a buy is kept while its place and the running amount stay
-    within the limits.  No buy after the first ``max_positions`` of a date can be, so
-    only those get a place and a running amount; the constant limit lets every map
-    task keep its own best, and the window sees no more than that of a date.
+    within the limits.  With ``every``, all buys of a date get their place and running
+    amount, in ranges of the order, so that no task holds a whole date.  Otherwise only
+    the first ``max_positions`` do, as none after them can be kept; the constant limit
+    lets every map task keep its own best, and the window sees no more than that of a date.
     """
-    order = Window.partitionBy("trade_date").orderBy(F.col("risk_priority").desc(), F.col("risk_composite_score").desc(), "ts_code")
-    first = buys.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_positions)
-    first = first.withColumn("opened", F.sum("risk_position_amt").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [F.col("risk_priority").desc(), F.col("risk_composite_score").desc(), F.asc("ts_code")]
     already = F.col(held) if held else F.lit(0)
-    first = first.withColumn("accepted", (F.col("place") + already <= max_positions) & (F.col("opened") <= capital * max_daily))
+    accepted = F.coalesce((F.col("place") + already <= max_positions) & (F.col("opened") <= capital * max_daily), F.lit(False))
+    if every:
+        return running_totals(buys, ["trade_date"], order, "risk_position_amt", "opened").withColumn("accepted", accepted)
+    window = Window.partitionBy("trade_date").orderBy(*order)
+    first = buys.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= max_positions)
+    first = first.withColumn("opened", F.sum("risk_position_amt").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    first = first.withColumn("accepted", accepted)
     out = buys.join(first.select("trade_date", "ts_code", "place", "opened", "accepted"), ["trade_date", "ts_code"], "left")
     return out.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 

@@ -190,13 +190,13 @@ def risk_columns(t):
         snap("risk_stoploss_price", 3).alias("risk_stoploss_price"), snap("risk_position_pct", 3).alias("risk_position_pct"), "risk_reject_reason")
 
 
-@query("portfolio_limits", "G18", with_views("bars_s", f"""SELECT ts_code, trade_date, CASE WHEN place <= 8 THEN CAST(place AS INT) END AS place, CASE WHEN place <= 8 THEN {sq('opened', 2)} END AS opened, place <= 8 AND opened <= 500000 AS accepted FROM (
+@query("portfolio_limits", "G18", with_views("bars_s", f"""SELECT ts_code, trade_date, CAST(place AS INT) AS place, {sq('opened', 2)} AS opened, place <= 8 AND opened <= 500000 AS accepted FROM (
   SELECT *, row_number() OVER o AS place, sum(amt) OVER (o ROWS UNBOUNDED PRECEDING) AS opened FROM (
    SELECT *, CAST(vol AS INT) % 5 AS pri, 20000 + 1000 * CAST(vol AS INT) AS amt FROM bars_s) WINDOW o AS (PARTITION BY trade_date ORDER BY pri DESC, close DESC, ts_code))"""))
 def portfolio_limits(t):
     v = F.col("vol").cast("int")
     buys = t.bars_s().select(*KEYS, (v % 5).alias("risk_priority"), F.col("close").alias("risk_composite_score"), (20000 + 1000 * v).alias("risk_position_amt"))
-    return risk.portfolio_limits(buys).select(*KEYS, "place", snap("opened", 2).alias("opened"), "accepted")
+    return risk.portfolio_limits(buys, every=True).select(*KEYS, "place", snap("opened", 2).alias("opened"), "accepted")
 
 
 _STOP = "CASE WHEN atr > 0 THEN greatest(1.5, least(8, atr * 2 * 100 / close)) ELSE 3 END"

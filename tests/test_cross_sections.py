@@ -8,7 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from candlewick.operators import evaluate, factors, ranks, risk, signals, splits
+from conftest import SMALL
 
 DAY = dt.date(2024, 1, 1)
 
@@ -209,6 +211,27 @@ def test_portfolio_limits_keep_few_rows_of_a_date(spark, capsys):
     assert set(got[got["accepted"]]["ts_code"]) == {r[0] for r in best}
 
 
+def test_portfolio_limits_of_every_buy(spark):
+    days = [DAY, DAY + dt.timedelta(days=1), None]
+    rows = [(f"c{i:04}", days[i % 7 // 3], i % 3, float(i % 11), 1000.0 * (i % 5) if i % 13 else None) for i in range(3000)]
+    buys = spark.createDataFrame(rows, "ts_code string, trade_date date, risk_priority int, risk_composite_score double, risk_position_amt double")
+    out = risk.portfolio_limits(buys, capital=10_000, max_positions=8, max_daily=0.5, every=True)
+    got = {r["ts_code"]: r for r in out.collect()}
+    assert len(got) == 3000
+    for day in days:
+        opened = None
+        for place, row in enumerate(sorted((r for r in rows if r[1] == day), key=lambda r: (-r[2], -r[3], r[0])), 1):
+            opened = opened if row[4] is None else (opened or 0.0) + row[4]
+            r = got[row[0]]
+            assert (r["place"], r["opened"]) == (place, opened)
+            assert r["accepted"] == (place <= 8 and opened is not None and opened <= 5000)
+
+
+def test_portfolio_limits_query_places_every_bar(spark):
+    got = __spark_entry__.queries()["portfolio_limits"](spark, SMALL)
+    assert got.filter("place IS NULL OR opened IS NULL").count() == 0 and got.filter("place > 8").count() > 0
+
+
 def test_running_score(spark):
     class Sum:
         columns = ["close", "trade_date"]
