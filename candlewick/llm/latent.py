@@ -2,7 +2,7 @@
 
 Documents are read as overlapping passages.  Passages and benchmark items are
 TF-IDF vectors over the items' terms (long items in parts); a randomised SVD, whose products over
-the passages of a sample of the documents are summed in Spark, gives the latent space.  Every passage of every
+the passages of all documents are summed in Spark, gives the latent space.  Every passage of every
 document is compared with every item there by cosine; what is near enough is
 checked word by word: longest common subsequence with the item, and whether the
 item's answer (its last part) is there too.
@@ -26,6 +26,7 @@ _AS_WORD = np.array([c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 3
 
 _STRIPES = 16  # of a matrix, each added up by itself
 _GROUPS = 24   # of items' parts, looked at together first
+_DENSE = 4096  # terms of which pairs are counted in a matrix; more are multiplied passage by passage
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class Settings:
     rank: int = 256            # dimensions of the latent space
     block: int = 224           # items searched for at once,
     block_words: int = 16_384  # and words they have together; a longer item is a block by itself
-    sample: int = 4_000        # documents, drawn by hash over all, whose passages the latent space is fitted to (about so many)
+    sample: int = 0            # of no effect: the latent space is fitted to the passages of all documents
     common: float = 0.1        # terms in more than this share of documents (and in over 20) are common: the word check leaves them out
     cosine: float = 0.25       # least cosine of a candidate
     share: float = 0.6         # least share of the item's words in common order, with the answer
@@ -165,6 +166,102 @@ def _product(items: Items, idf: np.ndarray, rare: float, right: np.ndarray, half
     return run
 
 
+def _pairs(term: np.ndarray, place: np.ndarray, before: np.ndarray, counts: np.ndarray) -> int:
+    """Add to ``counts`` (terms x terms, flat) the passages in which two words stand together, the
+    earlier word's term first; returns the most it may have added to one number.
+
+    ``place`` numbers the half passage of each word, with a gap between texts, ``before``
+    tells which words' halves follow one of the same text: those are in two passages.  A
+    passage is two halves, so words of one half share all its passages, those of neighbours one."""
+    size, most = int(np.sqrt(len(counts))), 0
+    for apart in range(1, len(term)):
+        gap = place[apart:] - place[:-apart]
+        near = np.flatnonzero(gap <= 1)
+        if not len(near):
+            break
+        times = np.where((gap[near] == 0) & before[near], 2, 1).astype(counts.dtype)
+        np.add.at(counts, term[near] * size + term[near + apart], times)
+        most += 2 * len(near)
+    return most
+
+
+def _together(items: Items, half: int):
+    """Over passages of a task: the numbers of times two terms stand together, N = A'A for passages A
+    of plain counts, in stripes of rows; and, as one stripe more, the documents that have each term."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(items.vocabulary)
+        counts, own, docs = np.zeros(size * size, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n = held = 0
+
+        def out():
+            both = counts.reshape(size, size)
+            both = both + both.T  # at most twice a number of which ``held`` is the bound
+            both[np.arange(size), np.arange(size)] += own.astype(np.int32)
+            for i, rows in enumerate([*np.array_split(both, _STRIPES), docs]):
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([rows.astype(np.int64 if i == _STRIPES else np.int32).tobytes()], pa.binary()), pa.array([n if i == 0 else 0], pa.int64())], names=["stripe", "sum", "n"])
+
+        for batch in batches:
+            for lo, hi, data, off in slices(batch.column(1)):
+                words = _words(data, off)
+                part, begin = _halves(words, half)
+                if not len(begin):
+                    continue
+                term = items.number(words.hashes())
+                known = np.flatnonzero(term >= 0)
+                doc, t = words.doc[known], term[known]
+                docs += np.bincount(np.unique(doc * size + t) % size, minlength=size)
+                follows = np.zeros(len(begin), bool)
+                follows[1:] = words.doc[begin][1:] == words.doc[begin][:-1]
+                before = follows[part[known]]
+                own += np.bincount(t, 1 + before, minlength=size).astype(np.int64)
+                n += len(begin)
+                held += _pairs(t.astype(np.int32), (part[known] + doc).astype(np.int32), before, counts) + 2 * len(known)
+                if held > 1 << 29:  # before a number can leave 32 bits
+                    yield from out()
+                    counts[:], own[:], docs[:], n, held = 0, 0, 0, 0, 0
+        yield from out()
+    return run
+
+
+def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the stripes of whole numbers of a partition; a sum that 32 bits do not hold gets 64."""
+    sums: dict[int, np.ndarray] = {}
+    counts: dict[int, int] = {}
+    for batch in batches:
+        for i, raw, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            one = np.frombuffer(raw.as_buffer(), np.int64 if i == _STRIPES else np.int32)
+            if i not in sums:
+                sums[i] = np.zeros(len(one), np.int64)
+            sums[i] += one
+            counts[i] = counts.get(i, 0) + n
+    for i, x in sums.items():
+        wide = i == _STRIPES or x.max(initial=0) >= 1 << 31
+        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([x.astype(np.int64 if wide else np.int32).tobytes()], pa.binary()), pa.array([counts[i]], pa.int64()), pa.array([wide])],
+                              names=["stripe", "sum", "n", "wide"])
+
+
+def _counted(docs: DataFrame, items: Items, s: Settings) -> DataFrame:
+    """Rows of N (:func:`_together`) of all documents in stripes, and the documents that have each term."""
+    tasks = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_together(items, s.half), "stripe int, sum binary, n bigint")
+    return saved(tasks.repartition(_STRIPES, "stripe").mapInArrow(_add_counts, "stripe int, sum binary, n bigint, wide boolean"))
+
+
+def _times(idf: np.ndarray, right: np.ndarray, gram: bool):
+    """As :func:`_product`, from the stripes of N: with D the idf on a diagonal, A'A = D N D."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, k = right.shape
+        rows = right * idf[:, None]
+        edges = np.cumsum([0, *[len(x) for x in np.array_split(idf, _STRIPES)]])
+        for batch in batches:
+            for i, raw, n, wide in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                here = slice(edges[i], edges[i + 1])
+                part = np.frombuffer(raw.as_buffer(), np.int64 if wide else np.int32).reshape(-1, size).astype(np.float64) @ rows
+                sums = [(j, x) for j, x in enumerate(np.array_split(rows[here].T @ part, _STRIPES))] if gram else [(i, part * idf[here, None])]
+                for j, x in sums:
+                    yield pa.record_batch([pa.array([j], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n if i == 0 else 0], pa.int64())], names=["stripe", "sum", "n"])
+    return run
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the stripes of a partition, one matrix of each at a time."""
     sums: dict[int, np.ndarray] = {}
@@ -179,7 +276,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summed(docs: DataFrame, run, shape: tuple[int, int]) -> tuple[np.ndarray, int]:
     """The sum of what the tasks return, added up in stripes of rows; one matrix reaches the driver.
-    ``docs`` is the bounded sample: two tasks a core at most, so that there are few matrices to add."""
+    Two tasks a core at most, so that there are few matrices to add, whatever ``docs`` holds."""
     schema = "stripe int, sum binary, n bigint"
     tasks = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
     stripes = {row["stripe"]: row for row in tasks.repartition(_STRIPES, "stripe").mapInArrow(_add, schema).collect()}
@@ -227,31 +324,51 @@ class _Weights:
         return out
 
 
-def fit(docs: DataFrame, sample: DataFrame, items: Items, s: Settings) -> Space:
+def _term_documents(docs: DataFrame, items: Items) -> np.ndarray:
+    """In how many documents each term is."""
+    df = np.zeros(len(items.vocabulary))
+    for row in docs.mapInArrow(_document_counts(items), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        df[row["term"]] = row["n"]
+    return df
+
+
+def fit(docs: DataFrame, items: Items, s: Settings) -> Space:
     """The latent space of a block of items.
 
-    Document frequencies are of all documents; no term's weight is 0.  The SVD
-    reads the passages of ``sample``, twice, and all items.  Its random matrix has ``rank + 16``
-    columns; what a task returns has terms x columns numbers, whatever it reads, and the terms
-    are bounded with the words of a block.
+    Document frequencies are of all documents; no term's weight is 0.  The SVD is of the passages
+    of all documents and of all items.  Its random matrix has ``rank + 16``
+    columns.  Where the items have few terms (``_DENSE``, as blocks of many items do), the documents are read
+    once: tasks count which terms stand together, and the products follow from the counts.
+    Else they are read three times, and what a task returns has terms x columns numbers,
+    whatever it reads; the terms are bounded with the words of a block.
     """
     total = docs.count()
-    df = np.zeros(len(items.vocabulary))
-    for row in docs.mapInArrow(_document_counts(items), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        df[row["term"]] = row["n"]
+    counted = _counted(docs, items, s) if len(items.vocabulary) <= _DENSE else None
+    if counted is None:
+        df = _term_documents(docs, items)
+    else:
+        df = np.frombuffer(counted.filter(F.col("stripe") == _STRIPES).first()["sum"], np.int64).astype(float)
+        counted = counted.filter(F.col("stripe") < _STRIPES)
     idf = np.log((total + 1) / (df + 1)) + 0.1
     common = df > max(20, s.common * total)
     rare = float(np.log(10))  # as of a term in a tenth of the documents: foreign words around an item shall not drown it
     size, k = len(items.vocabulary), min(len(items.vocabulary), s.rank + 16)
+
+    def product(right: np.ndarray, gram: bool) -> tuple[np.ndarray, int]:
+        shape = (right.shape[1] if gram else size, right.shape[1])
+        if counted is None:
+            return _summed(docs, _product(items, idf, rare, right, s.half, gram), shape)
+        return _summed(counted, _times(idf, right, gram), shape)
+
     parts = _parts(items, 4 * s.half)
     a = _Weights.of([t for _, t in parts], idf)
     norm = a.norms()
     omega = np.random.default_rng(s.seed).standard_normal((size, k))
-    z, n = _summed(sample, _product(items, idf, rare, omega, s.half, False), (size, k))
+    z, n = product(omega, False)
     # items' parts enter with equal norms and as much weight together as the passages
     unit = a.scaled(np.median(norm) * max(1.0, n / max(1, len(parts))) ** 0.5 / np.where(norm > 0, norm, 1))
     q, _ = np.linalg.qr(z + unit.transposed_times(unit.times(omega)))
-    g, _ = _summed(sample, _product(items, idf, rare, q, s.half, True), (q.shape[1], q.shape[1]))
+    g, _ = product(q, True)
     low = unit.times(q)
     value, vector = np.linalg.eigh(g + low.T @ low)
     v = q @ vector[:, np.argsort(-value)[:s.rank]]
@@ -416,9 +533,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
     a benchmark item or a paraphrase of one; clean documents have no row.
 
     Items are searched for in blocks of at most ``s.block``; every document is read
-    per block and no pairs leave a task but confirmed ones.  The latent space is an index,
-    fitted to about ``s.sample`` documents (all of a smaller table) drawn by a hash of their id;
-    every passage of every document is looked up in it.  Needs ``doc_id`` and
+    per block and no pairs leave a task but confirmed ones.  The latent space is fitted to the
+    passages of all documents, and every one is looked up in it.  Needs ``doc_id`` and
     ``item_id`` (integers) and ``text`` in both; rows without an id are left out, null
     and empty texts hold nothing and are found nowhere, other columns are ignored,
     repeated rows count once, empty tables give an empty result.  Items most of whose
@@ -436,12 +552,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
     out = docs.sparkSession.createDataFrame([], schema)
     if not blocks:
         return out
-    shares_of = max(1, docs.count() // s.sample)
-    sample = saved(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(shares_of)) == 0))
     for block in blocks:
         some = Items.of(items.filter(F.col("item_id").between(block[0], block[-1])).orderBy("item_id", "text").toArrow())
         if len(some.vocabulary):
-            out = out.union(docs.mapInArrow(_search(fit(docs, sample, some, s), s), schema))
+            out = out.union(docs.mapInArrow(_search(fit(docs, some, s), s), schema))
     best = F.max_by(F.struct("cosine", "share", "answer_share"), F.struct("share", "answer_share", "cosine"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.cosine", "b.share", "b.answer_share")
 

@@ -443,3 +443,36 @@ def test_empty(spark, empty):
     for df in (secrets.secret_spans(empty), quality.quality_rules(empty), repeats.without_repeats(empty), jaccard.jaccard_components(empty), lattice.lattice_scores(empty, F.lit(False)),
                personal.personal_spans(empty), toxicity.toxicity_scores(empty, labels(spark)), latent.leaks(empty, bench), latent.leaks(empty, none), packing.packed(empty), pages.main_text(page)):
         assert df.collect() == []
+
+
+@pytest.mark.parametrize("dense", [4096, 0])
+def test_space_is_fitted_to_every_document(spark, monkeypatch, dense):
+    """Products and document frequencies are those of all documents, whatever ``sample`` says and on both paths."""
+    monkeypatch.setattr(latent, "_DENSE", dense)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 90, int(n))) for n in rng.integers(0, 120, 700)]
+    docs = spark.createDataFrame([*enumerate(texts), (9000, None)], "doc_id bigint, text string").repartition(5)
+    items = [" ".join(f"v{x}" for x in rng.integers(0, 60, 20)) for _ in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    vocabulary = {w: i for i, w in enumerate(sorted({w for x in items for w in x.split()}))}
+    passages, df = [], np.zeros(len(vocabulary))
+    for text in texts:
+        words = text.split()
+        for w in set(words) & set(vocabulary):
+            df[vocabulary[w]] += 1
+        for at in range(0, len(words), 16):
+            passages.append(np.bincount([vocabulary[w] for w in words[at:at + 32] if w in vocabulary], minlength=len(vocabulary)))
+    a = np.array(passages) * (np.log((len(texts) + 2) / (df + 1)) + 0.1)
+    seen, summed = [], latent._summed
+
+    def spy(docs, run, shape):
+        seen.append(summed(docs, run, shape))
+        return seen[-1]
+
+    monkeypatch.setattr(latent, "_summed", spy)
+    latent.leaks(docs, bench, latent.Settings(sample=10)).collect()
+    (z, n), (g, m) = seen
+    assert n == m == len(passages)
+    # terms are in another order: singular values of the passages tell, as the random matrix is square
+    assert np.isclose(np.trace(g), (a ** 2).sum(), rtol=1e-4)
+    assert np.allclose(np.linalg.eigvalsh(g), np.linalg.eigvalsh(a.T @ a), rtol=1e-3, atol=1e-3 * (a ** 2).sum() / len(vocabulary))
