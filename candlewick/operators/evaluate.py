@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from candlewick.functions.series import ratio
 from candlewick.operators import factors as X
-from candlewick.operators.ranks import exact_quantiles, spearman
+from candlewick.operators.ranks import grouped_quantiles, spearman
 from candlewick.session import cut, small
 
 YEAR = 252
@@ -23,11 +23,13 @@ def long_short_metrics(df: DataFrame, groups: list[str], signal: str = "signal",
     """Per group: Sharpe of top-tercile returns pooled with negated bottom-tercile
     returns, sign hit rate, mean top return.  Terciles are exact quantiles of the
     pooled signal."""
-    # read three times: for the cut points, the legs and the hits
+    # read four times: twice for the cut points, for the legs and the hits
     valid = cut(df.filter(F.col(signal).isNotNull() & F.col(ret).isNotNull()).select(*groups, signal, ret))
-    cuts = exact_quantiles(valid, groups, signal, {"p33": 0.33, "p67": 0.67})
-    # one row of cut points per group
-    rows = valid.join(small(cuts), groups)
+    cuts = grouped_quantiles(valid, groups, [signal], [0.33, 0.67])
+    cuts = cuts.select(*groups, F.col(f"{signal}_q")[0].alias("p33"), F.col(f"{signal}_q")[1].alias("p67"))
+    # one row of cut points per group, written down so that its true size decides on the join: a
+    # shuffle by a few groups would leave a few tasks with all rows
+    rows = valid.join(small(cut(cuts)), groups)
     sig, r = F.col(signal), F.col(ret)
     # mean and deviation of {top returns} + {-bottom returns} from moments
     top, bottom = sig >= F.col("p67"), sig <= F.col("p33")
@@ -138,7 +140,25 @@ def _event_drawdown(df: DataFrame, bins: int | None = None) -> DataFrame:
     df = df.withColumn("_d", F.col("_c") - F.max("_c").over(inside))
     per_code = df.groupBy("horizon", "ts_code").agg(
         F.sum(F.log1p("ret")).alias("_p"), F.max("_c").alias("_m"), F.min("_c").alias("_l"), F.min("_d").alias("_d"))
-    n = bins or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _drawdown_of_codes(per_code, bins)
+
+
+def _wide_drawdown(fired: DataFrame, horizons: list[int], bins: int | None = None) -> DataFrame:
+    """The same of events with a column ``ret_t<h>`` per horizon: an event is sorted once for all horizons."""
+    inside = Window.partitionBy("ts_code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    # an event without a return leaves the sum as it is
+    df = fired.select("ts_code", "trade_date", *[F.log1p(f"ret_t{h}").alias(f"_g{h}") for h in horizons])
+    df = df.withColumns({f"_c{h}": F.sum(f"_g{h}").over(inside) for h in horizons})
+    df = df.withColumns({f"_d{h}": F.col(f"_c{h}") - F.max(f"_c{h}").over(inside) for h in horizons})
+    parts = [F.struct(F.lit(h).alias("horizon"), F.sum(f"_g{h}").alias("_p"), F.max(f"_c{h}").alias("_m"), F.min(f"_c{h}").alias("_l"), F.min(f"_d{h}").alias("_d"))
+             for h in horizons]
+    per_code = df.groupBy("ts_code").agg(F.array(*parts).alias("_parts")).select("ts_code", F.explode("_parts").alias("s")).select("s.horizon", "ts_code", "s._p", "s._m", "s._l", "s._d")
+    return _drawdown_of_codes(per_code.filter("_p IS NOT NULL"), bins)
+
+
+def _drawdown_of_codes(per_code: DataFrame, bins: int | None = None) -> DataFrame:
+    """Largest drawdown per horizon from the stretches of codes."""
+    n = bins or int(per_code.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(per_code.repartitionByRange(n, "horizon", "ts_code").withColumn("_bin", F.spark_partition_id()))
     ranges = _stretches_joined(placed, ["horizon", "_bin"], "ts_code")
     whole = _stretches_joined(ranges, ["horizon"], "_bin")
@@ -152,6 +172,12 @@ def horizon_statistics(long: DataFrame, min_events: int = 5) -> DataFrame:
     divide by are null.
     """
     df = cut(long.filter(F.col("ret").isNotNull()))
+    return _statistics(df, _event_drawdown(df), min_events)
+
+
+def _statistics(df: DataFrame, drawdown: DataFrame, min_events: int) -> DataFrame:
+    """Statistics of the returns ``ret``, none of them null, per horizon, beside the ``drawdown`` of each.
+    Medians by ranges of values, counted before any shuffle."""
     r = F.col("ret")
     agg = df.groupBy("horizon").agg(
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"), F.avg((r > 0).cast("int")).alias("win_rate"),
@@ -161,8 +187,8 @@ def horizon_statistics(long: DataFrame, min_events: int = 5) -> DataFrame:
     agg = agg.withColumns({"sharpe": annual_sharpe(F.col("mean"), F.col("std")),
                            "sortino": annual_sharpe(F.col("mean"), F.col("_down")),
                            "profit_factor": ratio("_won", "_lost")})
-    agg = agg.join(exact_quantiles(df, ["horizon"], "ret", {"median": 0.5}), "horizon")
-    agg = agg.join(_event_drawdown(df), "horizon").drop("_down", "_won", "_lost")
+    agg = agg.join(grouped_quantiles(df, ["horizon"], ["ret"], [0.5]).select("horizon", F.col("ret_q")[0].alias("median")), "horizon")
+    agg = agg.join(drawdown, "horizon").drop("_down", "_won", "_lost")
     values = [c for c in agg.columns if c not in ("horizon", "n")]
     return agg.select("horizon", "n", *[F.when(F.col("n") >= min_events, F.col(c)).alias(c) for c in values])
 
@@ -186,8 +212,13 @@ def signal_events(panel: DataFrame, horizons: list[int], signal: str = "signal",
 
 
 def holding_curve(panel: DataFrame, longest: int = 20, signal: str = "signal") -> DataFrame:
-    """Event statistics after 1..longest bars."""
-    return horizon_statistics(event_returns(panel, list(range(1, longest + 1)), signal))
+    """Event statistics after 1..longest bars.  Events are written once, with a column per
+    horizon; their returns become rows only on the way into sums per horizon."""
+    horizons = list(range(1, longest + 1))
+    fired = X.forward_returns(panel, horizons).filter(F.abs(F.col(signal)) > 0)
+    fired = cut(fired.select("ts_code", "trade_date", *[f"ret_t{h}" for h in horizons]))
+    long = X.long_horizons(fired, horizons, []).filter("ret IS NOT NULL")
+    return _statistics(long, _wide_drawdown(fired, horizons), 5)
 
 
 def holdout_gate(trials: DataFrame, min_signals: int = 15, max_ratio: float = 5.0) -> DataFrame:

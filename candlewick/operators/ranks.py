@@ -44,22 +44,27 @@ def average_ranks(df: DataFrame, group: list[str], values: list[str], bins: int
     Rows are first collapsed to distinct combinations with a count ``n_rows``;
     weigh by it when aggregating.
     """
-    out = df.groupBy(*group, *values).agg(F.count(F.lit(1)).alias("n_rows"))
+    out = _ranked(df.groupBy(*group, *values).agg(F.count(F.lit(1)).alias("n_rows")), df, group, values, bins)
+    return out.drop(*[f"_all_{v}" for v in values])
+
+
+def _ranked(out: DataFrame, df: DataFrame, group: list[str], values: list[str], bins: int | None) -> DataFrame:
+    """``out`` with ``rank_<value>`` and ``_all_<value>``, the rows of the group, from those of ``df``."""
     for v in values:
         places = value_positions(df, group, v, bins)
         rank = F.col("n_below") + (F.col("n_equal") + 1) / 2
-        out = out.join(places.select(*group, v, rank.alias(f"rank_{v}")), [*group, v])
+        out = out.join(places.select(*group, v, rank.alias(f"rank_{v}"), F.col("n_all").alias(f"_all_{v}")), [*group, v])
     return out
 
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str, out: str = "ic", bins: int | None = None) -> DataFrame:
     """Rank correlation per group over rows where both are present."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = average_ranks(both, group, [x, y], bins)
+    # no join on the group alone: a few groups would leave a few tasks with all rows
+    ranks = both.groupBy(*group, x, y).agg(F.count(F.lit(1)).alias("n_rows"))
+    ranks = _ranked(ranks, both, group, [x, y], bins).withColumnRenamed(f"_all_{x}", "n_obs")
     n, a, b = F.col("n_rows"), F.col(f"rank_{x}"), F.col(f"rank_{y}")
     # ranks of n rows average (n+1)/2 exactly: centre before summing
-    size = both.groupBy(*group).agg(F.count(F.lit(1)).alias("n_obs"))
-    ranks = ranks.join(size, group) if group else ranks.crossJoin(F.broadcast(size))
     mid = (F.col("n_obs") + 1) / 2
     sums = ranks.groupBy(*group).agg(
         F.sum(n * (a - mid) * (b - mid)).alias("_ab"), F.sum(n * (a - mid) * (a - mid)).alias("_aa"),

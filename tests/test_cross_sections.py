@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -256,3 +257,37 @@ def test_running_score(spark):
     np.testing.assert_allclose(got["signal"][:n], want)
     assert got["signal"][n + 2:].tolist() == [2.0, 3.0, 4.0]
     assert signals.running_score(df.limit(0), Sum()).collect() == []
+
+
+def test_rank_correlation_has_no_join_on_the_group_alone(spark):
+    df = spark.createDataFrame([(g, float(i % 17), float(i * 7 % 11)) for g in (1, 2, 3) for i in range(60)], "g int, x double, y double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ranks.spearman(df, ["g"], "x", "y")
+        joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", out._jdf.queryExecution().executedPlan().toString())
+        assert joins and all("," in keys for keys in joins)
+        got = out.toPandas().set_index("g")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    for g, part in df.toPandas().groupby("g"):
+        assert math.isclose(got.loc[g, "ic"], part["x"].rank().corr(part["y"].rank()), rel_tol=1e-9) and got.loc[g, "n_obs"] == 60
+
+
+def test_holding_curve_writes_events_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(f"c{c}", DAY + dt.timedelta(days=d), float(rng.integers(1, 9)) if rng.random() > 0.1 else None, float(rng.integers(-1, 2))) for c in range(4) for d in range(150)]
+    panel = spark.createDataFrame(rows, "ts_code string, trade_date date, close double, signal double")
+    want = {r["horizon"]: r for r in evaluate.horizon_statistics(evaluate.event_returns(panel, list(range(1, 21)))).collect()}
+    written, cut = [], evaluate.cut
+
+    def spy(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(evaluate, "cut", spy)
+    got = {r["horizon"]: r for r in evaluate.holding_curve(panel, 20).collect()}
+    assert max(written) <= len(rows) and set(got) == set(want) == set(range(1, 21))
+    for h, r in got.items():
+        assert all(r[c] == want[h][c] or math.isclose(r[c], want[h][c], rel_tol=1e-9, abs_tol=1e-12) for c in r.asDict())
