@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.store import saved
+from candlewick.llm.store import few, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,15 +14,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round every id tells its neighbours the smallest label it knows, and
     labels are then followed to their own label; rounds needed grow with the
     logarithm of the longest path.  All rows stay in Spark; a hot id's messages
-    are combined (min) before the shuffle.
+    are combined (min) before the shuffle.  Links of few documents go in few tasks,
+    so a round costs a cluster's disks no more files than it has rows for.
     """
     both = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    rows = both.count()
+    both = few(both, rows)
+    labels = saved(few(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), rows))
     while True:
-        seen = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        lower = labels.join(seen, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
+        seen = few(both.join(labels.withColumnsRenamed({"id": "b"}), "b").select("a", "component"), rows).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        lower = few(labels.join(seen, "id").select("id", F.least("component", "m").alias("component"), F.col("component").alias("was")), rows)
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        after = saved(lower.join(jump, "component").select("id", F.col("next").alias("component"), "was"))
+        after = saved(few(lower.join(jump, "component").select("id", F.col("next").alias("component"), "was"), rows))
         labels = after.select("id", "component")
         if after.filter("component <> was").isEmpty():
             return labels

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
 from candlewick.llm.crowds import between_components, by_leader, shingles_of
-from candlewick.llm.store import bit_filter, found, saved, texts, without
+from candlewick.llm.store import bit_filter, dealt, found, repeated, saved, texts, without
 from candlewick.llm.textkit import ids, mix, shingle_sets, signed, slices
 
 FRAGMENTS = 4  # of the overlap count
@@ -107,7 +107,7 @@ def _describe(k: int):
 
 
 def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
-    """Keys of the documents the filter ``nodes`` has; with a filter of keys only
+    """Keys of the documents the filter ``nodes`` has, to be counted; with a filter of keys only
     those in it, whose they are, and how many fragments nobody else has (``alone``).
     A document with more of those in a class than may differ has no partner there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
                 owner, value = owner[take], value[take]
                 doc, key, klass, filled, differ = fragment_keys(owner, value, hi - lo, percent)
                 if words is None:
-                    yield pa.record_batch([signed(key)], names=["key"])
+                    yield dealt(key)
                     continue
                 use = found(words, key)
                 part = doc * 1000 + klass + 1  # there are a few hundred classes at most
@@ -134,7 +134,7 @@ def _keys(k: int, percent: int, nodes: np.ndarray, words: np.ndarray | None):
 
 
 def _members(k: int, nodes: np.ndarray, shared: np.ndarray | None):
-    """Shingles of the documents the filter ``nodes`` has; with a filter of shared
+    """Shingles of the documents the filter ``nodes`` has, to be counted; with a filter of shared
     shingles how many of each document's are in no other (``lonely``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +146,7 @@ def _members(k: int, nodes: np.ndarray, shared: np.ndarray | None):
                 owner, value = shingle_sets(data, off, k)
                 take = wanted[owner]
                 if shared is None:
-                    yield pa.record_batch([signed(value[take])], names=["gram"])
+                    yield dealt(value[take])
                     continue
                 lonely = np.bincount(owner[take], ~found(shared, value[take]), minlength=hi - lo)
                 yield pa.record_batch([pa.array(ids_[lo:hi][wanted]), pa.array(lonely[wanted].astype(np.int32))], names=["id", "lonely"])
@@ -202,12 +202,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, filter_bi
     described = saved(docs.mapInArrow(_describe(k), "doc_id bigint, n_shingles bigint, node bigint"))
     nodes = saved(described.filter("node <> 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")))
     one = _id_filter(nodes)  # a copy that it lets through is compared like any other document
-    seen = docs.mapInArrow(_keys(k, percent, one, None), "key bigint").groupBy("key").count().filter("count > 1")
+    seen = repeated(docs.mapInArrow(_keys(k, percent, one, None), "part int, keys binary"))
     words = bit_filter(seen, "key", filter_bits)
     groups = saved(docs.mapInArrow(_keys(k, percent, one, words), "key bigint, id bigint, n int, own int, class int, filled int, alone int").distinct())
     rest_ = _id_filter(groups)
-    twice = docs.mapInArrow(_members(k, rest_, None), "gram bigint").groupBy("gram").count().filter("count > 1")
-    lonely = docs.mapInArrow(_members(k, rest_, bit_filter(twice, "gram", filter_bits)), "id bigint, lonely int").groupBy("id").agg(F.min("lonely").alias("lonely"))
+    twice = repeated(docs.mapInArrow(_members(k, rest_, None), "part int, keys binary"))
+    lonely = docs.mapInArrow(_members(k, rest_, bit_filter(twice, "key", filter_bits)), "id bigint, lonely int").groupBy("id").agg(F.min("lonely").alias("lonely"))
     # a link leaves room for (100 - percent) of 100 shingles that only one side has: who has more in no other document has no partner
     groups = saved(groups.drop("alone").join(lonely, "id").filter(F.col("lonely") * 100 <= F.col("n") * (100 - percent)))
     agreed = saved(groups.groupBy("id", "class").agg(F.collect_list("key").alias("keys"), F.max("filled").alias("filled")))

@@ -33,9 +33,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """``base ** 0 .. base ** n`` modulo 2**64."""
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out = np.ones(n + 1, np.uint64)
+    done, step = 1, int(base)
+    while done <= n:  # what is there, times the power that comes next
+        more = min(done, n + 1 - done)
+        np.multiply(out[:more], np.uint64(step), out=out[done:done + more])
+        done, step = done + more, step * step % (1 << 64)
+    return out
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +88,8 @@ class Words:
         self.blank = blank
         self.start = np.flatnonzero(~after & (before | edge))
         self.end = np.flatnonzero(~before & (after | edge))
-        self.doc = np.searchsorted(off, self.start, "right") - 1
         self.first = np.searchsorted(self.start, off)
+        self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
 
     def __len__(self) -> int:
         return len(self.start)
@@ -125,17 +129,19 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     words = Words(lower(data), off)
     hashes = words.hashes()
     n = words.counts()
-    doc, first = words.doc, words.first
-    at = np.flatnonzero(doc[:len(words) - k + 1] == doc[k - 1:]) if len(words) >= k else np.zeros(0, np.int64)
-    owner, value = [doc[at]], [windows(hashes, k)[at] if len(at) else np.zeros(0, np.uint64)]
+    short = (n > 0) & (n < k)
+    many = np.where(short, 1, np.maximum(0, n - k + 1))
+    begin = np.concatenate([[0], np.cumsum(many)])
+    owner = np.repeat(np.arange(len(n)), many)
+    value = np.empty(len(owner), np.uint64)
+    value[~short[owner]] = windows(hashes, k)[within(words, k)]
     for size in range(1, k):
-        short = np.flatnonzero(n == size)
-        if len(short):
-            owner.append(short)
-            value.append(windows(hashes, size)[first[short]] ^ np.uint64(size))
-    owner, value = np.concatenate(owner), np.concatenate(value)
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
+        some = np.flatnonzero(n == size)
+        if len(some):
+            value[begin[some]] = windows(hashes, size)[words.first[some]] ^ np.uint64(size)
+    several = np.flatnonzero(many > 1)
+    for b, e in zip(begin[several].tolist(), begin[several + 1].tolist(), strict=True):  # far faster than one sort by text and hash
+        value[b:e].sort()
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
     return owner[new], value[new]
