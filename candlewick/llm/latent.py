@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,9 @@ from candlewick.llm.textkit import Words, flat, ids, slices
 # letters and digits of any script make words here: punctuation separates, A-Z is lowered
 _AS_WORD = np.array([c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint8)
 
+_FIRST = 16    # bits of a term's hash by which it is looked up
 _STRIPES = 16  # of a matrix, each added up by itself
+_SLICE = 1 << 18  # bytes of text at once: numbers per byte and per word stay small beside the counts
 _GROUPS = 24   # of items' parts, looked at together first
 _DENSE = 4096  # terms of which pairs are counted in a matrix; more are multiplied passage by passage
 
@@ -65,9 +68,20 @@ class Items:
         vocabulary, number = np.unique(hashes, return_inverse=True)
         return Items(rows.column("item_id").to_pylist(), [number[a:b] for a, b in zip(words.first[:-1], words.first[1:])], vocabulary)
 
+    @cached_property
+    def _begin(self) -> tuple[np.ndarray, int]:
+        """For the first bits of a hash, the number of the first term that has them or higher ones; the most terms of the same."""
+        edges = np.searchsorted(self.vocabulary, np.arange(1 << _FIRST, dtype=np.uint64) << np.uint64(64 - _FIRST))
+        return edges, int(np.diff(edges, append=len(self.vocabulary)).max())
+
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each term, -1 for terms no item has."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        begin, most = self._begin
+        at = np.minimum(begin[(hashes >> np.uint64(64 - _FIRST)).astype(np.int64)], len(self.vocabulary) - 1)
+        off = np.flatnonzero(self.vocabulary[at] < hashes)  # of several that share their first bits, a later one
+        for _ in range(most - 1):
+            at[off] = np.minimum(at[off] + 1, len(self.vocabulary) - 1)
+            off = off[self.vocabulary[at[off]] < hashes[off]]
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
 
@@ -82,7 +96,7 @@ def _document_counts(items: Items):
         size = len(items.vocabulary)
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1)):
+            for lo, hi, data, off in slices(batch.column(1), _SLICE):
                 words = _words(data, off)
                 term = items.number(words.hashes())
                 known = term >= 0
@@ -162,46 +176,77 @@ def _product(items: Items, idf: np.ndarray, rare: float, right: np.ndarray, half
                     s = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
                     total[t[s]] += np.add.reduceat(reach[order], s, axis=0) * idf[t[s]][:, None]
         for i, rows in enumerate(np.array_split(total.astype(np.float64), _STRIPES)):
-            yield pa.record_batch([pa.array([i], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([count], pa.int64())], names=["stripe", "sum", "n"])
+            yield _summand(i, rows, count)
     return run
 
 
-def _pairs(term: np.ndarray, place: np.ndarray, before: np.ndarray, counts: np.ndarray) -> int:
-    """Add to ``counts`` (terms x terms, flat) the passages in which two words stand together, the
-    earlier word's term first; returns the most it may have added to one number.
+def _rows(size: int) -> np.ndarray:
+    """Where the rows of a symmetric matrix begin, of which only the part from the diagonal on is kept,
+    row after row, less the row's number: the number (a, b), a <= b, is at ``_rows(size)[a] + b``."""
+    row = np.arange(size, dtype=np.int64)
+    return row * size - row * (row + 1) // 2
+
+
+def _pairs(term: np.ndarray, place: np.ndarray, before: np.ndarray, counts: np.ndarray, row: np.ndarray) -> int:
+    """Add to ``counts`` (terms x terms, from the diagonal on, see :func:`_rows`) the passages in which two
+    words stand together; returns the most it may have added to one number.
 
     ``place`` numbers the half passage of each word, with a gap between texts, ``before``
     tells which words' halves follow one of the same text: those are in two passages.  A
     passage is two halves, so words of one half share all its passages, those of neighbours one."""
-    size, most = int(np.sqrt(len(counts))), 0
+    most = 0
+    begin = row[term].astype(np.int32)
+    term, place, many = term.astype(np.int32), place.astype(np.int32), np.where(before, 2, 1).astype(counts.dtype)
     for apart in range(1, len(term)):
         gap = place[apart:] - place[:-apart]
-        near = np.flatnonzero(gap <= 1)
-        if not len(near):
+        near = gap <= 1
+        if not near.any():
             break
-        times = np.where((gap[near] == 0) & before[near], 2, 1).astype(counts.dtype)
-        np.add.at(counts, term[near] * size + term[near + apart], times)
-        most += 2 * len(near)
+        # of the two ways to put a pair's terms, the one with the lower first is the smaller
+        at = np.minimum(begin[:-apart] + term[apart:], begin[apart:] + term[:-apart])[near]
+        np.add.at(counts, at, np.where(gap == 0, many[:-apart], many.dtype.type(1))[near])
+        most += 2 * len(at)
     return most
 
 
-def _together(items: Items, half: int):
+def _whole(x: np.ndarray) -> tuple[bytes, int]:
+    """Whole numbers from 0 on in as few bytes each as hold them all, and how many those are."""
+    kind = next(k for k in (np.uint16, np.int32, np.int64) if x.max(initial=0) <= np.iinfo(k).max)
+    return x.astype(kind).tobytes(), np.dtype(kind).itemsize
+
+
+def _numbers(raw: pa.Scalar, each: int) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), {2: np.uint16, 4: np.int32, 8: np.int64}[each])
+
+
+_COUNTED = "stripe int, sum binary, each int, n bigint"
+
+
+def _stripe(i: int, x: np.ndarray, n: int) -> pa.RecordBatch:
+    raw, each = _whole(x)
+    return pa.record_batch([pa.array([i], pa.int32()), pa.array([raw], pa.binary()), pa.array([each], pa.int32()), pa.array([n], pa.int64())], names=["stripe", "sum", "each", "n"])
+
+
+def _together(items: Items, half: int, stripes: int):
     """Over passages of a task: the numbers of times two terms stand together, N = A'A for passages A
-    of plain counts, in stripes of rows; and, as one stripe more, the documents that have each term."""
+    of plain counts, in stripes of rows; and, as stripe -1, the documents that have each term."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(items.vocabulary)
-        counts, own, docs = np.zeros(size * size, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        row = _rows(size)
+        # N is symmetric: half of it is kept.  The diagonal has pairs of words of one term, and their own passages apart
+        counts, own, docs = np.zeros(size * (size + 1) // 2, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64)
         n = held = 0
 
         def out():
-            both = counts.reshape(size, size)
-            both = both + both.T  # at most twice a number of which ``held`` is the bound
-            both[np.arange(size), np.arange(size)] += own.astype(np.int32)
-            for i, rows in enumerate([*np.array_split(both, _STRIPES), docs]):
-                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([rows.astype(np.int64 if i == _STRIPES else np.int32).tobytes()], pa.binary()), pa.array([n if i == 0 else 0], pa.int64())], names=["stripe", "sum", "n"])
+            every = np.arange(size)
+            for i, here in enumerate(np.array_split(every, stripes)):
+                both = counts[row[np.minimum.outer(here, every)] + np.maximum.outer(here, every)]
+                both[np.arange(len(here)), here] = 2 * both[np.arange(len(here)), here] + own[here]  # of which ``held`` is the bound
+                yield _stripe(i, both, n if i == 0 else 0)
+            yield _stripe(-1, docs, 0)
 
         for batch in batches:
-            for lo, hi, data, off in slices(batch.column(1)):
+            for lo, hi, data, off in slices(batch.column(1), _SLICE):
                 words = _words(data, off)
                 part, begin = _halves(words, half)
                 if not len(begin):
@@ -215,7 +260,7 @@ def _together(items: Items, half: int):
                 before = follows[part[known]]
                 own += np.bincount(t, 1 + before, minlength=size).astype(np.int64)
                 n += len(begin)
-                held += _pairs(t.astype(np.int32), (part[known] + doc).astype(np.int32), before, counts) + 2 * len(known)
+                held += _pairs(t, part[known] + doc, before, counts, row) + 2 * len(known)
                 if held > 1 << 29:  # before a number can leave 32 bits
                     yield from out()
                     counts[:], own[:], docs[:], n, held = 0, 0, 0, 0, 0
@@ -224,41 +269,53 @@ def _together(items: Items, half: int):
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the stripes of whole numbers of a partition; a sum that 32 bits do not hold gets 64."""
+    """Sums of the stripes of whole numbers of a partition."""
     sums: dict[int, np.ndarray] = {}
     counts: dict[int, int] = {}
     for batch in batches:
-        for i, raw, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            one = np.frombuffer(raw.as_buffer(), np.int64 if i == _STRIPES else np.int32)
+        for i, raw, each, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            one = _numbers(raw, each)
             if i not in sums:
                 sums[i] = np.zeros(len(one), np.int64)
             sums[i] += one
             counts[i] = counts.get(i, 0) + n
     for i, x in sums.items():
-        wide = i == _STRIPES or x.max(initial=0) >= 1 << 31
-        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([x.astype(np.int64 if wide else np.int32).tobytes()], pa.binary()), pa.array([counts[i]], pa.int64()), pa.array([wide])],
-                              names=["stripe", "sum", "n", "wide"])
+        yield _stripe(i, x, counts[i])
 
 
-def _counted(docs: DataFrame, items: Items, s: Settings) -> DataFrame:
-    """Rows of N (:func:`_together`) of all documents in stripes, and the documents that have each term."""
-    tasks = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_together(items, s.half), "stripe int, sum binary, n bigint")
-    return saved(tasks.repartition(_STRIPES, "stripe").mapInArrow(_add_counts, "stripe int, sum binary, n bigint, wide boolean"))
+def _counted(docs: DataFrame, items: Items, s: Settings) -> tuple[DataFrame, int]:
+    """Rows of N (:func:`_together`) of all documents in stripes, and the documents that have each term; the
+    number of stripes.  There are more of them than tasks that count, so that what one task adds up stays as small
+    on more cores."""
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    stripes = 4 * max(_STRIPES, tasks)
+    counts = docs.coalesce(tasks).mapInArrow(_together(items, s.half, stripes), _COUNTED)
+    return saved(counts.repartition(stripes, "stripe").mapInArrow(_add_counts, _COUNTED)), stripes
 
 
-def _times(idf: np.ndarray, right: np.ndarray, gram: bool):
+def _summand(i: int, x: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["stripe", "sum", "n"])
+
+
+def _times(idf: np.ndarray, right: np.ndarray, gram: bool, stripes: int):
     """As :func:`_product`, from the stripes of N: with D the idf on a diagonal, A'A = D N D."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, k = right.shape
         rows = right * idf[:, None]
-        edges = np.cumsum([0, *[len(x) for x in np.array_split(idf, _STRIPES)]])
+        edges = np.cumsum([0, *[len(x) for x in np.array_split(idf, stripes)]])
+        total, count = np.zeros((k, k)), 0
         for batch in batches:
-            for i, raw, n, wide in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for i, raw, each, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 here = slice(edges[i], edges[i + 1])
-                part = np.frombuffer(raw.as_buffer(), np.int64 if wide else np.int32).reshape(-1, size).astype(np.float64) @ rows
-                sums = [(j, x) for j, x in enumerate(np.array_split(rows[here].T @ part, _STRIPES))] if gram else [(i, part * idf[here, None])]
-                for j, x in sums:
-                    yield pa.record_batch([pa.array([j], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([n if i == 0 else 0], pa.int64())], names=["stripe", "sum", "n"])
+                part = _numbers(raw, each).reshape(-1, size).astype(np.float64) @ rows
+                if gram:
+                    total += rows[here].T @ part
+                    count += n
+                else:
+                    yield _summand(i, part * idf[here, None], n)
+        if gram:
+            for i, x in enumerate(np.array_split(total, _STRIPES)):
+                yield _summand(i, x, count)
     return run
 
 
@@ -282,7 +339,7 @@ def _summed(docs: DataFrame, run, shape: tuple[int, int]) -> tuple[np.ndarray, i
     stripes = {row["stripe"]: row for row in tasks.repartition(_STRIPES, "stripe").mapInArrow(_add, schema).collect()}
     if not stripes:
         return np.zeros(shape), 0
-    return np.concatenate([np.frombuffer(stripes[i]["sum"], np.float64) for i in range(_STRIPES)]).reshape(shape), stripes[0]["n"]
+    return np.concatenate([np.frombuffer(stripes[i]["sum"], np.float64) for i in sorted(stripes)]).reshape(shape), stripes[0]["n"]
 
 
 @dataclass(frozen=True)
@@ -347,8 +404,10 @@ def fit(docs: DataFrame, items: Items, s: Settings) -> Space:
     if counted is None:
         df = _term_documents(docs, items)
     else:
-        df = np.frombuffer(counted.filter(F.col("stripe") == _STRIPES).first()["sum"], np.int64).astype(float)
-        counted = counted.filter(F.col("stripe") < _STRIPES)
+        counted, stripes = counted
+        row = counted.filter("stripe = -1").first()
+        df = _numbers(pa.scalar(bytes(row["sum"]), pa.binary()), row["each"]).astype(float)
+        counted = counted.filter("stripe >= 0")
     idf = np.log((total + 1) / (df + 1)) + 0.1
     common = df > max(20, s.common * total)
     rare = float(np.log(10))  # as of a term in a tenth of the documents: foreign words around an item shall not drown it
@@ -358,7 +417,7 @@ def fit(docs: DataFrame, items: Items, s: Settings) -> Space:
         shape = (right.shape[1] if gram else size, right.shape[1])
         if counted is None:
             return _summed(docs, _product(items, idf, rare, right, s.half, gram), shape)
-        return _summed(counted, _times(idf, right, gram), shape)
+        return _summed(counted, _times(idf, right, gram, stripes), shape)
 
     parts = _parts(items, 4 * s.half)
     a = _Weights.of([t for _, t in parts], idf)

@@ -10,12 +10,14 @@ memory does not depend on the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 2 << 20
+KEPT = (1 << 18) + 4096  # powers that a process keeps, of each base: those of slices of 256 kB
 _P, _G = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _PI, _GI = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (_P, _G))
 
@@ -32,7 +34,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** n`` modulo 2**64."""
+    """``base ** 0 .. base ** n`` modulo 2**64, not to be written to."""
+    return _first_powers(int(base))[:n + 1] if n < KEPT else _powers(base, n)
+
+
+@cache
+def _first_powers(base: int) -> np.ndarray:
+    return _powers(np.uint64(base), KEPT - 1)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.ones(n + 1, np.uint64)
     done, step = 1, int(base)
     while done <= n:  # what is there, times the power that comes next

@@ -1,12 +1,14 @@
 """What near-duplicate queries send and write: rows, pairs and files."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
-from candlewick.llm import forest, jaccard
+from candlewick.llm import forest, jaccard, latent
 from candlewick.llm.components import components
 from candlewick.llm.store import PARTS, dealt, repeated
-from candlewick.llm.textkit import flat, mix, shingle_sets
+from candlewick.llm.textkit import Words, flat, mix, shingle_sets
 
 
 def test_hashes_are_counted_in_parts(spark):
@@ -63,3 +65,52 @@ def test_shingles_of_short_and_empty_texts():
     owner, value = shingle_sets(data, off, 5)
     assert np.bincount(owner, minlength=9).tolist() == [0, 0, 1, 1, 1, 1, 0, 7, 1]
     assert all((np.diff(value[owner == d]) > 0).all() for d in range(9)) and (np.diff(owner) >= 0).all()
+
+
+def _vocabulary(n):
+    return latent.Items.of(pa.table({"item_id": pa.array([1]), "text": pa.array([" ".join(f"v{i}" for i in range(n)).encode()])}))
+
+
+def _texts(texts):
+    return pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], names=["doc_id", "text"])
+
+
+def test_counts_of_terms_together_take_half_a_matrix():
+    """A task that counts has half the symmetric matrix and small stripes; what it sends are all passages' counts."""
+    size, rng = 3000, np.random.default_rng(2)
+    items = _vocabulary(size)
+    texts = [" ".join(f"v{int(x)}" for x in size * rng.random(200) ** 3) for _ in range(3000)] + ["v1 " * 70_000]
+    batch = _texts(texts)
+    list(latent._together(items, 16, 64)([_texts(["v1 v2"])]))
+    tracemalloc.start()
+    sums = {}
+    for out in latent._together(items, 16, 64)([batch]):
+        row = out.to_pylist()[0]
+        sums[row["stripe"]] = latent._numbers(out.column(1)[0], row["each"]).astype(np.int64)
+        assert len(row["sum"]) <= 4 * size * -(-size // 64)
+        if len(sums) == 1:
+            peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * size * size
+    got = np.concatenate([sums[i] for i in range(64)]).reshape(size, size)
+    number = items.number(Words(*flat(pa.array([f"v{i}".encode() for i in range(size)]))).hashes())
+    want, docs = np.zeros((size, size), np.int64), np.zeros(size, np.int64)
+    for text in texts:
+        term = number[[int(w[1:]) for w in text.split()]]
+        docs[np.unique(term)] += 1
+        if len(term) > 1000:
+            times = sum(min(32, len(term) - at) ** 2 for at in range(0, len(term), 16))
+            want[term[0], term[0]] += times
+            continue
+        for at in range(0, len(term), 16):
+            some, many = np.unique(term[at:at + 32], return_counts=True)
+            want[np.ix_(some, some)] += np.outer(many, many)
+    assert got.max() > np.iinfo(np.uint16).max and np.array_equal(got, want) and np.array_equal(sums[-1], docs)
+
+
+def test_terms_are_found_by_the_first_bits_of_their_hashes():
+    some = np.array([0, 1, 2, 5, 1 << 48, (1 << 48) + 7, (1 << 48) + 8, 3 << 62, 2**64 - 2, 2**64 - 1], np.uint64)
+    for vocabulary in (some, some[:1], some[3:5], some[-1:]):
+        asked = np.unique(np.concatenate([some, some + np.uint64(1), some - np.uint64(1), mix(np.arange(1000, dtype=np.uint64))]))
+        want = [list(vocabulary).index(x) if x in vocabulary else -1 for x in asked]
+        assert latent.Items([1], [np.arange(len(vocabulary))], vocabulary).number(asked).tolist() == want
