@@ -469,18 +469,34 @@ def shares(item: np.ndarray, common: np.ndarray, text: np.ndarray, least: float
     return share, common_subsequence(tail, text) / len(tail) if share >= least else 0.0
 
 
-def _dim(space: Space, s: Settings) -> list[tuple[int, np.ndarray, int]]:
-    """Items half or more of whose words are common, as a very widespread item's are: they weigh
-    little, so whatever stands around one may hide it from the cosine.  Each with its terms that
-    are looked for (a flag per term, the last for terms no item has) and how many must be there."""
-    out = []
-    for i, item in enumerate(space.items.terms):
-        if 2 * np.count_nonzero(space.common[item]) >= len(item):
-            told = checked(item, space.common)
-            flag = np.zeros(len(space.common) + 1, bool)
-            flag[told] = True
-            out.append((i, flag, int(np.ceil(min(s.share, s.sure) * len(told) - 1e-9))))
-    return out
+class _Wanted:
+    """What the word check looks for of each item: ``terms``, and ``least``, how many words
+    of these a text must have at least, whatever their order, to be found."""
+
+    def __init__(self, space: Space, s: Settings):
+        told = [checked(t, space.common) for t in space.items.terms]
+        self.terms = [np.unique(t) for t in told]
+        self.least = [max(1, int(np.ceil(min(s.share, s.sure) * len(t) - 1e-9))) for t in told]
+        # items half or more of whose words are common, as a very widespread item's are: they weigh
+        # little, so whatever stands around one may hide it from the cosine
+        self.dim = {i for i, t in enumerate(space.items.terms) if 0 < len(t) <= 2 * np.count_nonzero(space.common[t])}
+
+
+class _At:
+    """The words of some texts at which each item's wanted terms are."""
+
+    def __init__(self, wanted: _Wanted, term: np.ndarray, size: int):
+        known = np.flatnonzero(term >= 0)
+        self.terms, self.word = wanted.terms, known[np.argsort(term[known], kind="stable")]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term[known], minlength=size))])
+
+    def __getitem__(self, item: int) -> np.ndarray:
+        return np.sort(np.concatenate([self.word[self.begin[t]:self.begin[t + 1]] for t in self.terms[item]]))
+
+
+def _between(at: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of the words ``at`` lie in each stretch."""
+    return np.searchsorted(at, end) - np.searchsorted(at, first)
 
 
 def _places(told: dict[tuple[int, int], float], begin: np.ndarray, low: np.ndarray, high: np.ndarray, size: np.ndarray, s: Settings) -> Iterator[tuple[int, int, int, float]]:
@@ -519,7 +535,7 @@ def _sums(part: np.ndarray, term: np.ndarray, wanted: np.ndarray, joined: np.nda
 
 def _search(space: Space, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dim = _dim(space, s)
+        wanted = _Wanted(space, s)
         # what one occurrence of a term adds to the product with each part of an item, and the
         # most it adds to that with any part of a group of parts
         adds = space.basis @ space.points.T
@@ -547,20 +563,36 @@ def _search(space: Space, s: Settings):
                 maybe = np.flatnonzero((upper + 1e-3 * (1 + np.abs(upper)) >= s.cosine * norm) & (norm > 0))
                 near = _sums(part, term, maybe, joined, adds) / norm[maybe][:, None]
                 at, item = np.nonzero(near >= s.cosine)
-                told: dict[tuple[int, int], float] = {}
-                for p, i, c in zip(maybe[at].tolist(), space.part_of[item].tolist(), near[at, item].tolist()):
-                    told[p, i] = max(told.get((p, i), c), c)
                 low, high = words.first[words.doc[begin]], words.first[words.doc[begin] + 1]
-                for i, flag, least in dim:
-                    # so many of its words in reach are needed for a common subsequence as long
-                    count = np.concatenate([[0], np.cumsum(flag[term])])
-                    enough = np.flatnonzero(count[np.minimum(high, begin + 2 * s.half + size[i])] - count[np.maximum(low, begin - size[i])] >= least)
-                    more = _sums(part, term, enough, joined, adds[:, space.part_of == i])
-                    for p, c in zip(enough.tolist(), more.max(axis=1, initial=-np.inf).tolist()):
-                        told.setdefault((p, i), c / max(float(norm[p]), 1e-12))
+                passage, item, near = maybe[at], space.part_of[item], near[at, item]
+                order = np.argsort(item, kind="stable")
+                edges = np.searchsorted(item[order], np.arange(len(size) + 1))
+                where = _At(wanted, term, len(adds))
+                told: dict[tuple[int, int], float] = {}
+                long: dict[int, np.ndarray] = {}
+                for i, least in enumerate(wanted.least):
+                    some = order[edges[i]:edges[i + 1]]
+                    if not len(some) and i not in wanted.dim:
+                        continue
+                    has, length = where[i], int(size[i])
+                    # what is compared word by word has too few of the item's words where these are so few in reach
+                    reach = lambda p: _between(has, np.maximum(low[p], begin[p] - length), np.minimum(high[p], begin[p] + 2 * s.half + length))  # noqa: B023, E731
+                    if length > 4 * s.half:  # its places reach further
+                        long[i] = has
+                    else:
+                        some = some[reach(passage[some]) >= least]
+                    for p, c in zip(passage[some].tolist(), near[some].tolist()):
+                        told[p, i] = max(told.get((p, i), c), c)
+                    if i in wanted.dim and (has[least - 1:] - has[:max(0, len(has) - least + 1)] < 2 * (s.half + length)).any():
+                        enough = np.flatnonzero(reach(np.arange(len(begin))) >= least)
+                        more = _sums(part, term, enough, joined, adds[:, space.part_of == i])
+                        for p, c in zip(enough.tolist(), more.max(axis=1, initial=-np.inf).tolist()):
+                            told.setdefault((p, i), c / max(float(norm[p]), 1e-12))
                 found: dict[tuple[int, int], tuple[float, float, float]] = {}
                 for i, first, end, c in _places(told, begin, low, high, size, s):
                     d = words.doc[first]
+                    if i in long and _between(long[i], first, end) < wanted.least[i]:
+                        continue
                     share, answer = shares(space.items.terms[i], space.common, term[first:end], s.share)
                     if share >= s.sure or (share >= s.share and answer >= s.answer):
                         key = (int(d), i)

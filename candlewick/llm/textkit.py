@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 2 << 20
-KEPT = (1 << 18) + 4096  # powers that a process keeps, of each base: those of slices of 256 kB
+KEPT = (1 << 19) + 4096  # powers that a process keeps, of each base: those of slices of 512 kB
 _P, _G = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _PI, _GI = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (_P, _G))
 

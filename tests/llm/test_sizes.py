@@ -114,3 +114,25 @@ def test_terms_are_found_by_the_first_bits_of_their_hashes():
         asked = np.unique(np.concatenate([some, some + np.uint64(1), some - np.uint64(1), mix(np.arange(1000, dtype=np.uint64))]))
         want = [list(vocabulary).index(x) if x in vocabulary else -1 for x in asked]
         assert latent.Items([1], [np.arange(len(vocabulary))], vocabulary).number(asked).tolist() == want
+
+
+def test_only_places_with_enough_of_an_items_words_are_compared(spark, monkeypatch):
+    """Near passages that lack an item's words are not compared word by word; items without words are found nowhere."""
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(f"v{int(x)}" for x in 400 * rng.random(n) ** 2)
+    texts = [word(int(rng.integers(20, 70))) for _ in range(38)] + ["...", word(300)]
+    rows = pa.table({"item_id": pa.array(range(40)), "text": pa.array([t.encode() for t in texts], pa.binary())})
+    docs = [word(80) for _ in range(400)] + [f"{word(30)} {texts[i]} {word(30)}" for i in range(40)]
+    frame = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(docs)], "doc_id bigint, text binary")
+    space = latent.fit(frame, latent.Items.of(rows), latent.Settings())
+    seen, shares = [], latent.shares
+
+    def spy(item, common, text, least=0.0):
+        told = latent.checked(item, common)
+        seen.append(np.isin(text, told).sum() / len(told))
+        return shares(item, common, text, least)
+
+    monkeypatch.setattr(latent, "shares", spy)
+    found = {(r["doc_id"], r["item_id"]) for b in latent._search(space, latent.Settings())([_texts(docs)]) for r in b.to_pylist()}
+    assert {(400 + i, i) for i in range(40) if i != 38} <= found and not any(i == 38 for _, i in found)
+    assert len(seen) >= 39 and min(seen) >= 0.6 - 1e-9
