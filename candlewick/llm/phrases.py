@@ -146,17 +146,35 @@ def _survivors(threshold: int):
     return run
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in their order, a place of each and how often each is there."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[edge], order[edge], np.diff(edge, append=len(keys))
+
+
+def added(held: dict, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Add the counts of sorted, different keys to those held, which stay sorted: what
+    is held is neither sorted nor hashed again.  Returns which keys were not held."""
+    place = np.searchsorted(held["key"], key)
+    new = place == len(held["key"])
+    new[~new] = held["key"][place[~new]] != key[~new]
+    held["count"][place[~new]] += count[~new]
+    held["key"] = np.insert(held["key"], place[new], key[new])
+    held["count"] = np.insert(held["count"], place[new], count[new])
+    return new
+
+
 def _counted(longest: int, words: np.ndarray):
     """Exact occurrences of the sequences in the filter, with their words."""
     def rows(held: dict) -> pa.RecordBatch:
-        key, which = np.unique(np.concatenate(held["key"]), return_inverse=True)
-        total = np.bincount(which, np.concatenate(held["count"]), len(key)).astype(np.int64)
-        place = np.searchsorted(key, np.concatenate(held["named"]))
-        return pa.record_batch([pa.concat_arrays(held["lang"]), pa.concat_arrays(held["phrase"]), pa.array(np.concatenate(held["size"]).astype(np.int32)), pa.array(total[place])],
+        place = np.searchsorted(held["key"], np.concatenate(held["named"]))
+        return pa.record_batch([pa.concat_arrays(held["lang"]), pa.concat_arrays(held["phrase"]), pa.array(np.concatenate(held["size"]).astype(np.int32)), pa.array(held["count"][place])],
                                names=["lang", "phrase", "size", "f"])
 
     def fresh() -> dict:
-        return {"key": [], "count": [], "named": [], "lang": [], "phrase": [], "size": [], "seen": np.zeros(0, np.uint64)}
+        return {"key": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64), "named": [], "lang": [], "phrase": [], "size": []}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = fresh()
@@ -169,20 +187,17 @@ def _counted(longest: int, words: np.ndarray):
                 use = np.flatnonzero(found(words, key))
                 if not len(use):
                     continue
-                key, first, count = np.unique(key[use], return_index=True, return_counts=True)
-                held["key"].append(key)
-                held["count"].append(count)
-                new = ~np.isin(key, held["seen"], assume_unique=True)
-                which = use[first[new]]
+                key, where, count = _distinct(key[use])
+                new = added(held, key, count)
+                which = use[where[new]]
                 held["lang"].append(langs.take(pa.array(lo + grams.words.doc[grams.at[which]])))
                 held["phrase"].append(grams.phrases(which))
                 held["size"].append(grams.size[which])
                 held["named"].append(key[new])
-                held["seen"] = np.union1d(held["seen"], key[new])
-                if len(held["seen"]) >= HELD:
+                if len(held["key"]) >= HELD:
                     yield rows(held)
                     held = fresh()
-        if held["key"]:
+        if held["named"]:
             yield rows(held)
     return run
 

@@ -149,3 +149,47 @@ def test_survivors_of_a_partition():
 
     table = pa.table({"part": [0, 0], "mass": [14, 13], "keys": [[1, 2, 3], [1, 4]], "counts": pa.array([[9, 3, 2], [1, 12]], pa.list_(pa.int32()))})
     assert set(phrases._survivors(10)(table).column("key").to_pylist()) >= {1, 4}
+
+
+def counted_rows(table, langs, words):
+    """Rows of the second pass over texts, and the CPU seconds of it and of hashing their sequences alone."""
+    import time
+
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(table, pa.binary()), pa.array(langs)], names=["text", "lang"])
+    t0 = time.process_time()
+    out = list(phrases._counted(3, words)([batch]))
+    t1 = time.process_time()
+    for lo, hi, data, off in phrases.slices(batch.column(0), phrases.SLICE):
+        phrases._Grams(data, off, 3).keys(phrases._tags(langs[lo:hi]))
+    return out, t1 - t0, time.process_time() - t1
+
+
+@pytest.mark.parametrize("held", [50, 1 << 20])
+def test_second_pass_counts_over_many_slices(monkeypatch, held):
+    """Sequences met again in later slices are counted with those held; all are let through by a full filter."""
+    monkeypatch.setattr(phrases, "SLICE", 200)
+    monkeypatch.setattr(phrases, "HELD", held)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, int(rng.integers(0, 60)))) + rng.choice(["", ". a b", "\nw1"]) for _ in range(90)]
+    langs = [str(x) for x in rng.choice(["en", "fr"], len(texts))]
+    out, _, _ = counted_rows([t.encode() for t in texts], langs, np.full(4, ~np.uint64(0)))
+    got, want = Counter(), Counter()
+    for b in out:
+        one = [(r["lang"], tuple(r["phrase"].decode().split(" ")), r["size"]) for r in b.to_pylist()]
+        assert len(set(one)) == len(one)
+        got.update(dict(zip(one, b.column("f").to_pylist(), strict=True)))
+    for t, lang in zip(texts, langs, strict=True):
+        for piece in t.replace("\n", ".").split("."):
+            w = piece.split()
+            want.update((lang, tuple(w[i:i + k]), k) for k in range(1, 4) for i in range(len(w) - k + 1))
+    assert got == want and (len(out) > 3) == (held == 50)
+
+
+def test_second_pass_does_not_redo_what_it_holds():
+    """Its CPU time stays near that of the hashes when a task holds very many sequences."""
+    rng = np.random.default_rng(12)
+    texts = [b" ".join(b"%x" % x for x in rng.integers(0, 40_000, 2000)) for _ in range(600)]
+    best = min(a / b for _, a, b in (counted_rows(texts, ["en"] * len(texts), np.full(4, ~np.uint64(0))) for _ in range(2)))
+    assert best < 10
